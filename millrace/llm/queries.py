@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, url_filter
-from .common import read
+from . import decontaminate, lang_id, license_scan, line_crf, quality_rules, token_output, url_filter
+from .common import crc_bucket, read
 
 #: Fixed values of op1's contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -21,18 +21,48 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, model, URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_output.write_tokens(docs, token_output.token_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_output.read_tokens(files, with_ids=False)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     cutoffs = quality_rules.fit_cutoffs(docs, read(spark, sf_dir, "labels"), bound=20_000)
     return quality_rules.apply_rules(docs, cutoffs, keep=["doc_id"]).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(docs, keep=["doc_id"]).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op6_license_scan)}
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learned only from rows outside the held-out fifth."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.fit_crf(docs, read(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0), bound=4_000)
+    scored = line_crf.score_quality(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and language are learned only from rows outside the held-out quarter."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit_languages(docs.where(crc_bucket(F.col("doc_id"), 4) != 2), per_language=500)
+    found = lang_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_token_output, op4_quality_rules, op5_decontamination, op6_license_scan, op7_quality_classifier, op8_language_id)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
