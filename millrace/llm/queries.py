@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, license_scan, line_crf, quality_rules, token_output, url_filter
+from . import decontaminate, jaccard_join, lang_id, license_scan, line_crf, line_dedup, quality_rules, token_output, url_filter
 from .common import crc_bucket, read
 
 #: Fixed values of op1's contract.
@@ -21,6 +21,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, model, URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring runs of lines with 50 words or more; ``text`` is what stays."""
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +67,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_token_output, op4_quality_rules, op5_decontamination, op6_license_scan, op7_quality_classifier, op8_language_id)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of five-word shingles; links from a similarity of 75 percent."""
+    return jaccard_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_token_output, op4_quality_rules, op5_decontamination, op6_license_scan, op7_quality_classifier, op8_language_id, op9_jaccard_join)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
