@@ -2,14 +2,17 @@
 
 Scores are shares of the item's own score, so that one threshold serves all items. Terms in many items are left out of the
 cursors as long as all of them together can't lift an item by more than ``common`` (their exact share is added for the
-candidates); what is left is a block-max WAND over short lists, which returns every item that can reach the threshold. A
-candidate is a leak if the passage with its surroundings holds enough of the item's question and of its answer.
+candidates). The entries of the index are dealt into blocks of neighbours, with the largest share of every term in each. A
+document's passages are first held against all block maxima at once; a WAND over the short lists then runs in the blocks
+that can reach the threshold, and returns every item that does. A candidate is a leak if the passage with its surroundings
+holds enough of the item's question and of its answer.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import repeat
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import out_schema, ship
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+BLOCKS = 64  # of an index, at most
 CHUNK = 64  # words of an index entry; longer items have several
 _PARTS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -61,8 +64,9 @@ def held(part: list[bytes], there: dict[int, set], region: list[bytes]) -> float
 @dataclass
 class Index:
     vocab: dict[bytes, int]
-    upper: np.ndarray  # the largest share of a term, 0 for those left out of the cursors; one more for unknown words
-    lists: dict[int, tuple[list[int], list[float], list[int], list[float]]]  # entries, shares; last entry and largest share of each block
+    upper: np.ndarray  # by term and block: the largest share, 0 for terms left out; one more row for unknown words
+    block: int  # entries in a block
+    lists: dict[int, tuple[list[int], list[float]]]  # entries and shares of each term of the cursors
     shares: list[dict[int, float]]  # of each entry, by term
     item_of: list[int]
     items: list[tuple[object, list[bytes], list[bytes]]]  # id, question, answer
@@ -102,74 +106,53 @@ class Index:
             out.add(t)
             for d in where[t]:
                 left[d] += shares[d][t]
-        upper = np.zeros(len(vocab) + 1)
+        block = max(1, -(-len(shares) // BLOCKS))
+        upper = np.zeros((len(vocab) + 1, max(1, -(-len(shares) // block))), np.float32)
         lists = {}
         for t, some in where.items():
             if t not in out:
-                own = [shares[d][t] for d in some]
-                blocks = range(0, len(some), BLOCK)
-                lists[t] = (some, own, [some[min(b + BLOCK, len(some)) - 1] for b in blocks], [max(own[b : b + BLOCK]) for b in blocks])
-                upper[t] = max(own)
-        return cls(vocab, upper, lists, shares, item_of, kept, threshold - max(left, default=0.0) - 1e-9, threshold)
-
-    def search(self, terms: set[int]) -> list[tuple[int, float]]:
-        """Entries with a share of the threshold or more, for the passage's terms."""
-        lists, upper, need = self.lists, self.upper, self.need
-        cursors = [[lists[t][0][0], 0, t] for t in terms if t in lists]
-        found = []
+                lists[t] = (some, [shares[d][t] for d in some])
+                for d, share in zip(*lists[t], strict=True):
+                    upper[t, d // block] = max(upper[t, d // block], np.nextafter(np.float32(share), np.float32(2)))
+        return cls(vocab, upper, block, lists, shares, item_of, kept, threshold - max(left, default=0.0) - 1e-4, threshold)
+
+    def search(self, terms: np.ndarray, b: int) -> list[tuple[int, float]]:
+        """Entries of block b with a share of the threshold or more, for the passage's distinct terms."""
+        lists, need = self.lists, self.need
+        upper = self.upper[terms, b]
+        first, end = b * self.block, (b + 1) * self.block
+        cursors = []
+        for t, u in zip(terms[upper > 0].tolist(), upper[upper > 0].tolist(), strict=True):
+            pos = bisect_left(lists[t][0], first)
+            cursors.append([lists[t][0][pos], pos, t, u])
+        found, whole = [], None
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
             for i, c in enumerate(cursors):
-                total += upper[c[2]]
+                total += c[3]
                 if total >= need:
                     pivot = i
                     break
             if pivot < 0:
                 break
             at = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
-                pivot += 1
-            bound, end = 0.0, None
-            for _, pos, t in cursors[: pivot + 1]:
-                _, _, lasts, tops = lists[t]
-                b = pos // BLOCK
-                while b < len(lasts) and lasts[b] < at:
-                    b += 1
-                if b < len(lasts):
-                    bound += tops[b]
-                    end = lasts[b] if end is None else min(end, lasts[b])
-            if bound < need:  # nothing up to the end of these blocks
-                to = max(at, end if end is not None else at) + 1
-                if pivot + 1 < len(cursors):
-                    to = max(at + 1, min(to, cursors[pivot + 1][0]))
-                self._forward(cursors, pivot, to)
-            elif cursors[0][0] == at:
-                share = sum(lists[t][1][pos] for _, pos, t in cursors[: pivot + 1])
-                if share >= need:
-                    own = self.shares[at]
-                    full = sum(s for t, s in own.items() if t in terms)
+            to = at
+            if cursors[0][0] == at:
+                to = at + 1
+                if sum(lists[c[2]][1][c[1]] for c in cursors if c[0] == at) >= need:
+                    whole = set(terms.tolist()) if whole is None else whole
+                    full = sum(s for t, s in self.shares[at].items() if t in whole)
                     if full >= self.threshold:
                         found.append((at, full))
-                self._forward(cursors, pivot, at + 1)
-            else:
-                self._forward(cursors, pivot, at)
+            for c in cursors:
+                if c[0] < to:
+                    entries = lists[c[2]][0]
+                    c[1] = pos = bisect_left(entries, to, c[1])
+                    c[0] = entries[pos] if pos < len(entries) else end
+            cursors = [c for c in cursors if c[0] < end]
         return found
 
-    def _forward(self, cursors: list[list[int]], pivot: int, to: int) -> None:
-        for c in cursors[: pivot + 1]:
-            entries, _, lasts, _ = self.lists[c[2]]
-            pos = c[1]
-            b = pos // BLOCK
-            while b < len(lasts) and lasts[b] < to:
-                b += 1
-            pos = max(pos, b * BLOCK)
-            while pos < len(entries) and entries[pos] < to:
-                pos += 1
-            c[1] = pos
-            c[0] = entries[pos] if pos < len(entries) else -1
-        cursors[:] = [c for c in cursors if c[0] >= 0]
-
     def leaks(self, text: str | None, question: float, answer: float) -> dict[int, tuple[float, float, float, int]]:
         """By item number: score, the shares of question and answer held, and the passage, for the best passage of a whole text."""
         words = words_of(text)
@@ -177,14 +160,14 @@ class Index:
         if not n or not self.items:
             return {}
         ids = np.fromiter(map(self.vocab.get, words, repeat(len(self.vocab))), np.int64, n)
-        total = np.concatenate([[0.0], np.cumsum(self.upper[ids])])
-        starts = np.arange(0, n, CHUNK)
-        hits = np.flatnonzero(total[np.minimum(starts + 2 * CHUNK, n)] - total[starts] >= self.need)
+        step = 1024 * CHUNK  # of a very long text at a time
+        half = np.concatenate([np.add.reduceat(self.upper[part], np.arange(0, len(part), CHUNK), axis=0) for part in (ids[i : i + step] for i in range(0, n, step))])
+        bound = half.copy()
+        bound[:-1] += half[1:]  # of passages of two halves; words that recur only raise it
         out: dict[int, tuple[float, float, float, int]] = {}
-        for h in hits.tolist():
+        for h, b in zip(*(x.tolist() for x in np.nonzero(bound >= self.need)), strict=True):
             lo = h * CHUNK
-            terms = set(ids[lo : lo + 2 * CHUNK].tolist())
-            for entry, score in self.search(terms):
+            for entry, score in self.search(np.unique(ids[lo : lo + 2 * CHUNK]), b):
                 k = self.item_of[entry]
                 key, q, a = self.items[k]
                 if k in out and out[k][1] >= 1 and out[k][2] >= 1:
