@@ -114,6 +114,47 @@ def text_chunks(texts: list, most: int = 4 << 20):
         yield run
 
 
+class FlatTable:
+    """Numbers distinct words and keeps a run of ids for each, end to end in one array."""
+
+    def __init__(self, dtype):
+        self.numbers: dict[str, int] = {}
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+
+    def add(self, words: list[str], ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """New words; word i has ids[start[i] : start[i] + length[i]]."""
+        n = len(self.numbers)
+        self.start, self.length = grown(self.start, n + len(words)), grown(self.length, n + len(words))
+        self.flat = grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(words)] = start + self.used
+        self.length[n : n + len(words)] = length
+        self.used += len(ids)
+        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def numbered(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def joined(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words with these numbers, end to end, and where each word's begin (and one more)."""
+        length = self.length[kind]
+        first = np.zeros(len(kind) + 1, np.int64)
+        np.cumsum(length, out=first[1:])
+        at = np.repeat(self.start[kind] - first[:-1], length)
+        at += np.arange(first[-1])
+        return self.flat[at], first
+
+
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a with room for n rows at least."""
+    if n <= len(a):
+        return a
+    out = np.zeros((max(n, 2 * len(a)), *a.shape[1:]), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker."""
     return _CACHES.setdefault((os.getpid(), name), {})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, lang_id, license_scan, line_crf, line_dedup, quality_rules, token_output, url_filter
+from . import decontaminate, jaccard_join, lang_id, license_scan, line_crf, line_dedup, pieces, quality_rules, token_output, url_filter
 from .common import crc_bucket, read
 
 #: Fixed values of op1's contract.
@@ -72,7 +72,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_token_output, op4_quality_rules, op5_decontamination, op6_license_scan, op7_quality_classifier, op8_language_id, op9_jaccard_join)}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding, round trip and two sampled segmentations of every whole text, as digests of the ids."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, keep=["doc_id"], packed=True)
+    digest = lambda x: F.struct((F.length(x["ids"]) / 2).cast("long").alias("n_ids"), F.crc32(x["ids"]).alias("ids_crc32"), x["log_prob"].alias("log_prob"), x["inclusion"].alias("inclusion"))
+    return out.select("doc_id", (F.length("ids") / 2).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "decoded", F.transform("samples", digest).alias("samples"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_token_output, op4_quality_rules, op5_decontamination, op6_license_scan, op7_quality_classifier, op8_language_id, op9_jaccard_join, op10_pieces)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
