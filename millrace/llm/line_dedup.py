@@ -121,13 +121,15 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """docs with the later copies of recurring runs of lines taken out of ``text``, and n_lines, n_removed (lines).
 
+    The documents are joined with their removed lines by a shuffle at every size, as these have no bound to be broadcast by.
+
     Null and empty texts stay as they are. Null keys come before others. Rows equal in key and text are one document and lose
     the same lines. Blank lines stay. Columns of docs named n_lines or n_removed are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = removed_lines(docs, key, text, min_words).select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone"))
     marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{text}`")).alias("__h"))
-    joined = marked.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__tk")), "left")
+    joined = marked.join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__tk")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     cut = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
