@@ -8,7 +8,8 @@ decompresses only these. Token ids are unsigned little-endian integers of 2 byte
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 import uuid
 import zlib
@@ -23,54 +24,69 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, ship, worker_cache
+from .common import FlatTable, new_folder, ship, worker_cache
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
-#: Texts with these are encoded whole; in others, words after single spaces or newlines are tokenized independently.
-ODD = re.compile(r"\s\s|[^\S \n]")
-
-
 class WordEncoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library whose pre-tokenizer never joins over a space.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library.
 
-    The tokens of a word with the space before it don't depend on its neighbours, so each is encoded once and kept; texts in
-    which that isn't plain to see are encoded whole. The cache is bounded and lives as long as the worker.
+    Its pre-tokenizer never joins over a single space or newline, so the tokens of a word with the space before it don't
+    depend on its neighbours. Each such word is encoded once and kept; new ones are encoded together, a newline between
+    them. Texts in which that isn't plain to see, and all texts of other tokenizers, are encoded whole. The cache is bounded
+    and lives as long as the worker.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
-        import os
-
+    def __init__(self, path: str, cached: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cached, self.cache = cached, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        shape = json.loads(self.tokenizer.to_str())
+        pre = shape.get("pre_tokenizer") or {}
+        line = self._whole("\n")
+        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not shape.get("normalizer") and len(line) == self.dtype.itemsize
+        self.line = int(np.frombuffer(line, self.dtype)[0]) if self.by_word else -1
+        self.cached, self.table = cached, None
+
+    def _whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, words: list[str]) -> None:
+        """Words that begin with a tab have no space before them, those with a newline have it instead."""
+        ids = self._ids("\n" + "\n".join([w[1:] if w[0] in "\t\n" else " " + w for w in words]))
+        cuts = np.flatnonzero(ids == self.line)
+        bare = np.fromiter((w[0] != "\n" for w in words), np.int64, len(words))
+        ends = np.append(cuts[1:], len(ids))
+        self.table.add(words, ids, cuts + bare, ends - cuts - bare)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text, as bytes; null: none."""
-        items: list[list[str] | None] = []
-        wanted: set[str] = set()
+        words: list[str] = []
+        bounds: list[tuple[int, int] | None] = []
         for t in texts:
-            if not t or ODD.search(t):
-                items.append(None)
+            own = t.replace("\n", " \n").split(" ") if t and self.by_word else None
+            # as many words by any white space: none but single spaces and newlines
+            if own and own[0] and own[-1] not in ("", "\n") and len(t.split()) == len(own) and "\n " not in t and not own[0].startswith("\n"):
+                own[0] = "\t" + own[0]
+                bounds.append((len(words), len(words) + len(own)))
+                words += own
             else:
-                words = t.replace("\n", " \n").split(" ")
-                words[0] = "\t" + words[0]  # no space before it
-                wanted.update(words)
-                items.append(words)
-        if len(self.cache) > self.cached:
-            self.cache.clear()
-        cache = self.cache
-        new = [w for w in wanted if w not in cache]
-        cache.update(zip(new, self._encode([w[1:] if w[:1] == "\t" else w if w[:1] == "\n" else " " + w for w in new]), strict=True))
-        return [b"".join(map(cache.__getitem__, w)) if w is not None else self._encode([t])[0] if t else b"" for t, w in zip(texts, items, strict=True)]
+                bounds.append(None)
+        if self.table is None or len(self.table.numbers) > self.cached:
+            self.table = FlatTable(self.dtype)
+        known = self.table.numbers
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            self._learn(new)
+        ids, first = self.table.joined(self.table.numbered(words))
+        return [ids[first[b[0]] : first[b[1]]].tobytes() if b else self._whole(t) if t else b"" for t, b in zip(texts, bounds, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -155,7 +171,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     """Encode every whole text, append ``end_id``, and write the files ``part-NNNNNN.zst`` to ``folder`` in ascending key order.
 
     Returns the manifest, a row a file: part, path, n_docs, n_ids and start (ids of all files before it). Null texts are
-    empty; null keys come first; rows equal in key follow each other by a hash of their text. Encoding and compression run
+    empty; null keys come first; rows equal in key follow each other by a hash of their ids. Encoding and compression run
     before the only shuffle, which moves compressed frames to key ranges; the ranges come from quantiles of the key column
     alone. A file is written under a name of its own and moved in place whole, so a repeated task does no harm.
     """
@@ -170,6 +186,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     def encode(batches):
         coder = encoder(tokenizer)
         width = coder.dtype.itemsize
+        pack = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
         end = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
             keys, column = batch.column(0).to_pylist(), batch.column(1)
@@ -181,13 +198,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                     [
                         pa.array([0 if keys[i] is None else int(np.searchsorted(edges, keys[i], side="right")) for i in run], pa.int32()),
                         pa.array([keys[i] for i in run], pa.int64()),
-                        pa.array([xxhash.xxh64_intdigest(t.encode()) - (1 << 63) if t else 0 for t in texts], pa.int64()),
                         pa.array([len(d) for d in data], pa.int64()),
                         pa.array([width] * len(run), pa.int32()),
                         pa.array([xxhash.xxh64_intdigest(d) & 0xFFFFFFFF for d in data], pa.int64()),
-                        pa.array([FrameWriter.frame(d, level) for d in data], pa.binary()),
+                        pa.array([pack(d) for d in data], pa.binary()),
                     ],
-                    names=["part", "k", "tie", "size", "width", "checksum", "frame"],
+                    names=["part", "k", "size", "width", "checksum", "frame"],
                 )
 
     def write(batches):
@@ -202,7 +218,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             done.append((now, f"{folder}/part-{now:06d}.zst", len(writer.ids), int(sum(writer.lengths))))
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
+            cols = [batch.column(i).to_pylist() for i in range(6)]
             for part, k, size, width, checksum, frame in zip(*cols, strict=True):
                 if part != now:
                     if out is not None:
@@ -216,9 +232,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "path", "n_docs", "n_ids"])
 
-    frames = rows.mapInArrow(encode, "part int, k bigint, tie bigint, size bigint, width int, checksum bigint, frame binary")
+    frames = rows.mapInArrow(encode, "part int, k bigint, size bigint, width int, checksum bigint, frame binary")
     dealt = frames.repartitionById(len(edges) + 1, "part") if hasattr(frames, "repartitionById") else frames.repartition(len(edges) + 1, "part")
-    files = dealt.sortWithinPartitions("part", F.asc_nulls_first("k"), "tie", "size").mapInArrow(write, "part int, path string, n_docs bigint, n_ids bigint").collect()  # a row a file
+    files = dealt.sortWithinPartitions("part", F.asc_nulls_first("k"), "checksum", "size").mapInArrow(write, "part int, path string, n_docs bigint, n_ids bigint").collect()  # a row a file
     manifest, start = [], 0
     for f in sorted(files):
         manifest.append((f.part, f.path, f.n_docs, f.n_ids, start))
