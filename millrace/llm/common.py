@@ -119,19 +119,22 @@ class FlatTable:
 
     def __init__(self, dtype):
         self.numbers: dict[str, int] = {}
+        self.count = 0
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 16, dtype), 0
 
-    def add(self, words: list[str], ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-        """New words; word i has ids[start[i] : start[i] + length[i]]."""
-        n = len(self.numbers)
+    def add(self, words: list[str], ids: np.ndarray, start: np.ndarray, length: np.ndarray, named: bool = True) -> None:
+        """New words; word i has ids[start[i] : start[i] + length[i]]. Not named: another table numbers them."""
+        n = self.count
         self.start, self.length = grown(self.start, n + len(words)), grown(self.length, n + len(words))
         self.flat = grown(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n : n + len(words)] = start + self.used
         self.length[n : n + len(words)] = length
         self.used += len(ids)
-        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
+        self.count += len(words)
+        if named:
+            self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
 
     def numbered(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))

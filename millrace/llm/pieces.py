@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding, and sampled segmentations by Gumbel top-k without replacement.
 
 ``encode`` gives the model's own ids, ``decode`` the text. ``sample`` draws k distinct segmentations of a whole text from the
-lattice of its pieces by perturbed A* search: the tree's nodes are prefixes of a segmentation, a node's bound is the largest
-Gumbel-perturbed log-probability below it, and the search always opens the node with the highest bound. The first sample is an
-exact draw; each further one is the best leaf of the best sibling left, so the k samples are drawn without replacement. A
-sample's inclusion score is the probability that its perturbed value exceeds the best bound left. All random numbers are
-hashes of the row's key, the sample and the place, so results depend on nothing else.
+lattice of its pieces by perturbed A* search: the tree's nodes are prefixes of a segmentation (of whole units), a node's bound
+is the largest Gumbel-perturbed log-probability below it, and the search always opens the node with the highest bound. The
+first sample is an exact draw; each further one is the best leaf of the best sibling left, so the k samples are drawn without
+replacement. A sample's inclusion score is the probability that its perturbed value exceeds the best bound left. All random
+numbers are hashes of the row's key, the sample and the place, so results depend on nothing else.
 
 A piece's weight falls with its rank in the model: ln p = -ln(rank + 20). A unit of the lattice is a space with what follows
 up to the next space or newline, or a newline, of at most 32 characters (longer ones are cut). Pieces don't cross units, so
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import FlatTable, grown, out_schema, ship, worker_cache
 
 LONGEST = 32
+LIFT = 12.0 ** np.arange(1, LONGEST + 1)  # the same factor for all paths of a unit: keeps numbers in range
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,42 +116,78 @@ class Lattice:
         h = (h + c + np.uint64(1)) * _PRIME
         return h ^ (h >> np.uint64(29))
 
-    def tables(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For units of one length m: ids[unit, place, length - 1] of the pieces (-1: none, -2: the character's bytes) and
-        cum[unit, place, length - 1], the summed probabilities of the next piece's lengths given that the place is reached; their
-        differences, as stored, are the probabilities of the model."""
+    def pieces(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For units of one length: their characters, and ids[unit, place, length - 1] of the pieces (-1: none, -2: the character's bytes)."""
         n, m = len(units), len(units[0])
         top = min(m, self.longest)
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, m).astype(np.uint64)
-        ids = np.full((n, m, top), -1, np.int32)
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, m).T.astype(np.uint64)
+        ids = np.full((m, top, n), -1, np.int32)
         for s in range(m):
             h = np.zeros(n, np.uint64)
             for length in range(1, min(top, m - s) + 1):
-                h = self._next(h, chars[:, s + length - 1])
+                h = self._next(h, chars[s + length - 1])
                 at = self.slot[(h >> self.bits).view(np.int64)]
                 rows = np.flatnonzero(at >= 0)
-                at, h_ = at[rows], h[rows]
-                for _ in range(self.run):
-                    hit = self.keys[at] == h_
-                    ids[rows[hit], s, length - 1] = self.ids[at[hit]]
-                    at = np.minimum(at + 1, len(self.keys) - 1)
-        lone = ids[:, :, 0] < 0
-        ids[:, :, 0][lone] = -2
-        size = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-        lift = 12.0 ** np.arange(1, top + 1)  # the same factor for all paths of a unit: keeps numbers in range
-        z = np.ones((n, m + 1))
-        cum = np.ones((n, m, top), np.float32)
+                if len(rows):
+                    at, key = at[rows], h[rows]
+                    out = ids[s, length - 1]
+                    for _ in range(self.run):
+                        hit = self.keys[at] == key
+                        out[rows[hit]] = self.ids[at[hit]]
+                        at = np.minimum(at + 1, len(self.keys) - 1)
+            lone = ids[s, 0] < 0
+            ids[s, 0, lone] = -2
+        return chars, ids
+
+    def _steps(self, chars: np.ndarray, ids: np.ndarray):
+        """From the last place on: (place, probabilities of the next piece's lengths there, by length and unit)."""
+        m, top, n = ids.shape
+        z = np.ones((m + 1, n))
         for s in range(m - 1, -1, -1):
             k = min(top, m - s)
-            p = self.weight[ids[:, s, :k]]
-            p[:, 0] = np.where(lone[:, s], self.byte_weight ** size[:, s], p[:, 0])
-            p *= lift[:k]
-            p *= z[:, s + 1 : s + 1 + k]
-            np.cumsum(p, axis=1, out=p)
-            z[:, s] = p[:, -1]
-            p /= p[:, -1:]
-            cum[:, s, :k] = p
-        return ids, cum
+            p = self.weight[ids[s, :k]]
+            lone = np.flatnonzero(ids[s, 0] == -2)
+            if len(lone):
+                c = chars[s, lone]
+                p[0, lone] = self.byte_weight ** (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            p *= LIFT[:k, None]
+            p *= z[s + 1 : s + 1 + k]
+            z[s] = p.sum(0)
+            p /= z[s]
+            yield s, p
+
+    def tables(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For units of one length m: ids[unit, place, length - 1] as :meth:`pieces`, and cum[unit, place, length - 1], the summed
+        probabilities of the next piece's lengths given that the place is reached."""
+        chars, ids = self.pieces(units)
+        m, top, n = ids.shape
+        cum = np.ones((n, m, top))
+        for s, p in self._steps(chars, ids):
+            c = np.cumsum(p, axis=0)
+            c /= c[-1]
+            cum[:, s, : len(p)] = c.T
+        return ids.transpose(2, 0, 1), cum
+
+    def main(self, units: list[str], block: int = 20_000) -> Walks:
+        """The main segmentation of each unit."""
+        out = _Parts(self, units)
+        for m, some in _by_length(units, block):
+            chars, ids = self.pieces([units[i] for i in some.tolist()])
+            n = len(some)
+            x = np.arange(n)
+            length, prob, piece, rest = np.zeros((m, n), np.int64), np.ones((m, n)), np.zeros((m, n), np.int32), np.ones((m + 1, n))
+            for s, p in self._steps(chars, ids):
+                best = p.argmax(0)
+                length[s], piece[s], prob[s] = best + 1, ids[s, best, x], p[best, x]
+                rest[s] = prob[s] * rest[s + length[s], x]
+            starts, place = np.zeros((n, m), bool), np.zeros(n, np.int64)
+            while len(x):
+                starts[x, place] = True
+                place = place + length[place, x]
+                left = np.flatnonzero(place < m)
+                x, place = x[left], place[left]
+            out.add(some, starts, piece.T, rest[0])
+        return out.walks()
 
     def encode_units(self, some: list[str]) -> tuple[list[list[int]], list[bool]]:
         """The model's ids of units, and whether a text with the unit is to be encoded as a whole: for lone spaces, as pieces of
@@ -165,64 +202,188 @@ class Lattice:
                 ids[i] = ids[i][n:]
         return ids, odd
 
-    def tokens(self, piece: int, char: str) -> list[int]:
-        """Ids of a lattice piece: itself, or the bytes of a character that no piece holds."""
-        if piece >= 0:
-            return [piece]
+    def walk(self, units: list[str], seeds: np.ndarray, masks: np.ndarray, block: int = 20_000) -> Walks:
+        """A segmentation of each unit, drawn from all but that of its mask.
+
+        A mask has a bit for each place where a piece starts. On the way along the barred segmentation, its remaining
+        probability is taken off the piece that it goes on with.
+        """
+        out = _Parts(self, units)
+        for m, some in _by_length(units, block):
+            distinct = {u: x for x, u in enumerate(dict.fromkeys(units[i] for i in some.tolist()))}
+            ids, cum = self.tables(list(distinct))
+            row = np.fromiter((distinct[units[i]] for i in some.tolist()), np.int64, len(some))
+            n, top = len(some), cum.shape[2]
+            going, rest = _along(cum, row, masks[some], m)
+            starts, piece, prob = np.zeros((n, m), bool), np.zeros((n, m), np.int32), np.ones(n)
+            line, place, seed, on = np.arange(n), np.zeros(n, np.int64), seeds[some], np.ones(n, bool)
+            lengths = np.arange(top)
+            while len(line):
+                c = cum[row, place]
+                d = np.where(on, rest[line, place], 0.0)
+                star = going[line, place] - 1
+                u = uniform(seed, place) * (1 - d)
+                length = (c < u[:, None]).sum(1)  # as if nothing were barred
+                past = np.flatnonzero(on & (length >= star))
+                if len(past):  # from the barred way's piece on, its rest is off
+                    length[past] = (c[past] - d[past, None] * (lengths >= star[past, None]) < u[past, None]).sum(1)
+                np.minimum(length, np.minimum(top, m - place) - 1, out=length)
+                x = np.arange(len(line))
+                p = c[x, length]
+                p -= np.where(length > 0, c[x, length - 1], 0.0)
+                prob[line] *= p
+                starts[line, place] = True
+                piece[line, place] = ids[row, place, length]
+                on = on & (length == star)
+                place = place + length + 1
+                left = np.flatnonzero(place < m)
+                line, row, place, seed, on = line[left], row[left], place[left], seed[left], on[left]
+            out.add(some, starts, piece, prob)
+        return out.walks()
+
+    def walk_besides(self, unit: str, masks: list[int], seed: int) -> Walks:
+        """A segmentation of one unit drawn from all but those of the masks."""
+        ids, cum = self.tables([unit])
+        m, s, mask, prob, tokens = len(unit), 0, 0, 1.0, []
+        barred = [(x, self.mask_prob(unit, x)) for x in masks]
+        while s < m:
+            c = cum[0, s].astype(np.float64).tolist()
+            step = [x - y for x, y in zip(c, [0.0, *c], strict=False)][: m - s]
+            mask |= 1 << s
+            weight = []
+            for x, p in enumerate(step):
+                e = s + x + 1
+                here = [q for b, q in barred if _starts(b, mask, e, m)]
+                weight.append(max(0.0, prob * p - sum(here)) if here else prob * p)
+            left, length = sum(weight) * uniform_one(seed, s), max(x for x, v in enumerate(weight) if v == max(weight))
+            for x, v in enumerate(weight):
+                left -= v
+                if v > 0 and left <= 0:
+                    length = x
+                    break
+            prob *= step[length]
+            piece = int(ids[0, s, length])
+            tokens += [piece] if piece >= 0 else self.spelled(unit[s])
+            s += length + 1
+        return Walks(np.array(tokens, self.dtype), np.zeros(1, np.int64), np.array([len(tokens)]), np.array([prob]), np.array([mask], np.int64))
+
+    def mask_prob(self, unit: str, mask: int) -> float:
+        """The probability of a unit's segmentation."""
+        _, cum = self.tables([unit])
+        starts = [i for i in range(len(unit)) if mask >> i & 1]
+        p = 1.0
+        for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
+            c = cum[0, a].astype(np.float64)
+            p *= c[b - a - 1] - (c[b - a - 2] if b - a > 1 else 0.0)
+        return float(p)
+
+    def spelled(self, char: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in char.encode()] if self.bytes else [self.unknown]
 
 
+def _starts(barred: int, mask: int, end: int, m: int) -> bool:
+    """Whether the barred segmentation starts with the pieces of mask, the last of which ends at ``end``."""
+    below = (1 << end) - 1
+    return barred & below == mask & below and (end == m or barred >> end & 1 == 1)
+
+
+def _along(cum: np.ndarray, row: np.ndarray, masks: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """By row and place on the way along a row's mask: the length of its piece there, and the probability of its rest."""
+    n = len(row)
+    length, rest = np.zeros((n, m), np.int64), np.zeros((n, m + 1))
+    rest[:, m] = 1.0
+    end = np.full(n, m, np.int64)
+    lines = np.arange(n)
+    for s in range(m - 1, -1, -1):
+        x = lines[(masks >> s) & 1 == 1]
+        size = end[x] - s
+        c = cum[row[x], s].astype(np.float64)
+        here = np.arange(len(x))
+        p = c[here, size - 1] - np.where(size > 1, c[here, size - 2], 0.0)
+        length[x, s], rest[x, s] = size, p * rest[x, end[x]]
+        end[x] = s
+    return length, rest
+
+
+@dataclass
+class Walks:
+    """Segmentations of some units: their token ids, where each's begin and how many, its probability and its mask."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    prob: np.ndarray
+    mask: np.ndarray
+
+
+class _Parts:
+    """Collects the segmentations of units of several lengths."""
+
+    def __init__(self, lattice: Lattice, units: list[str]):
+        n = len(units)
+        self.lattice, self.units, self.used, self.ids = lattice, units, 0, [np.empty(0, lattice.dtype)]
+        self.start, self.length, self.prob, self.mask = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n), np.zeros(n, np.int64)
+
+    def add(self, some: np.ndarray, starts: np.ndarray, piece: np.ndarray, prob: np.ndarray) -> None:
+        """starts[unit, place]: whether a piece starts there; piece[unit, place]: which."""
+        unit, place = np.nonzero(starts)
+        ids, count = piece[unit, place], np.ones(len(unit), np.int64)
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):  # the bytes of characters that no piece holds
+            spelled = [self.lattice.spelled(self.units[some[a]][b]) for a, b in zip(unit[rare].tolist(), place[rare].tolist(), strict=True)]
+            count[rare] = [len(x) for x in spelled]
+            ids = np.repeat(ids, count)
+            ids[ids < 0] = list(chain.from_iterable(spelled))
+        length = np.bincount(unit, count, len(some)).astype(np.int64)
+        self.length[some], self.start[some] = length, np.cumsum(length) - length + self.used
+        self.mask[some], self.prob[some] = starts @ (np.int64(1) << np.arange(starts.shape[1])), prob
+        self.ids.append(ids.astype(self.lattice.dtype))
+        self.used += len(ids)
+
+    def walks(self) -> Walks:
+        return Walks(np.concatenate(self.ids), self.start, self.length, self.prob, self.mask)
+
+
+def _by_length(units: list[str], block: int):
+    """(length, numbers of units) for all lengths, a block at a time."""
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    order = np.argsort(size, kind="stable")
+    ends = np.searchsorted(size[order], np.arange(LONGEST + 2))
+    for m in range(1, LONGEST + 1):
+        for lo in range(int(ends[m]), int(ends[m + 1]), block):
+            yield m, order[lo : min(lo + block, int(ends[m + 1]))]
+
+
 class Units:
-    """The distinct units seen so far: their tables by length, and the model's encoding of each."""
+    """The distinct units seen so far: the model's encoding of each, and its main segmentation, whose pieces are each the likeliest
+    next one, with its probability. The lattice's tables are made anew where they are drawn from, and so take no room."""
 
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
         self.text: list[str] = []
-        self.group, self.row, self.whole = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.filled: dict[int, int] = {}
-        self.ids = FlatTable(lattice.dtype)
+        self.whole, self.prob, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, np.int64)
+        self.ids, self.main = FlatTable(lattice.dtype), FlatTable(lattice.dtype)
 
     def learn(self, units: list[str]) -> None:
         if not units:
             return
         n = len(self.text)
-        self.group, self.row, self.whole = (grown(x, n + len(units)) for x in (self.group, self.row, self.whole))
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
-        for m, some in by_length.items():
-            at = self.filled.get(m, 0)
-            own = self.lattice.tables([units[i] for i in some])
-            old = self.tables.get(m)
-            both = tuple(grown(x, at + len(some)) for x in old) if old else own
-            if old:
-                for x, y in zip(both, own, strict=True):
-                    x[at : at + len(some)] = y
-            self.tables[m], self.filled[m] = both, at + len(some)
-            where = n + np.array(some, np.int64)
-            self.group[where], self.row[where] = m, np.arange(at, at + len(some))
+        self.whole, self.prob, self.mask = (grown(x, n + len(units)) for x in (self.whole, self.prob, self.mask))
         ids, whole = self.lattice.encode_units(units)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.lattice.dtype, int(length.sum()))
-        self.ids.add(units, flat, np.cumsum(length) - length, length)
+        self.ids.add(units, np.fromiter(chain.from_iterable(ids), self.lattice.dtype, int(length.sum())), np.cumsum(length) - length, length)
         self.whole[n : n + len(units)] = whole
+        w = self.lattice.main(units)
+        self.main.add(units, w.ids, w.start, w.length, named=False)
+        self.prob[n : n + len(units)], self.mask[n : n + len(units)] = w.prob, w.mask
         self.text += units
 
 
-@dataclass
-class Draw:
-    """One segmentation of every text of a chunk: pieces in order, by unit."""
-
-    piece: np.ndarray
-    prob: np.ndarray
-    place: np.ndarray
-    unit: np.ndarray
-    first: np.ndarray  # of each unit, and one more
-
-
 class Chunk:
-    """Several texts and the numbers of their units."""
+    """Several texts, the numbers of their units, and the segmentations of units drawn for them besides the main ones.
+
+    A unit's segmentation is known by a number: the unit's own for its main one, or one from ``base`` on for one drawn here.
+    """
 
     def __init__(self, known: Units, texts: list[str], keys: list):
         self.known, self.lattice, self.keys, self.texts = known, known.lattice, keys, texts
@@ -233,19 +394,12 @@ class Chunk:
             self.bounds.append(len(words))
         known.learn([u for u in dict.fromkeys(words) if u not in known.ids.numbers])
         self.kind = known.ids.numbered(words)
-        self.group, self.row = known.group[self.kind], known.row[self.kind]
-        self.tables = known.tables
-        self.units = len(words)
-        order = np.argsort(self.group.astype(np.int8), kind="stable")
-        sizes = np.bincount(self.group, minlength=1)
-        ends = np.cumsum(sizes)
-        self.order = {m: order[ends[m] - sizes[m] : ends[m]] for m in np.flatnonzero(sizes).tolist()}
-        n = np.diff(self.bounds)
-        self.within = np.arange(len(words)) - np.repeat(np.array(self.bounds[:-1], np.int64), n)
-        self.size = n
-
-    def unit_text(self, unit: int) -> str:
-        return self.known.text[int(self.kind[unit])]
+        self.prob = known.prob[self.kind]
+        self.size = np.diff(self.bounds)
+        self.within = np.arange(len(words)) - np.repeat(np.array(self.bounds[:-1], np.int64), self.size)
+        self.base = len(known.text)
+        self.drawn: list[Walks] = []
+        self.count = 0
 
     def encoded(self) -> list[np.ndarray]:
         """The model's ids of each text, by unit; of texts with a unit for which that isn't plain to see, as a whole."""
@@ -262,157 +416,149 @@ class Chunk:
         ends = first[np.cumsum([0, *map(len, ids)])].tolist()
         return [bytes_[a:b].tobytes().decode("utf-8", "replace").replace("▁", " ")[1:] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def draw(self, stream: int, chosen: np.ndarray | None = None) -> Draw:
-        """An independent segmentation of every unit, or of the chosen ones (bool); a unit's doesn't depend on the choice."""
-        seeds = np.repeat(np.array([row_seed(k, stream) for k in self.keys], np.uint64), self.size) + self.within.astype(np.uint64) * (_GOLD << np.uint64(6))
-        parts: list[tuple[np.ndarray, ...]] = []
-        for m, units in self.order.items():
-            ids, cum = self.tables[m]
-            if chosen is not None:
-                units = units[chosen[units]]
-            row, place, seed = self.row[units], np.zeros(len(units), np.int64), seeds[units]
-            while len(units):
-                c = cum[row, place]
-                u = uniform(seed, place).astype(np.float32)
-                length = (c < u[:, None]).sum(1)
-                np.minimum(length, c.shape[1] - 1, out=length)
-                at = np.arange(len(units))
-                prob = c[at, length].astype(np.float64)
-                prob -= np.where(length > 0, c[at, length - 1], np.float32(0))
-                parts.append((units, place, ids[row, place, length], prob))
-                place = place + length + 1
-                on = np.flatnonzero(place < m)
-                units, row, place, seed = units[on], row[on], place[on], seed[on]
-        if not parts:
-            e = np.empty(0, np.int64)
-            return Draw(e, np.empty(0), e, e, np.zeros(self.units + 1, np.int64))
-        unit, place, piece, prob = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.argsort(unit * 64 + place, kind="stable")
-        unit = unit[order]
-        first = np.zeros(self.units + 1, np.int64)
-        np.cumsum(np.bincount(unit, minlength=self.units), out=first[1:])
-        return Draw(piece[order], prob[order], place[order], unit, first)
-
-
-def _bounds(log: np.ndarray, before: np.ndarray, prob: np.ndarray, top, u: np.ndarray) -> np.ndarray:
-    """Bounds of the siblings of some pieces: Gumbels of their mass, below top."""
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        mass = before + np.log1p(-np.minimum(prob, 1.0))
-        g = mass - np.log(np.exp(mass - top) - np.log(u))
-    g[prob > 1 - 1e-12] = -np.inf
-    return g
-
+    def other(self, kinds: np.ndarray, seeds: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and log-probabilities of segmentations of these units, drawn from all but the given ones."""
+        text = self.known.text
+        w = self.lattice.walk([text[k] for k in kinds.tolist()], seeds, masks)
+        at = self.base + self.count + np.arange(len(kinds))
+        self.drawn.append(w)
+        self.count += len(kinds)
+        with np.errstate(divide="ignore"):
+            return at, np.log(w.prob)
+
+    def draws(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """k times, numbers and log-probabilities of an independent segmentation of every unit."""
+        with np.errstate(divide="ignore"):
+            out = [(self.kind.copy(), np.log(self.prob)) for _ in range(k)]
+        step = self.within.astype(np.uint64) * (_GOLD << np.uint64(6))
+        where, seeds = [], []
+        for r in range(k):
+            seed = np.repeat(np.array([row_seed(key, r) for key in self.keys], np.uint64), self.size) + step
+            rare = np.flatnonzero(uniform(seed, 63) >= self.prob)
+            where.append(rare)
+            seeds.append(seed[rare])
+        kinds = self.kind[np.concatenate(where)]
+        if len(kinds):
+            at, log = self.other(kinds, np.concatenate(seeds), self.known.mask[kinds])
+            ends = np.cumsum([0, *map(len, where)]).tolist()
+            for (number, logs), rare, x, y in zip(out, where, ends, ends[1:], strict=False):
+                number[rare], logs[rare] = at[x:y], log[x:y]
+        return out
 
-class Sampler:
-    """k distinct segmentations of each text of a chunk."""
-
-    def __init__(self, chunk: Chunk, k: int):
-        self.chunk, self.k = chunk, k
-        d = self.first = chunk.draw(0)
-        ends = d.first[np.array(chunk.bounds, np.int64)]
-        self.ends = ends.tolist()
-        n = np.diff(ends)
-        self.log = np.log(d.prob)
-        total = np.concatenate([[0.0], np.cumsum(self.log)])
-        before = total[:-1] - np.repeat(total[ends[:-1]], n)
-        self.seeds = [row_seed(key, 1_000) for key in chunk.keys]
-        self.tops = [-math.log(-math.log(uniform_one(s, 0))) for s in self.seeds]
-        place = np.arange(len(d.prob)) - np.repeat(ends[:-1], n)
-        u = uniform(np.repeat(np.array([row_seed(key, 2_000) for key in chunk.keys], np.uint64), n), place)
-        self.bounds = _bounds(self.log, before, d.prob, np.repeat(np.array(self.tops), n), u)
-        self.draws: list[Draw | None] = [d]
-        if k > 1:  # the second samples need what follows their branch only
-            after = np.zeros(chunk.units, bool)
-            for i in range(len(chunk.keys)):
-                a, b = self.ends[i], self.ends[i + 1]
-                if a < b:
-                    j = a + int(self.bounds[a:b].argmax())
-                    after[int(d.unit[j]) + 1 : chunk.bounds[i + 1]] = True
-            self.draws += [chunk.draw(1, after)] + [chunk.draw(r) for r in range(2, k)]
-
-    def sample(self, i: int) -> list[tuple[list[int], float, float]]:
-        """(ids, log-probability, inclusion score) of the i-th text's samples, in the order drawn; fewer if it has fewer."""
-        chunk, k = self.chunk, self.k
-        hi = chunk.bounds[i + 1]
-        a, b = self.ends[i], self.ends[i + 1]
-        if a == b:
-            return [([], 0.0, 1.0)]
-        d, key = self.first, chunk.keys[i]
-        paths = [(d.piece[a:b], d.prob[a:b], d.place[a:b], d.unit[a:b])]
-        logs = [self.log[a:b]]
-        frontier = [self.bounds[a:b].copy()]
-        barred: dict[tuple[int, int], list[int]] = {}  # (path, place in it) -> lengths that are taken
-        while True:
-            at = [int(f.argmax()) for f in frontier]
-            best = max(range(len(paths)), key=lambda r: frontier[r][at[r]])
-            j = at[best]
-            top = float(frontier[best][j])
-            if len(paths) == k or top == -math.inf:
-                break
-            r = len(paths)
-            piece, prob, place, unit = paths[best]
-            u, s = int(unit[j]), int(place[j])
-            m, row = int(chunk.group[u]), int(chunk.row[u])
-            ids, cum = chunk.tables[m]
-            taken = barred.setdefault((best, j), [_length(chunk, paths[best], j)])
-            new: list[tuple[int, float, int]] = []  # the rest of the unit: piece, probability, place
-            seed = row_seed(key, 3_000 + r)
-            while s < m:
-                c = cum[row, s].tolist()
-                p = [x - y for x, y in zip(c, [0.0, *c], strict=False)]
-                q = p if new else [0.0 if x + 1 in taken else v for x, v in enumerate(p)]
-                left = sum(q) * uniform_one(seed, len(new))
-                length = max(x for x, v in enumerate(q) if v > 0)
-                for x, v in enumerate(q):
-                    left -= v
-                    if v > 0 and left <= 0:
-                        length = x
-                        break
-                if not new:
-                    taken.append(length + 1)
-                    rest = sum(v for x, v in enumerate(p) if x + 1 not in taken)
-                new.append((int(ids[row, s, length]), p[length], s))
-                s += length + 1
-            f = self.draws[r]
-            tail = slice(f.first[u + 1], f.first[hi])
-            path = tuple(np.concatenate([x[:j], np.array(y, x.dtype), z[tail]]) for x, y, z in zip(paths[best], (*zip(*new, strict=True), [u] * len(new)), (f.piece, f.prob, f.place, f.unit), strict=True))
-            paths.append(path)
-            log = np.concatenate([logs[best][:j], np.log(path[1][j:])])
-            logs.append(log)
-            before = np.cumsum(log) - log
-            if rest > 1e-12:
-                mass = float(logs[best][:j].sum()) + math.log(rest)
-                frontier[best][j] = mass - math.log(math.exp(min(700.0, mass - top)) - math.log(uniform_one(row_seed(key, 4_000 + r), j)))
-            else:
-                frontier[best][j] = -np.inf
-            g = np.full(len(log), -np.inf)
-            g[j + 1 :] = _bounds(log[j + 1 :], before[j + 1 :], path[1][j + 1 :], top, uniform(row_seed(key, 2_000 + r), np.arange(j + 1, len(log))))
-            frontier.append(g)
-        out = []
-        for path, log in zip(paths, logs, strict=True):
-            total = float(log.sum())
-            score = 1.0 if top == -math.inf else -math.expm1(-math.exp(min(50.0, total - top)))
-            tokens = path[0]
-            rare = np.flatnonzero(tokens < 0)
-            if len(rare):
-                at_, own, tokens = 0, path[0].tolist(), []
-                for x in rare.tolist():
-                    tokens += own[at_:x]
-                    tokens += chunk.lattice.tokens(-1, chunk.unit_text(int(path[3][x]))[int(path[2][x])])
-                    at_ = x + 1
-                tokens += own[at_:]
-            out.append((tokens, total, score))
+    def masks(self, numbers: np.ndarray) -> np.ndarray:
+        out = self.known.mask[np.minimum(numbers, self.base - 1)]
+        new = numbers >= self.base
+        if new.any():
+            out[new] = np.concatenate([w.mask for w in self.drawn])[numbers[new] - self.base]
         return out
 
+    def tokens(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        """Token ids of runs of segmentations."""
+        main = self.known.main
+        table = FlatTable(main.flat.dtype)
+        shift = main.used + np.cumsum([0, *(len(w.ids) for w in self.drawn)])
+        table.start = np.concatenate([main.start[: self.base], *(w.start + x for w, x in zip(self.drawn, shift.tolist(), strict=False))])
+        table.length = np.concatenate([main.length[: self.base], *(w.length for w in self.drawn)])
+        table.flat = np.concatenate([main.flat[: main.used], *(w.ids for w in self.drawn)])
+        out, first = table.joined(np.concatenate([np.empty(0, np.int64), *numbers]))
+        ends = first[np.cumsum([0, *map(len, numbers)])].tolist()
+        return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _bounds(log: np.ndarray, before: np.ndarray, top, u: np.ndarray) -> np.ndarray:
+    """Bounds of the siblings of some units' segmentations: Gumbels of their mass, below top."""
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        p = np.exp(log)
+        mass = before + np.log1p(-np.minimum(p, 1.0))
+        g = mass - np.log(np.exp(mass - top) - np.log(u))
+    g[p > 1 - 1e-9] = -np.inf
+    return g
 
-def _length(chunk: Chunk, path: tuple, j: int) -> int:
-    """The number of characters of a path's j-th piece."""
-    _, _, place, unit = path
-    end = place[j + 1] if j + 1 < len(unit) and unit[j + 1] == unit[j] else chunk.group[unit[j]]
-    return int(end - place[j])
 
+def samples(chunk: Chunk, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text of a chunk: (ids, log-probability, inclusion score) of k distinct segmentations in the order drawn, of all
+    where there are fewer; of a text without units, an empty one.
 
-def units(path: str, cached: int = 300_000) -> Units:
+    The tree: a text's units in order, each with its segmentations. In each round every text opens the sibling subtree with the
+    highest bound; the new leaf shares the path up to that unit, takes another segmentation of it, and draws the rest afresh.
+    """
+    n = len(chunk.keys)
+    draws = chunk.draws(k)
+    number, log = draws[0]
+    lo, size = np.array(chunk.bounds[:-1], np.int64), chunk.size
+    total = np.concatenate([[0.0], np.cumsum(log)])
+    tops = np.array([-math.log(-math.log(uniform_one(row_seed(key, 1_000), 0))) for key in chunk.keys])
+    u = uniform(np.repeat(np.array([row_seed(key, 2_000) for key in chunk.keys], np.uint64), size), chunk.within)
+    bound = _bounds(log, total[:-1] - np.repeat(total[lo], size), np.repeat(tops, size), u)
+    cut = chunk.bounds
+    paths = [[number[cut[i] : cut[i + 1]]] for i in range(n)]
+    logs = [[log[cut[i] : cut[i + 1]]] for i in range(n)]
+    frontier = [[bound[cut[i] : cut[i + 1]].copy()] for i in range(n)]
+    barred: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(n)]  # (path, unit) -> masks that are taken
+
+    def best(i: int) -> tuple[float, int, int]:
+        at = [int(f.argmax()) for f in frontier[i]]
+        r = max(range(len(at)), key=lambda x: frontier[i][x][at[x]])
+        return float(frontier[i][r][at[r]]), r, at[r]
+
+    for r in range(1, k):
+        going = [(i, *best(i)) for i in range(n) if size[i] and len(paths[i]) == r]
+        going = [g for g in going if g[1] > -math.inf]
+        if not going:
+            break
+        fresh, fresh_log = draws[r]
+        old = chunk.masks(np.array([paths[i][b][j] for i, _, b, j in going], np.int64))
+        single, double = [], []
+        for g, m in zip(going, old.tolist(), strict=True):
+            i, _, b, j = g
+            taken = barred[i].setdefault((b, j), [m])
+            (single if len(taken) == 1 else double).append((g, taken))
+        picked: dict[int, tuple[int, float]] = {}
+        if single:
+            kinds = np.array([chunk.kind[cut[i] + j] for (i, _, _, j), _ in single], np.int64)
+            seeds = np.array([row_seed(chunk.keys[i], 3_000 + r) for (i, _, _, _), _ in single], np.uint64)
+            at, ps = chunk.other(kinds, seeds, np.array([t[0] for _, t in single], np.int64))
+            picked |= {g[0]: (int(x), float(y)) for (g, _), x, y in zip(single, at, ps, strict=True)}
+        for (i, _, _, j), taken in double:
+            w = chunk.lattice.walk_besides(chunk.known.text[int(chunk.kind[cut[i] + j])], taken, row_seed(chunk.keys[i], 3_000 + r))
+            picked[i] = (chunk.base + chunk.count, math.log(w.prob[0]))
+            chunk.drawn.append(w)
+            chunk.count += 1
+        new_masks = chunk.masks(np.array([picked[i][0] for i, _, _, _ in going], np.int64)).tolist()
+        for (i, top, b, j), m in zip(going, new_masks, strict=True):
+            taken = barred[i][b, j]
+            gone = sum(chunk.lattice.mask_prob(chunk.known.text[int(chunk.kind[cut[i] + j])], x) for x in taken) if len(taken) > 1 else math.exp(logs[i][b][j])
+            taken.append(m)
+            x, p = picked[i]
+            path = np.concatenate([paths[i][b][:j], [x], fresh[cut[i] + j + 1 : cut[i + 1]]])
+            lg = np.concatenate([logs[i][b][:j], [p], fresh_log[cut[i] + j + 1 : cut[i + 1]]])
+            before = np.cumsum(lg) - lg
+            rest = 1.0 - gone - math.exp(p)
+            frontier[i][b][j] = -math.inf
+            if rest > 1e-9:
+                mass = float(before[j]) + math.log(rest)
+                frontier[i][b][j] = mass - math.log(math.exp(min(700.0, mass - top)) - math.log(uniform_one(row_seed(chunk.keys[i], 4_000 + r), j)))
+            g = np.full(len(lg), -math.inf)
+            g[j + 1 :] = _bounds(lg[j + 1 :], before[j + 1 :], top, uniform(row_seed(chunk.keys[i], 2_000 + r), np.arange(j + 1, len(lg))))
+            paths[i].append(path), logs[i].append(lg), frontier[i].append(g)
+
+    ids = iter(chunk.tokens([p for some in paths for p in some]))
+    out = []
+    for i in range(n):
+        if not size[i]:
+            next(ids)
+            out.append([(np.empty(0, chunk.lattice.dtype), 0.0, 1.0)])
+            continue
+        left = best(i)[0]
+        row = []
+        for lg in logs[i]:
+            p = float(lg.sum())
+            row.append((next(ids), p, 1.0 if left == -math.inf else -math.expm1(-math.exp(min(50.0, p - left)))))
+        out.append(row)
+    return out
+
+
+def units(path: str, cached: int = 700_000) -> Units:
     """The worker's units of a model; begun anew when there are many."""
     cache = worker_cache("pieces")
     if path not in cache:
@@ -422,7 +568,7 @@ def units(path: str, cached: int = 300_000) -> Units:
     return cache[path]
 
 
-def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 3_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 2_000_000) -> DataFrame:
     """The columns ``keep`` (all by default) with ids, decoded and samples for every document.
 
     ids: the model's encoding of the whole text; decoded: whether ids give the text back; samples: up to k distinct
@@ -454,9 +600,8 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
                 c = Chunk(units(model), texts, keys[at : at + len(texts)])
                 ids = c.encoded()
                 back = c.decoded(ids)
-                sampler = Sampler(c, k)
-                samples = [[(show(t), p, q) for t, p, q in sampler.sample(i)] for i in range(len(texts))]
-                arrays = [pa.array([show(x) for x in ids], arrow), pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()), pa.array([[dict(zip(("ids", "log_prob", "inclusion"), s, strict=True)) for s in some] for some in samples], pa.list_(struct))]
+                some = [[(show(t), p, q) for t, p, q in row] for row in samples(c, k)]
+                arrays = [pa.array([show(x) for x in ids], arrow), pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()), pa.array([[dict(zip(("ids", "log_prob", "inclusion"), s, strict=True)) for s in row] for row in some], pa.list_(struct))]
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(n)), *arrays], names=[*names, *new])
                 at += len(texts)
 
