@@ -3,12 +3,12 @@
 1. Documents with equal sets collapse into one class, and classes with equal prefix and size into one group. The prefix holds
    the first ``n - ceil(t n) + 1`` shingles in an order that puts frequent shingles last; two sets of similarity t or more
    share a shingle of their prefixes in any such order.
-2. Group pairs are filtered by size and by the place of the shared shingle. To find connected documents, not all pairs of a
-   shingle's list are made: each group is first paired with the list's most central one (with the fewest rarer shingles), and
-   only lists that are not one component after that give their pairs across components.
+2. Group pairs are filtered by size and by the place of their first common shingle. To find connected documents, not
+   all pairs of a shingle's list are made: each group is first paired with the most central one (with the fewest rarer shingles)
+   of its lists, that of most lists, and only lists that are not one component after that give their pairs across components.
 3. Pairs of groups are expanded to their classes, and each pair is verified on the whole sets.
 
-The order needs no exact counts: a task reports the shingles that occur ``least`` times or more in one of its batches, so by
+The order needs no exact counts: long shingles come before short ones, and frequent ones last. A task reports the shingles that occur ``least`` times or more in one of its batches, so by
 the pigeonhole principle every shingle in more than ``(least - 1) x batches`` documents is known to be frequent. Lists of
 frequent shingles are handled by pre-aggregation and splittable joins, and only the others, which are short, by windows.
 Shingles are 64-bit hashes; a class is known by its size and a 64-bit hash of its set.
@@ -17,53 +17,81 @@ Shingles are 64-bit hashes; a class is known by its size and a 64-bit hash of it
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, ship, worker_cache, written
+from .common import BLANKS, dropped, ship, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Hashes(dict):
-    """Hashes of words, kept while there are not too many."""
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS)] = True
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64."""
+    if n > len(_powers[0]):
+        m = max(n, 1 << 16)
+        both = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, x, np.uint64)])) for x in (_BASE, _INVERSE)]
+        if m > 1 << 22:  # of very long texts: not kept
+            return both[0][:n], both[1][:n]
+        _powers[:] = both
+    return _powers[0][:n], _powers[1][:n]
 
-def _hashes() -> _Hashes:
-    cache = worker_cache("jaccard_join")
-    if "words" not in cache:
-        cache["words"] = _Hashes()
-    return cache["words"]
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and bytes of the text's words: A-Z are lower-cased, and words are parted by \\x20 and \\x09-\\x0D.
 
-def shingles(text: str | None, k: int, hashes: dict) -> np.ndarray:
+    All at once: a word's hash is its part of a polynomial over the text's bytes, moved to the origin.
+    """
+    if not text:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    b = np.frombuffer(text.encode().translate(_LOWER), np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = ~_BLANK[b]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _power(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * power[1:], out=total[1:])
+    size = end - start
+    return _mixed((total[end] - total[start]) * inverse[start] + size.astype(np.uint64)), size
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
     """Hashes of the text's k-word shingles, in place order, with repeats; of fewer words, one of them all; of none, nothing.
 
-    A-Z are lower-cased and words parted by \\x20 and \\x09-\\x0D.
+    The first byte falls with the shingle's length in bytes, so that long shingles, which hardly recur by chance, sort first.
     """
-    words = text.encode().translate(_LOWER).split() if text else []
-    n = len(words)
+    w, size = word_hashes(text)
+    n = len(w)
     if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        return w
     m = max(1, n - k + 1)
-    h = np.full(m, min(n, k), np.uint64)
+    h, length = np.full(m, min(n, k), np.uint64), np.zeros(m, np.int64)
     for i in range(min(n, k)):
-        h = h * _PRIME + w[i : i + m]
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    h ^= h >> np.uint64(29)
-    return h
+        h *= _PRIME
+        h += w[i : i + m]
+        length += size[i : i + m]
+    first = np.uint64(255) - np.minimum(length, 255).astype(np.uint64)
+    return (_mixed(h) >> np.uint64(8)) | (first << np.uint64(56))
 
 
 def least_shared(n, percent: int):
@@ -75,23 +103,33 @@ def _int(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int, least: int = 4, most: int = 200_000) -> np.ndarray:
-    """Frequent shingles, the least frequent first. At most ``most`` (the most frequent) are returned: it bounds what is sent
-    to the tasks, and has no bearing on the result, as any order is valid."""
+def frequent_shingles(docs: DataFrame, text: str, k: int, least: int = 2, most: int = 1_000_000) -> np.ndarray:
+    """Frequent shingles, the least frequent first. At most ``most`` (of the highest counts) are returned: it bounds what is sent
+    to the driver and the tasks, 16 bytes each, and has no bearing on the result, as any order is valid."""
 
     def run(batches):
-        hashes = _hashes()
         for batch in batches:
             column = batch.column(0)
-            got = [np.unique(s) for i in range(len(column)) if len(s := shingles(column[i].as_py(), k, hashes))]
+            got = [s for i in range(len(column)) if len(s := shingles(column[i].as_py(), k))]
             if got:
                 value, count = np.unique(np.concatenate(got), return_counts=True)
                 some = count >= least
                 yield pa.RecordBatch.from_arrays([_int(value[some]), pa.array(count[some].astype(np.int64))], names=["token", "c"])
 
-    counts = docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
-    table = counts.orderBy(F.desc("c"), "token").limit(most).toArrow()
-    return table.column("token").to_numpy()[::-1].view(np.uint64)
+    counts = written(docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")), "frequent")
+    total, floor = 0, None
+    for r in counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).collect():  # 10,000 rows at most
+        total += r["count"]
+        if total > most:
+            break
+        floor = r["c"]
+    if floor is None:
+        dropped(counts)
+        return np.empty(0, np.uint64)
+    table = counts.where(F.col("c") >= floor).toArrow()
+    dropped(counts)
+    token = table.column("token").to_numpy()
+    return token[np.lexsort((token, table.column("c").to_numpy()))].view(np.uint64)
 
 
 def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -103,13 +141,13 @@ def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequen
     known = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # bounded: 16 bytes each
 
     def run(batches):
-        hashes, seen = _hashes(), set()
+        seen: set[int] = set()
         values, ranks = known.value
         for batch in batches:
             column = batch.column(2)
             size, gid, grp, cold, prefix = [], [], [], [], []
             for i in range(len(column)):
-                s = np.unique(shingles(column[i].as_py(), k, hashes))
+                s = np.unique(shingles(column[i].as_py(), k))
                 n = len(s)
                 size.append(n)
                 if not n:
@@ -142,11 +180,15 @@ def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequen
     return source.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, tk bigint, n int, gid bigint, grp bigint, cold int, prefix array<bigint>")
 
 
+def _near(n1: str, n2: str, percent: int):
+    """Size filter."""
+    return F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)
+
+
 def _fits(percent: int, n1: str, j1: str, n2: str, j2: str):
-    """Size and place filter: what can still be shared from a common shingle at places j1 and j2 on reaches what is needed."""
-    rest = F.least(F.col(n1) - F.col(j1), F.col(n2) - F.col(j2))
+    """Size and place filter: from their first common shingle, at places j1 and j2, on, two sets can share what is left at most."""
     need = F.ceil(F.lit(percent) * (F.col(n1) + F.col(n2)) / F.lit(100 + percent))
-    return (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)) & (rest >= need)
+    return _near(n1, n2, percent) & (F.least(F.col(n1) - F.col(j1), F.col(n2) - F.col(j2)) >= need)
 
 
 def _lists(table: DataFrame) -> DataFrame:
@@ -164,16 +206,64 @@ def _lists(table: DataFrame) -> DataFrame:
     return short.where("lo < hi").select(*columns).unionByName(long.select(*columns))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_task: int = 2_000) -> DataFrame:
-    """The pairs (a, b) of classes that link. texts: (gid, t) of the classes. A class with many partners is dealt to several tasks."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(per_task)).cast("int").alias("salts"))
-    right = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")).join(texts.withColumnRenamed("gid", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "t")
-    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("gid", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "t")
+def _counted(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Count filter. Pairs (x, y) of groups whose prefixes share enough; groups: (grp, n, tokens), the shared shingles of each.
+
+    Of two prefixes, the one that ends first in the order holds all common shingles up to there; so the sets share what the
+    prefixes do and, at most, what is left of that set.
+    """
+    one, two = groups.select(F.col("grp").alias("x"), F.col("n").alias("n1"), F.col("tokens").alias("t1")), groups.select(F.col("grp").alias("y"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
+    both = pairs.join(one, "x").join(two, "y")
+    rest = F.ceil(F.lit(percent) * F.greatest("n1", "n2") / F.lit(100)) - 1
+    need = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
+    return both.where(F.size(F.array_intersect("t1", "t2")) + rest >= need).select("x", "y")
+
+
+def _fetched(source: DataFrame, needed: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """(needed's columns, t): rows of source (id2, tk2, t) that needed (id, tk, ...) asks for, by a shuffle of hardly more than these.
+
+    A Bloom filter of needed keeps back other rows. It has 16 bits a row and ``most_bits`` at most, which bounds what is sent to
+    the driver and the tasks; with more rows it keeps back fewer.
+    """
+    spark, n = source.sparkSession, needed.count()
+    bits = 1 << min(most_bits.bit_length() - 1, max(12, (16 * n).bit_length()))
+    at = lambda c: [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(3)]
+    words = needed.select(F.explode(F.array(*at("tk"))).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 31))")).alias("b")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    known = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        t, out = known.value, np.ones(len(a), bool)
+        for x in (a, b, c):
+            v = x.to_numpy()
+            out &= (t[v >> 5] >> (v & 31).astype(np.uint32)) & 1 == 1
+        return pd.Series(out)
+
+    some = source.where(may(*at("tk2")))
+    return some.join(needed.hint("merge"), F.col("id2").eqNullSafe(F.col("id")) & (F.col("tk2") == F.col("tk"))).drop("id2", "tk2")
+
+
+def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, percent: int, per_task: int = 2_000) -> DataFrame:
+    """The pairs (a, b) of classes that link. places: (gid, id, tk) of a document of each class; source: the documents' texts.
+
+    A pair goes to its class with more partners, and a class with very many is dealt to several tasks.
+    """
+    ends = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).groupBy("gid").agg(F.count("*").alias("d"))
+    both = pairs.join(ends.toDF("a", "da"), "a").join(ends.toDF("b", "db"), "b")
+    turn = F.struct("da", "a") < F.struct("db", "b")
+    turned = both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+    turned = written(turned, "turned")
+    many = turned.groupBy("a").agg(F.ceil(F.count("*") / F.lit(per_task)).cast("int").alias("salts"))
+    right = turned.join(many, "a").select(F.col("b").alias("gid"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind")).alias("to"))
+    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(F.col("a").alias("gid"), F.struct("a", "salt", F.lit(0).alias("kind")).alias("to"))
+    needed = left.unionByName(right).groupBy("gid").agg(F.collect_list("to").alias("to")).join(places, "gid")  # a class's list is the square root of the pairs at most
+    rows = _fetched(source, written(needed, "needed")).select("gid", "t", F.explode("to").alias("to")).select("to.a", "to.salt", "to.kind", F.col("gid").alias("b"), "t")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.unionByName(right).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind")
+    dealt = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind")
 
     def run(batches):
-        hashes = _hashes()
         now, own = None, None
         for batch in batches:
             found = []
@@ -181,9 +271,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_task:
             for i, (a, kind, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 if kind == 0:
                     if a != now:
-                        now, own = a, np.unique(shingles(t[i].as_py(), k, hashes))
+                        now, own = a, np.unique(shingles(t[i].as_py(), k))
                 elif a == now:
-                    s = np.unique(shingles(t[i].as_py(), k, hashes))
+                    s = np.unique(shingles(t[i].as_py(), k))
                     small, large = (s, own) if len(s) < len(own) else (own, s)
                     at = np.searchsorted(large, small)
                     at[at == len(large)] = 0
@@ -220,7 +310,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least: int = 4) -> DataFrame:
+def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least: int = 2) -> DataFrame:
     """A row a document: key, tk (a hash of its text), n_shingles, class_id and component_id (the smallest key that links reach).
 
     Texts without words (null, empty, blank) have no shingles and link with nothing; their component is their own key. Null
@@ -231,43 +321,43 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     ship(spark)
     frequent = frequent_shingles(docs, text, k, least)
     table = written(prefixes(docs, key, text, k, percent, frequent), "prefixes")
-    members = table.where("n > 0").select("grp", "gid", "n").distinct()
+    members = written(table.where("n > 0").select("grp", "gid", "n").distinct(), "members")
     lists = written(_lists(table), "lists")
-    star = lists.where("grp <> rep").where(_fits(percent, "n", "j", "rep_n", "rep_j")).select(F.col("rep").alias("x"), F.col("grp").alias("y")).distinct()
+    groups = written(lists.groupBy("grp").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"), F.collect_list("j").alias("js")), "groups")
+    near = lists.where("grp <> rep").where(_fits(percent, "n", "j", "rep_n", "rep_j")).groupBy("grp", "rep").agg(F.count("*").alias("c"))
+    star = near.groupBy(F.col("grp").alias("y")).agg(F.max(F.struct("c", "rep")).alias("b")).select(F.col("b.rep").alias("x"), "y")
     inner = members.groupBy("grp").agg(F.min("gid").alias("a"), F.max("gid").alias("z")).where("a < z")  # groups of several classes
     inside = members.join(inner.select("grp", "a"), "grp").where("gid <> a").select("a", F.col("gid").alias("b"))
+    places = table.where("n > 0").groupBy("gid").agg(F.min(F.struct("id", "tk")).alias("d")).select("gid", F.col("d.id").alias("id"), F.col("d.tk").alias("tk"))
+    source = docs.select(F.col(key).alias("id2"), F.xxhash64(text).alias("tk2"), F.col(text).alias("t"))
 
     def expanded(group_pairs: DataFrame) -> DataFrame:
         one, two = members.select(F.col("grp").alias("x"), F.col("gid").alias("a")), members.select(F.col("grp").alias("y"), F.col("gid").alias("b"))
         return group_pairs.join(one, "x").join(two, "y").select("a", "b")
 
-    pairs = written(expanded(star).unionByName(inside).distinct(), "pairs")
-    chosen = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).distinct()
-    grouped = lists.select("grp").distinct().join(members, "grp").select("gid").unionByName(chosen).distinct()
-    first = table.where("n > 0").groupBy("gid").agg(F.min(F.struct("id", "tk")).alias("d")).join(grouped, "gid").select("gid", F.col("d.id").alias("id"), F.col("d.tk").alias("tk"))
-    source = docs.select(F.col(key).alias("id2"), F.xxhash64(text).alias("tk2"), F.col(text).alias("t"))
-    texts = written(source.join(first, F.col("id2").eqNullSafe(F.col("id")) & (F.col("tk2") == F.col("tk"))).select("gid", "t"), "texts")
-    edges = written(_verify(pairs, texts, k, percent), "links")
+    pairs = written(expanded(_counted(star, groups, percent)).unionByName(inside).distinct(), "pairs")
+    edges = written(_verify(pairs, places, source, k, percent), "links")
     labels = components(edges)
 
     # lists and groups that are not one component yet: all pairs across components
-    comp = members.join(labels, "gid", "left").select("grp", "gid", "n", F.coalesce("comp", "gid").alias("comp"))
+    comp = written(members.join(labels, "gid", "left").select("grp", "gid", "n", F.coalesce("comp", "gid").alias("comp")), "comp")
     group_comp = comp.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_lists = lists.select("token", "grp", "n", "j").join(group_comp, "grp")
-    ends = open_lists.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
-    rows = written(open_lists.join(ends, "token"), "open")
-    other = rows.toDF("grp2", "token", "n2", "j2", "lo2", "hi2") if rows.columns == ["grp", "token", "n", "j", "lo", "hi"] else rows.select("token", F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("j").alias("j2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    across = rows.join(other, "token").where((F.col("grp") < F.col("grp2")) & (F.least("lo", "lo2") < F.greatest("hi", "hi2")) & _fits(percent, "n", "j", "n2", "j2")).select(F.col("grp").alias("x"), F.col("grp2").alias("y")).distinct()
+    rows = groups.join(group_comp, "grp").select("grp", "n", "lo", "hi", F.explode(F.arrays_zip("tokens", "js")).alias("e"))
+    rows = written(rows.select(F.col("e.tokens").alias("token"), "grp", "n", F.col("e.js").alias("j"), "lo", "hi"), "rows")
+    p, q = rows.alias("p"), rows.alias("q")
+    across_components = F.least("p.lo", "q.lo") < F.greatest("p.hi", "q.hi")
+    meet = p.join(q, F.col("p.token") == F.col("q.token")).where((F.col("p.grp") < F.col("q.grp")) & across_components & _fits(percent, "p.n", "p.j", "q.n", "q.j"))
+    across = _counted(written(meet.select(F.col("p.grp").alias("x"), F.col("q.grp").alias("y")).distinct(), "across"), groups, percent)
     one = comp.join(group_comp.where("lo < hi").select("grp"), "grp")
     two = one.select("grp", F.col("gid").alias("b"), F.col("comp").alias("comp2"))
     within = one.join(two, "grp").where("gid < b and comp <> comp2").select(F.col("gid").alias("a"), "b")
     more = written(expanded(across).unionByName(within).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        extra = written(_verify(more, texts, k, percent), "links")
+        extra = written(_verify(more, places, source, k, percent), "links")
         final = components(edges.unionByName(extra))
         dropped(labels, extra)
         labels = final
-    dropped(lists, pairs, texts, edges, rows, more)
+    dropped(lists, groups, pairs, edges, rows, more, comp)
 
     docs_ = table.select("id", "tk", "n", "gid").join(labels, "gid", "left").select("id", "tk", "n", "gid", F.coalesce("comp", "gid").alias("comp"))
     least_id = docs_.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -285,5 +375,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     kept = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("c")).agg(F.min(F.struct(F.col(key).isNull().alias("o"), F.col(key).alias("id"), F.col("tk"))).alias("d")).select(F.col("d.id").alias("__id"), F.col("d.tk").alias("__tk"))
     marked = docs.withColumn("__h", F.xxhash64(text))
     words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    stay = marked.where(words).join(kept, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__tk"))).dropDuplicates(["__id", "__tk"])
+    stay = marked.where(words).join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__tk"))).dropDuplicates(["__id", "__tk"])
     return stay.select(*names).unionByName(marked.where(~words).select(*names))
