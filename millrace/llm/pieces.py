@@ -202,6 +202,15 @@ class Lattice:
                 ids[i] = ids[i][n:]
         return ids, odd
 
+    def sound(self, units: list[str], flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the ids of each unit, end to end in flat, spell it."""
+        got, first = self.bytes_of.joined(flat.astype(np.int64))
+        want = "".join(units).encode()
+        if got.tobytes() == want and np.array_equal(first[np.cumsum(length)], np.cumsum([len(u.encode()) for u in units])):
+            return np.ones(len(units), bool)
+        ends = [0, *first[np.cumsum(length)].tolist()]
+        return np.array([got[a:b].tobytes() == u.encode() for u, a, b in zip(units, ends, ends[1:], strict=False)], bool)
+
     def walk(self, units: list[str], seeds: np.ndarray, masks: np.ndarray, block: int = 20_000) -> Walks:
         """A segmentation of each unit, drawn from all but that of its mask.
 
@@ -361,17 +370,19 @@ class Units:
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
         self.text: list[str] = []
-        self.whole, self.prob, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, np.int64)
+        self.whole, self.sound, self.prob, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, np.int64)
         self.ids, self.main = FlatTable(lattice.dtype), FlatTable(lattice.dtype)
 
     def learn(self, units: list[str]) -> None:
         if not units:
             return
         n = len(self.text)
-        self.whole, self.prob, self.mask = (grown(x, n + len(units)) for x in (self.whole, self.prob, self.mask))
+        self.whole, self.sound, self.prob, self.mask = (grown(x, n + len(units)) for x in (self.whole, self.sound, self.prob, self.mask))
         ids, whole = self.lattice.encode_units(units)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids.add(units, np.fromiter(chain.from_iterable(ids), self.lattice.dtype, int(length.sum())), np.cumsum(length) - length, length)
+        flat = np.fromiter(chain.from_iterable(ids), self.lattice.dtype, int(length.sum()))
+        self.ids.add(units, flat, np.cumsum(length) - length, length)
+        self.sound[n : n + len(units)] = self.lattice.sound(units, flat, length)
         self.whole[n : n + len(units)] = whole
         w = self.lattice.main(units)
         self.main.add(units, w.ids, w.start, w.length, named=False)
@@ -388,10 +399,12 @@ class Chunk:
     def __init__(self, known: Units, texts: list[str], keys: list):
         self.known, self.lattice, self.keys, self.texts = known, known.lattice, keys, texts
         words: list[str] = []
-        self.bounds = [0]
+        self.bounds, self.plain = [0], []
         for t in texts:
-            words += units_of(known.lattice.sp.normalize(t)) if t else []
+            normal = known.lattice.sp.normalize(t) if t else ""
+            words += units_of(normal)
             self.bounds.append(len(words))
+            self.plain.append(normal.replace("▁", " ")[1:] == t)
         known.learn([u for u in dict.fromkeys(words) if u not in known.ids.numbers])
         self.kind = known.ids.numbered(words)
         self.prob = known.prob[self.kind]
@@ -410,11 +423,10 @@ class Chunk:
             out.append(ids[first[a] : first[b]] if odd[a] == odd[b] else np.array(self.lattice.sp.encode(t), self.lattice.dtype))
         return out
 
-    def decoded(self, ids: list[np.ndarray]) -> list[str]:
-        """The texts of the ids."""
-        bytes_, first = self.lattice.bytes_of.joined(np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64))
-        ends = first[np.cumsum([0, *map(len, ids)])].tolist()
-        return [bytes_[a:b].tobytes().decode("utf-8", "replace").replace("▁", " ")[1:] for a, b in zip(ends, ends[1:], strict=False)]
+    def decoded(self, ids: list[np.ndarray]) -> list[bool]:
+        """Whether the ids of each text give it back: where each unit's give the unit, they give the normalized text."""
+        bad = np.concatenate([[0], np.cumsum(self.known.whole[self.kind] | ~self.known.sound[self.kind])])
+        return [plain if bad[a] == bad[b] else self.lattice.sp.decode(x.tolist()) == t for t, x, plain, a, b in zip(self.texts, ids, self.plain, self.bounds, self.bounds[1:], strict=False)]
 
     def other(self, kinds: np.ndarray, seeds: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and log-probabilities of segmentations of these units, drawn from all but the given ones."""
@@ -568,7 +580,7 @@ def units(path: str, cached: int = 700_000) -> Units:
     return cache[path]
 
 
-def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 4_000_000) -> DataFrame:
     """The columns ``keep`` (all by default) with ids, decoded and samples for every document.
 
     ids: the model's encoding of the whole text; decoded: whether ids give the text back; samples: up to k distinct
@@ -599,9 +611,9 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
                 part = batch.slice(at, len(texts))
                 c = Chunk(units(model), texts, keys[at : at + len(texts)])
                 ids = c.encoded()
-                back = c.decoded(ids)
+                same = c.decoded(ids)
                 some = [[(show(t), p, q) for t, p, q in row] for row in samples(c, k)]
-                arrays = [pa.array([show(x) for x in ids], arrow), pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()), pa.array([[dict(zip(("ids", "log_prob", "inclusion"), s, strict=True)) for s in row] for row in some], pa.list_(struct))]
+                arrays = [pa.array([show(x) for x in ids], arrow), pa.array(same, pa.bool_()), pa.array([[dict(zip(("ids", "log_prob", "inclusion"), s, strict=True)) for s in row] for row in some], pa.list_(struct))]
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(n)), *arrays], names=[*names, *new])
                 at += len(texts)
 
