@@ -156,7 +156,8 @@ def _cut(good: np.ndarray, bad: np.ndarray, step: float, least_gain: float) -> f
 def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", stratum: str = "lang", bound: int = 20_000, **how) -> Cutoffs:
     """Calibrate on at most about ``bound`` labelled documents, chosen by a hash of the id; the statistics are taken over whole texts.
 
-    Rows with a null id or label are left out; of several labels of one id the lowest counts.
+    Rows with a null id or label are left out, and documents that the base rule rejects, as no cutoff matters to them; of several
+    labels of one id the lowest counts.
     """
     ship(docs.sparkSession)
     chosen = bounded_sample(labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("good")).where("k is not null and good is not null").groupBy("k").agg(F.min("good").alias("good")), ["k"], bound)
@@ -165,8 +166,10 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     def run(batches):
         for batch in batches:
             t = batch.column(1).to_pylist()
-            values = [statistics(x, counts(x)) for x in t]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["s", "v", "good", "held"])
+            c = [counts(x) for x in t]
+            some = pa.array([i for i, x in enumerate(c) if not base_failed(x)], pa.int64())
+            values = [statistics(t[i], c[i]) for i in some.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(values, pa.list_(pa.float64())), batch.column(2).take(some), batch.column(3).take(some)], names=["s", "v", "good", "held"])
 
     got = rows.mapInArrow(run, "s string, v array<double>, good int, held boolean").collect()
     return Cutoffs.calibrate([r.s or "" for r in got], np.array([r.v for r in got], float).reshape(len(got), len(RULES)), np.array([r.good for r in got], int), np.array([r.held for r in got], bool), **how)
