@@ -85,4 +85,28 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_token_output, op4_quality_rules, op5_decontamination, op6_license_scan, op7_quality_classifier, op8_language_id, op9_jaccard_join, op10_pieces)}
 
 #: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+SQL: dict[str, str] = {
+    "op2_line_dedup": rf"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
+y AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '{_WORDS}')) AS w FROM x WHERE regexp_matches(line, '{_WORDS}')),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM y),
+runs AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50 GROUP BY a.doc_id, a.i
+  UNION SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.i),
+texts AS (SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY z.i) AS t FROM runs r JOIN z ON z.doc_id = r.doc_id AND z.i BETWEEN s AND e GROUP BY r.doc_id, s, e),
+later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS r FROM texts) WHERE r > 1),
+gone AS (SELECT doc_id, list(pos) AS ps FROM (SELECT DISTINCT z.doc_id, z.pos FROM later JOIN z ON z.doc_id = later.doc_id AND z.i BETWEEN s AND e) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(ps, i)), lambda i: ls[i]), chr(10)) END AS text
+FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id""",
+    "op9_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}'), []) AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS t FROM w),
+n AS (SELECT w.doc_id, count(t) AS n FROM w LEFT JOIN g ON w.doc_id = g.doc_id GROUP BY w.doc_id),
+links AS (SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) p
+  JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 100 * p.c >= 75 * (a.n + b.n - p.c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, links.y FROM r JOIN links ON links.x = r.c)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m ON n.doc_id = m.doc_id""",
+}
