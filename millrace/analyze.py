@@ -43,6 +43,13 @@ def explain_measured(engine: Engine, sql: str, evidence: dict | None) -> dict:
     return out | {"measured": evidence if same else None}
 
 
+def evidence(spark, path: str) -> dict:
+    """A recorded run (a JSON object of sql, tables and measurements), from any store that Spark reads."""
+    import json
+
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def partition_explorer(df: DataFrame, column: str, buckets: int = 8, factor: float = 1.5) -> DataFrame:
     """(bucket, n_rows, share, is_hot, cv, skew_ratio) of the buckets that have rows; empty ones count in the mean."""
     if not 2 <= buckets <= 32:

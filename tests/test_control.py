@@ -7,6 +7,7 @@ from millrace.operators.checksum import semantic_checksum
 from millrace.plans.lazy import Cache, LazyPlan
 from millrace.plans.lineage import Lineage
 from millrace.plans.sqlgate import UnsupportedSQL
+from millrace.workspace import workspace
 
 
 def test_admission():
@@ -80,6 +81,9 @@ def test_explain(spark, sf):
     assert x["operation"] == "aggregate" and x["pushed"] == ["o_custkey>5"] and "FileScan" in x["physical"] or "Scan parquet" in x["physical"]
     assert analyze.explain_measured(e, sql, {"sql": sql, "tables": ["orders"], "ms": 3})["measured"]["ms"] == 3
     assert analyze.explain_measured(e, sql, {"sql": "SELECT 1", "tables": ["orders"]})["measured"] is None
+    path = workspace(spark, "evidence")
+    spark.createDataFrame([('{"sql": "SELECT 1", "ms": 4}',)], "value string").coalesce(1).write.text(path)
+    assert analyze.evidence(spark, path)["ms"] == 4
     with pytest.raises(ValueError, match="overrides"):
         analyze.Workload(e).replay(colour="red")
 
