@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -163,6 +166,14 @@ def worker_cache(name: str) -> dict:
     return _CACHES.setdefault((os.getpid(), name), {})
 
 
+def released(name: str) -> None:
+    """Empty a worker's dictionary and give its memory back to the system."""
+    worker_cache(name).clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _CACHES: dict = {}
 
 

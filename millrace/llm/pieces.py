@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FlatTable, grown, out_schema, ship, worker_cache
+from .common import FlatTable, grown, out_schema, released, ship, worker_cache
 
 LONGEST = 32
 LIFT = 12.0 ** np.arange(1, LONGEST + 1)  # the same factor for all paths of a unit: keeps numbers in range
@@ -580,13 +580,15 @@ def units(path: str, cached: int = 700_000) -> Units:
     return cache[path]
 
 
-def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 4_000_000, cached: int = 700_000, release: bool = False) -> DataFrame:
     """The columns ``keep`` (all by default) with ids, decoded and samples for every document.
 
     ids: the model's encoding of the whole text; decoded: whether ids give the text back; samples: up to k distinct
     segmentations as (ids, log_prob, inclusion), of all where the lattice has fewer. Ids are arrays, or with ``packed``
     little-endian binary of 2 bytes each (4 for large vocabularies). Null texts are empty and have one empty sample. Rows
-    equal in key and text get equal samples. Columns of docs with the names of new ones are replaced. One pass, no shuffle.
+    equal in key and text get equal samples. ``chunk`` characters are treated together and about ``cached`` units kept by a worker,
+    0.5 GB in all as they are; ``release``: a task gives the worker's memory back at its end. Neither has a bearing on the
+    results. Columns of docs with the names of new ones are replaced. One pass, no shuffle.
     """
     ship(docs.sparkSession)
     kind = "binary" if packed else "array<int>"
@@ -598,7 +600,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
     struct = pa.struct([("ids", arrow), ("log_prob", pa.float64()), ("inclusion", pa.float64())])
 
     def run(batches):
-        dtype = units(model).lattice.dtype
+        dtype = units(model, cached).lattice.dtype
         show = (lambda x: np.asarray(x, dtype).tobytes()) if packed else (lambda x: [int(v) for v in x])
         for batch in batches:
             column, keys = batch.column(n + 1), batch.column(n).to_pylist()
@@ -609,13 +611,16 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
                     texts.append(column[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
                 part = batch.slice(at, len(texts))
-                c = Chunk(units(model), texts, keys[at : at + len(texts)])
+                c = Chunk(units(model, cached), texts, keys[at : at + len(texts)])
                 ids = c.encoded()
                 same = c.decoded(ids)
                 some = [[(show(t), p, q) for t, p, q in row] for row in samples(c, k)]
                 arrays = [pa.array([show(x) for x in ids], arrow), pa.array(same, pa.bool_()), pa.array([[dict(zip(("ids", "log_prob", "inclusion"), s, strict=True)) for s in row] for row in some], pa.list_(struct))]
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(n)), *arrays], names=[*names, *new])
                 at += len(texts)
+                del c, ids, some, arrays
+        if release:
+            released("pieces")
 
     return source.mapInArrow(run, out_schema(docs, names, new))
 
