@@ -40,8 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (16-bit little-endian), and two sampled segmentations with their inclusion scores."""
-    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), k=2, keep=["doc_id", "lang", "source"], packed=True)
+    """Token ids (16-bit little-endian), and two sampled segmentations with their inclusion scores.
+
+    Executors have run other stages before, so workers hold less and give it back.
+    """
+    small = {"chunk": 1_500_000, "cached": 250_000, "release": True}
+    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), k=2, keep=["doc_id", "lang", "source"], packed=True, **small)
     return out.select("doc_id", "lang", "source", (F.length("ids") / 2).cast("long").alias("n_ids"), "ids", "decoded", "samples")
 
 
