@@ -41,7 +41,7 @@ def _islands(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """(id, tk, start, lines): islands of recurring lines with min_words words or more; lines: (pos, a, b, w) in order."""
     by_doc = Window.partitionBy("id", "tk").orderBy("pos")
     lines = lines_of(docs, key, text).dropDuplicates(["id", "tk", "pos"]).withColumn("i", F.row_number().over(by_doc))
-    often = lines.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+    often = written(lines.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"), "often")  # so that the join can split hot lines
     again = lines.join(often, ["a", "b"])
     marked = again.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("id", "tk").orderBy("i")))
     grouped = marked.groupBy("id", "tk", "island").agg(F.sum("w").alias("words"), F.sort_array(F.collect_list(F.struct("pos", "a", "b", "w"))).alias("lines"))
