@@ -245,7 +245,7 @@ def _fetched(source: DataFrame, needed: DataFrame, most_bits: int = 1 << 27) ->
     return some.join(needed.hint("merge"), F.col("id2").eqNullSafe(F.col("id")) & (F.col("tk2") == F.col("tk"))).drop("id2", "tk2")
 
 
-def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, percent: int, per_task: int = 2_000) -> DataFrame:
+def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, percent: int, per_task: int = 500) -> DataFrame:
     """The pairs (a, b) of classes that link. places: (gid, id, tk) of a document of each class; source: the documents' texts.
 
     A pair goes to its class with more partners, and a class with very many is dealt to several tasks.
@@ -360,7 +360,7 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     dropped(lists, groups, pairs, edges, rows, more, comp)
 
     docs_ = table.select("id", "tk", "n", "gid").join(labels, "gid", "left").select("id", "tk", "n", "gid", F.coalesce("comp", "gid").alias("comp"))
-    least_id = docs_.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id"))
+    least_id = written(docs_.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id")), "least")  # so that the join can split large components
     out = docs_.where("n > 0").join(least_id, "comp").select("id", "tk", "n", "gid", "component_id").unionByName(docs_.where("n = 0").select("id", "tk", "n", "gid", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), "tk", F.col("n").cast("long").alias("n_shingles"), F.col("gid").alias("class_id"), "component_id")
 
