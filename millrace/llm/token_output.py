@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -29,6 +30,18 @@ from .common import FlatTable, new_folder, ship, worker_cache
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
+#: White space other than spaces and newlines.
+OTHER_ASCII = [c for c in map(chr, range(128)) if c.isspace() and c not in " \n"]
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def plain(text: str) -> bool:
+    """Whether the text's white space is single spaces and newlines between words."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (OTHER_ASCII if text.isascii() else OTHER_SPACE))
+
+
 class WordEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library.
 
@@ -58,8 +71,31 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, words: list[str]) -> None:
-        """Words that begin with a tab have no space before them, those with a newline have it instead."""
+    def _learn(self, words: set[str]) -> None:
+        """Words that begin with a tab have no space before them, those with a newline have it instead.
+
+        The pre-tokenizer parts letters from punctuation behind them, so such words are put together from both.
+        """
+        known = self.table.numbers
+        both, heads, ends, need = [], [], [], set()
+        for w in words:
+            head = w.rstrip(string.punctuation)
+            if len(head) < len(w) and head.lstrip("\t\n").isalpha():
+                both.append(w)
+                heads.append(head)
+                ends.append("\t" + w[len(head) :])
+            else:
+                need.add(w)
+        need.update(heads, ends)
+        self._add(list(need.difference(known)))
+        if both:
+            pairs = np.stack([self.table.numbered(heads), self.table.numbered(ends)], 1).ravel()
+            ids, first = self.table.joined(pairs)
+            self.table.add(both, ids, first[:-1:2], first[2::2] - first[:-1:2])
+
+    def _add(self, words: list[str]) -> None:
+        if not words:
+            return
         ids = self._ids("\n" + "\n".join([w[1:] if w[0] in "\t\n" else " " + w for w in words]))
         cuts = np.flatnonzero(ids == self.line)
         bare = np.fromiter((w[0] != "\n" for w in words), np.int64, len(words))
@@ -71,9 +107,8 @@ class WordEncoder:
         words: list[str] = []
         bounds: list[tuple[int, int] | None] = []
         for t in texts:
-            own = t.replace("\n", " \n").split(" ") if t and self.by_word else None
-            # as many words by any white space: none but single spaces and newlines
-            if own and own[0] and own[-1] not in ("", "\n") and len(t.split()) == len(own) and "\n " not in t and not own[0].startswith("\n"):
+            if t and self.by_word and plain(t):
+                own = t.replace("\n", " \n").split(" ")
                 own[0] = "\t" + own[0]
                 bounds.append((len(words), len(words) + len(own)))
                 words += own
@@ -81,8 +116,7 @@ class WordEncoder:
                 bounds.append(None)
         if self.table is None or len(self.table.numbers) > self.cached:
             self.table = FlatTable(self.dtype)
-        known = self.table.numbers
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = set(words).difference(self.table.numbers)
         if new:
             self._learn(new)
         ids, first = self.table.joined(self.table.numbered(words))
