@@ -8,6 +8,7 @@ decompresses only these. Token ids are unsigned little-endian integers of 2 byte
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import string
@@ -218,6 +219,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     edges = np.array(sorted(set(edges or [])), np.int64)
 
     def encode(batches):
+        gc.disable()  # millions of strings and no cycles: passes over them find nothing
         coder = encoder(tokenizer)
         width = coder.dtype.itemsize
         pack = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
@@ -239,6 +241,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                     ],
                     names=["part", "k", "size", "width", "checksum", "frame"],
                 )
+        gc.enable()
 
     def write(batches):
         fs, root = _open(folder)
