@@ -5,7 +5,8 @@ holdout half by their ids. On the design half, a strictness (a share of good doc
 holdout, stratum by stratum, growing strictness is tested in a fixed sequence: it is valid while the exact (Clopper-Pearson)
 upper bound on the share of good documents that the rules reject together is at most ``risk``. A fixed sequence needs no
 correction within a stratum; between strata the error is divided (Bonferroni). So with probability 1 - error, the false
-rejections of every stratum stay under ``risk``.
+rejections of every stratum stay under ``risk``. A stratum without a valid strictness of its own has no cutoffs,
+unless ``pooled`` asks for those of all strata together, which hold for the pool alone.
 """
 
 from __future__ import annotations
@@ -107,31 +108,37 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 
 @dataclass
 class Cutoffs:
-    """By stratum: a cutoff for each rule, or infinity. "" holds the pool's, for strata with too few labels to be certified."""
+    """By stratum: a cutoff for each rule, or infinity. Null strata are "". No rule rejects in strata that are missing, if there is no ``pool``."""
 
     by: dict[str, list[float]]
     bounds: dict[str, float]
+    pool: list[float] | None = None
 
     def of(self, stratum: str | None) -> list[float]:
-        return self.by.get(stratum or "", self.by.get("", [math.inf] * len(RULES)))
+        return self.by.get(stratum or "", self.pool or [math.inf] * len(RULES))
 
     def rejects(self, stratum: str | None, values: list[float]) -> list[str]:
         return [name for name, v, cut in zip(RULES, values, self.of(stratum), strict=True) if v > cut]
 
     @classmethod
-    def calibrate(cls, strata: list[str], values: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = (0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02), least_gain: float = 0.05) -> Cutoffs:
+    def calibrate(cls, strata: list[str], values: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = (0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02), least_gain: float = 0.05, pooled: bool = False) -> Cutoffs:
         """strata, values (rows x rules), good (0 or 1) and holdout (bool) of the labelled documents.
 
         Of the valid strictnesses of a stratum, the one that rejects most bad design documents is taken, the least strict of
-        equals. A rule that would reject less than ``least_gain`` of them is left out. A stratum without a valid one takes
-        the pool's cutoffs; if the pool has none, nothing is rejected.
+        equals. A rule that would reject less than ``least_gain`` of them is left out. A stratum that lacks good or bad design
+        documents takes its cutoffs from all strata's, and tests them on its own holdout. In one without a valid strictness,
+        nothing is rejected; with ``pooled``, it takes the cutoffs of all documents as one stratum, if these are valid there.
         """
-        names = [*sorted(set(strata) - {""}), ""]
+        names: list[str | None] = [*sorted(set(strata)), *([None] if pooled else [])]
         where = np.array(strata, dtype=object)
         by, bounds = {}, {}
         for s in names:
-            rows = np.ones(len(good), bool) if s == "" else where == s
-            g, b, held = values[rows & (good == 1) & ~holdout], values[rows & (good == 0) & ~holdout], values[rows & (good == 1) & holdout]
+            rows = where == s if s is not None else np.ones(len(good), bool)
+            held = values[rows & (good == 1) & holdout]
+            design = rows & ~holdout
+            if len(set(good[design].tolist())) < 2:
+                design = ~holdout
+            g, b = values[design & (good == 1)], values[design & (good == 0)]
             best: tuple[float, float, list[float]] | None = None
             for step in steps if len(g) and len(b) and len(held) else ():
                 cuts = [_cut(g[:, j], b[:, j], step, least_gain) for j in range(len(RULES))]
@@ -143,7 +150,9 @@ class Cutoffs:
                     best = (gain, bound, cuts)
             if best:
                 by[s], bounds[s] = best[2], best[1]
-        return cls(by, bounds)
+        pool = by.pop(None, None)
+        bounds.pop(None, None)
+        return cls(by, bounds, pool)
 
 
 def _cut(good: np.ndarray, bad: np.ndarray, step: float, least_gain: float) -> float:
@@ -153,11 +162,12 @@ def _cut(good: np.ndarray, bad: np.ndarray, step: float, least_gain: float) -> f
     return (low + float(above.min())) / 2 if len(above) >= max(1, least_gain * len(bad)) else math.inf
 
 
-def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", stratum: str = "lang", bound: int = 20_000, **how) -> Cutoffs:
+def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", stratum: str = "lang", bound: int = 20_000, pooled: bool = True, **how) -> Cutoffs:
     """Calibrate on at most about ``bound`` labelled documents, chosen by a hash of the id; the statistics are taken over whole texts.
 
     Rows with a null id or label are left out, and documents that the base rule rejects, as no cutoff matters to them; of several
-    labels of one id the lowest counts.
+    labels of one id the lowest counts. ``pooled``: strata that can't be certified take the pool's cutoffs, and go without a
+    guarantee of their own; without it they have none.
     """
     ship(docs.sparkSession)
     chosen = bounded_sample(labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("good")).where("k is not null and good is not null").groupBy("k").agg(F.min("good").alias("good")), ["k"], bound)
@@ -172,13 +182,13 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(values, pa.list_(pa.float64())), batch.column(2).take(some), batch.column(3).take(some)], names=["s", "v", "good", "held"])
 
     got = rows.mapInArrow(run, "s string, v array<double>, good int, held boolean").collect()
-    return Cutoffs.calibrate([r.s or "" for r in got], np.array([r.v for r in got], float).reshape(len(got), len(RULES)), np.array([r.good for r in got], int), np.array([r.held for r in got], bool), **how)
+    return Cutoffs.calibrate([r.s or "" for r in got], np.array([r.v for r in got], float).reshape(len(got), len(RULES)), np.array([r.good for r in got], int), np.array([r.held for r in got], bool), pooled=pooled, **how)
 
 
 def apply_rules(docs: DataFrame, cutoffs: Cutoffs, text: str = "text", stratum: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with the counts, base_failed, failed_rules (array) and kept for every document.
 
-    Null and empty texts have no words and fail the base rule. Null strata use the pooled cutoffs. Columns of docs with the
+    Null and empty texts have no words and fail the base rule. Null strata are a stratum. Columns of docs with the
     names of new ones are replaced. One pass, no shuffle.
     """
     ship(docs.sparkSession)

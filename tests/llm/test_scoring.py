@@ -118,6 +118,20 @@ def test_calibration_controls_risk():
     assert over <= 6
 
 
+def test_strata_without_a_certificate_reject_nothing():
+    """Small strata don't take cutoffs that were tested on others; one without bad documents takes those that pass on its own."""
+    rng = np.random.default_rng(4)
+    parts = [("big", 20_000, 1, 0.1), ("big", 4_000, 0, 0.9), ("odd", 506, 1, 0.9), ("odd", 60, 0, 0.95), ("few", 100, 1, 0.1), ("few", 50, 0, 0.9), ("clean", 2_000, 1, 0.1), ("", 300, 1, 0.9)]
+    strata = [s for s, n, _, _ in parts for _ in range(n)]
+    good = np.array([g for _, n, g, _ in parts for _ in range(n)])
+    values = np.zeros((len(good), len(quality_rules.RULES)))
+    values[:, 0] = np.concatenate([m + rng.random(n) * 0.05 for _, n, _, m in parts])
+    c = quality_rules.Cutoffs.calibrate(strata, values, good, np.arange(len(good)) % 2 == 1)
+    high = [0.97, *[0.0] * (len(quality_rules.RULES) - 1)]
+    assert [c.rejects(s, high) for s in ("big", "few", "", None, "unseen", "clean")] == [["symbol_share"], [], [], [], [], ["symbol_share"]]
+    assert not c.rejects("odd", [0.92, *high[1:]]) and set(c.bounds) == set(c.by) and max(c.bounds.values()) <= 0.02
+
+
 def test_rules_on_documents(spark, docs, labels):
     wide = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
