@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_sample, crc_bucket, out_schema, ship
+from .common import BLANKS, crc_bucket, dropped, out_schema, ship, written
 
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = BLANKS.decode()
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What a cutoff is set for: shares, so that they mean the same at every length.
 RULES = ("symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark_share", "longest_word")
+#: Strictnesses, in the order tested.
+STEPS = (0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02)
 UPPER_RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 
@@ -121,7 +123,7 @@ class Cutoffs:
         return [name for name, v, cut in zip(RULES, values, self.of(stratum), strict=True) if v > cut]
 
     @classmethod
-    def calibrate(cls, strata: list[str], values: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = (0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02), least_gain: float = 0.05, pooled: bool = False) -> Cutoffs:
+    def calibrate(cls, strata: list[str], values: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = STEPS, least_gain: float = 0.05, pooled: bool = False) -> Cutoffs:
         """strata, values (rows x rules), good (0 or 1) and holdout (bool) of the labelled documents.
 
         Of the valid strictnesses of a stratum, the one that rejects most bad design documents is taken, the least strict of
@@ -129,25 +131,33 @@ class Cutoffs:
         documents takes its cutoffs from all strata's, and tests them on its own holdout. In one without a valid strictness,
         nothing is rejected; with ``pooled``, it takes the cutoffs of all documents as one stratum, if these are valid there.
         """
-        names: list[str | None] = [*sorted(set(strata)), *([None] if pooled else [])]
         where = np.array(strata, dtype=object)
+        design: Design = {}
+        for s in set(strata):
+            for y in (0, 1):
+                rows = values[(where == s) & (good == y) & ~holdout]
+                if len(rows):
+                    design[s, y] = [np.unique(rows[:, j], return_counts=True) for j in range(len(RULES))]
+        cuts, lent = candidates(design, set(strata), steps, least_gain)
+        return cls.chosen(set(strata), cuts, lent, tally(where, values, good, holdout, cuts), risk, error, pooled)
+
+    @classmethod
+    def chosen(cls, strata: set[str], cuts: dict[str | None, np.ndarray], lent: set[str], found: dict[str | None, np.ndarray], risk: float, error: float, pooled: bool) -> Cutoffs:
+        """From the candidates and their tallies."""
+        names: list[str | None] = [*sorted(strata), *([None] if pooled else [])]
         by, bounds = {}, {}
         for s in names:
-            rows = where == s if s is not None else np.ones(len(good), bool)
-            held = values[rows & (good == 1) & holdout]
-            design = rows & ~holdout
-            if len(set(good[design].tolist())) < 2:
-                design = ~holdout
-            g, b = values[design & (good == 1)], values[design & (good == 0)]
             best: tuple[float, float, list[float]] | None = None
-            for step in steps if len(g) and len(b) and len(held) else ():
-                cuts = [_cut(g[:, j], b[:, j], step, least_gain) for j in range(len(RULES))]
-                bound = upper_bound(int((held > cuts).any(1).sum()), len(held), error / len(names))
-                if bound > risk:
-                    break
-                gain = float((b > cuts).any(1).mean())
-                if best is None or gain > best[0] + 0.005:
-                    best = (gain, bound, cuts)
+            if s in cuts and found[s][0]:
+                held, hits = int(found[s][0]), found[s][2:]
+                bad = found[None if s in lent else s]
+                for i, row in enumerate(cuts[s]):
+                    bound = upper_bound(int(hits[i]), held, error / len(names))
+                    if bound > risk:
+                        break
+                    gain = float(bad[2 + len(cuts[s]) + i] / bad[1])
+                    if best is None or gain > best[0] + 0.005:
+                        best = (gain, bound, row.tolist())
             if best:
                 by[s], bounds[s] = best[2], best[1]
         pool = by.pop(None, None)
@@ -155,34 +165,119 @@ class Cutoffs:
         return cls(by, bounds, pool)
 
 
-def _cut(good: np.ndarray, bad: np.ndarray, step: float, least_gain: float) -> float:
+#: By stratum and label (0 or 1): for each rule, the values of the design documents in order and how often each is found.
+Design = dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def candidates(design: Design, strata: set[str], steps: tuple[float, ...], least_gain: float) -> tuple[dict[str | None, np.ndarray], set[str]]:
+    """Cutoffs by step and rule for each stratum and, under None, for all; and the strata that take those of all."""
+
+    def cuts_of(good: list, bad: list) -> np.ndarray:
+        return np.array([[_cut(g, b, step, least_gain) for g, b in zip(good, bad, strict=True)] for step in steps])
+
+    pool = [[_merged([d[j] for (_, y), d in design.items() if y == label]) for j in range(len(RULES))] if any(y == label for _, y in design) else None for label in (1, 0)]
+    if None in pool:
+        return {}, set()
+    every = cuts_of(*pool)
+    lent = {s for s in strata if (s, 0) not in design or (s, 1) not in design}
+    return {None: every} | {s: every if s in lent else cuts_of(design[s, 1], design[s, 0]) for s in strata}, lent
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    value, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return value, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def _cut(good: tuple[np.ndarray, np.ndarray], bad: tuple[np.ndarray, np.ndarray], step: float, least_gain: float) -> float:
     """Half way between the value that a share ``step`` of the good exceed and the next higher bad one."""
-    low = float(np.quantile(good, 1 - step, method="higher"))
-    above = bad[bad > low]
-    return (low + float(above.min())) / 2 if len(above) >= max(1, least_gain * len(bad)) else math.inf
+    ends = np.cumsum(good[1])
+    low = float(good[0][np.searchsorted(ends, math.ceil((1 - step) * (int(ends[-1]) - 1)), side="right")])
+    first = int(np.searchsorted(bad[0], low, side="right"))
+    return (low + float(bad[0][first])) / 2 if bad[1][first:].sum() >= max(1, least_gain * bad[1].sum()) else math.inf
+
 
+def tally(strata: np.ndarray, values: np.ndarray, good: np.ndarray, holdout: np.ndarray, cuts: dict[str | None, np.ndarray]) -> dict[str | None, np.ndarray]:
+    """By stratum (None: all): good holdout and bad design documents, then of each of them those that each step's cutoffs reject."""
+    out = {}
+    for s in [None, *set(strata.tolist())]:
+        if s not in cuts:
+            continue
+        rows = strata == s if s is not None else np.ones(len(good), bool)
+        parts = [values[rows & (good == 1) & holdout], values[rows & (good == 0) & ~holdout]]
+        out[s] = np.array([*map(len, parts), *(int((v > row).any(1).sum()) for v in parts for row in cuts[s])], np.int64)
+    return out
 
-def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", stratum: str = "lang", bound: int = 20_000, pooled: bool = True, **how) -> Cutoffs:
-    """Calibrate on at most about ``bound`` labelled documents, chosen by a hash of the id; the statistics are taken over whole texts.
+
+def rounded(values: np.ndarray, up: bool) -> np.ndarray:
+    """Values (0 or more) with ten binary places after the first."""
+    low = (1 << 42) - 1
+    bits = np.ascontiguousarray(values, np.float64).view(np.int64) + (low if up else 0)
+    return (bits & ~np.int64(low)).view(np.float64)
+
+
+def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", stratum: str = "lang", pooled: bool = True, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = STEPS, least_gain: float = 0.05) -> Cutoffs:
+    """Calibrate on all labelled documents, as :meth:`Cutoffs.calibrate` does; the statistics are taken over whole texts.
 
     Rows with a null id or label are left out, and documents that the base rule rejects, as no cutoff matters to them; of several
     labels of one id the lowest counts. ``pooled``: strata that can't be certified take the pool's cutoffs, and go without a
-    guarantee of their own; without it they have none.
+    guarantee of their own; without it they have none. Only counts come to the driver: candidates are made from counts of
+    rounded values, good ones up and bad ones down by 0.1 percent at most, and tested on the holdout's exact values. Texts
+    don't move; statistics are joined with the labels and written once.
     """
     ship(docs.sparkSession)
-    chosen = bounded_sample(labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("good")).where("k is not null and good is not null").groupBy("k").agg(F.min("good").alias("good")), ["k"], bound)
-    rows = docs.select(F.col(key).alias("k"), F.col(stratum).alias("s"), F.col(text).alias("t")).join(chosen, "k").select("s", "t", "good", (crc_bucket(F.col("k"), 2) == 1).alias("held"))
+    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("good")).where("k is not null and good is not null").groupBy("k").agg(F.min("good").alias("good"))
+    source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), F.col(text).alias("t")).where("k is not null")
 
-    def run(batches):
+    def measure(batches):
+        for batch in batches:
+            column = batch.column(2)
+            some, values = [], []
+            for i in range(batch.num_rows):
+                t = column[i].as_py()
+                if not base_failed(c := counts(t)):
+                    some.append(i)
+                    values += statistics(t, c)
+            at = pa.array(some, pa.int64())
+            v = pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, len(RULES)), pa.int32()), pa.array(values, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), v], names=["k", "s", "v"])
+
+    known = source.mapInArrow(measure, out_schema(source, ["k", "s"], {"v": "array<double>"}))
+    table = written(known.join(marks, "k").select("s", "v", "good", (crc_bucket(F.col("k"), 2) == 1).alias("held")), "quality-statistics")
+
+    def arrays(batch):
+        return np.array(batch.column(0).to_pylist(), object), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RULES)), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
+
+    def sketch(batches):
+        """Counts of rounded values of design documents; rule -1: of all documents."""
+        for batch in batches:
+            s, v, good, held = arrays(batch)
+            out: list[list] = [[], [], [], [], []]
+            for name in set(s.tolist()):
+                rows = s == name
+                found = [(0, -1, np.zeros(1), np.array([rows.sum()]))]
+                found += [(y, j, *np.unique(rounded(v[rows & (good == y) & ~held, j], y == 1), return_counts=True)) for y in (0, 1) for j in range(len(RULES))]
+                for y, j, value, n in found:
+                    for column, x in zip(out, ([name] * len(n), [y] * len(n), [j] * len(n), value.tolist(), n.tolist()), strict=True):
+                        column += x
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["s", "good", "rule", "value", "n"])
+
+    got = table.mapInArrow(sketch, "s string, good int, rule int, value double, n bigint").groupBy("s", "good", "rule", "value").agg(F.sum("n").alias("n")).toPandas()
+    strata = set(got["s"])
+    design: Design = {}
+    for (s, y, _), part in got[got["rule"] >= 0].sort_values(["rule", "value"]).groupby(["s", "good", "rule"]):
+        design.setdefault((s, int(y)), []).append((part["value"].to_numpy(), part["n"].to_numpy()))
+    cuts, lent = candidates(design, strata, steps, least_gain)
+
+    def test(batches):
         for batch in batches:
-            t = batch.column(1).to_pylist()
-            c = [counts(x) for x in t]
-            some = pa.array([i for i, x in enumerate(c) if not base_failed(x)], pa.int64())
-            values = [statistics(t[i], c[i]) for i in some.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(values, pa.list_(pa.float64())), batch.column(2).take(some), batch.column(3).take(some)], names=["s", "v", "good", "held"])
-
-    got = rows.mapInArrow(run, "s string, v array<double>, good int, held boolean").collect()
-    return Cutoffs.calibrate([r.s or "" for r in got], np.array([r.v for r in got], float).reshape(len(got), len(RULES)), np.array([r.good for r in got], int), np.array([r.held for r in got], bool), pooled=pooled, **how)
+            rows = [(s, i, int(n)) for s, x in tally(*arrays(batch), cuts).items() for i, n in enumerate(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["s", "i", "n"])
+
+    found = {s: np.zeros(2 + 2 * len(steps), np.int64) for s in cuts}
+    for r in table.mapInArrow(test, "s string, i int, n bigint").groupBy("s", "i").agg(F.sum("n").alias("n")).collect() if cuts else ():
+        found[r.s][r.i] = r.n
+    dropped(table)
+    return Cutoffs.chosen(strata, cuts, lent, found, risk, error, pooled)
 
 
 def apply_rules(docs: DataFrame, cutoffs: Cutoffs, text: str = "text", stratum: str = "lang", keep: list[str] | None = None) -> DataFrame:

@@ -132,6 +132,28 @@ def test_strata_without_a_certificate_reject_nothing():
     assert not c.rejects("odd", [0.92, *high[1:]]) and set(c.bounds) == set(c.by) and max(c.bounds.values()) <= 0.02
 
 
+def test_small_strata_keep_their_labels_in_large_tables(spark):
+    """A language with 1.5 percent of the labels is certified, whatever the size of the others; counts merge over any partitions."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(55)), lambda x: F.concat(F.lit("w"), x.cast("string"))), F.repeat(F.when(F.col("quality") == 0, F.lit("! ")).otherwise(F.lit("")), 30))
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 67 == 0, "xx").otherwise("en").alias("lang"), F.when(F.hash("id") % 8 == 0, 0).otherwise(1).alias("quality"))
+    docs, marks = rows.withColumn("text", text), rows.select("doc_id", "quality")
+    c = quality_rules.fit_cutoffs(docs, marks, pooled=False)
+    assert set(c.by) == {"en", "xx"} and 0 < c.bounds["en"] < c.bounds["xx"] <= 0.02
+    assert c == quality_rules.fit_cutoffs(docs.repartition(7), marks.repartition(3), pooled=False)
+    assert quality_rules.apply_rules(docs, c).where("kept <> (quality = 1)").count() == 0
+
+
+def test_cutoffs_from_counts_are_those_from_all_values(spark):
+    wide = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = [(r, c) for r in wide.join(lab, "doc_id").collect() if not quality_rules.base_failed(c := quality_rules.counts(r.text))]
+    args = [r.lang for r, _ in rows], np.array([quality_rules.statistics(r.text, c) for r, c in rows]), np.array([r.quality for r, _ in rows]), np.array([crc_bucket_py(r.doc_id, 2) == 1 for r, _ in rows])
+    for risk, pooled in ((0.05, True), (0.3, False)):
+        want, got = quality_rules.Cutoffs.calibrate(*args, risk=risk, pooled=pooled), quality_rules.fit_cutoffs(wide, lab, risk=risk, pooled=pooled)
+        assert want.by.keys() == got.by.keys() and got.by and (want.pool is None) == (got.pool is None)
+        assert all(np.allclose(want.of(s), got.of(s), rtol=2e-3) for s in [*want.by, "unseen"])
+
+
 def test_rules_on_documents(spark, docs, labels):
     wide = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
