@@ -26,7 +26,7 @@ from .common import out_schema, ship
 
 K1, B = 1.2, 0.75
 BLOCKS = 64  # of an index, at most
-CHUNK = 64  # words of an index entry; longer items have several
+CHUNK = 64  # words of an index entry; longer items have several, the last of which is their last words
 _PARTS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -45,6 +45,12 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return w[:cut], w[cut:]
 
 
+def parts_of(words: list[bytes]) -> list[list[bytes]]:
+    """The index entries of an item: runs of CHUNK words, and its last CHUNK words if these are in no run; a short item is one."""
+    whole = len(words) // CHUNK * CHUNK
+    return [words[at : at + CHUNK] for at in range(0, whole, CHUNK)] + ([words[-CHUNK:]] if whole < len(words) else [])
+
+
 def shingles(words: list[bytes], n: int = 5) -> set[tuple]:
     n = min(n, len(words))
     return set(zip(*(words[i:] for i in range(n)), strict=False)) if n else set()
@@ -81,8 +87,8 @@ class Index:
             w = words_of(text)
             if not w:
                 continue
-            for at in range(0, max(1, len(w) - CHUNK // 2), CHUNK):
-                entries.append(w[at : at + CHUNK])
+            for part in parts_of(w):
+                entries.append(part)
                 item_of.append(len(kept))
             kept.append((key, *question_and_answer(text)))
         n, mean, seen = counts or (len(entries), sum(map(len, entries)) / max(1, len(entries)), Counter(w for e in entries for w in set(e)))
@@ -194,12 +200,12 @@ def indexes(items: DataFrame, key: str, text: str, threshold: float, shard_chars
 
     def entries(batches):
         for batch in batches:
-            got = [(s, w) for s, t in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True) if (x := words_of(t)) for at in range(0, max(1, len(x) - CHUNK // 2), CHUNK) for w in set(x[at : at + CHUNK])]
+            got = [(s, w) for s, t in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True) if (x := words_of(t)) for part in parts_of(x) for w in set(part)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["s", "w"])
 
     def lengths(batches):
         for batch in batches:
-            got = [(-(-max(1, len(x) - CHUNK // 2) // CHUNK), len(x)) for t in batch.column(0).to_pylist() if (x := words_of(t))]
+            got = [(len(e), sum(map(len, e))) for t in batch.column(0).to_pylist() if (e := parts_of(words_of(t)))]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["n", "l"])
 
     n, total = dealt.select("t").mapInArrow(lengths, "n bigint, l bigint").agg(F.sum("n"), F.sum("l")).first()

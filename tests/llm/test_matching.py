@@ -120,6 +120,34 @@ def test_planted_items_are_found(spark, sf):
     assert {(r.doc_id, r.item_id) for r in parts} == got
 
 
+def test_later_parts_of_long_items_are_found(spark):
+    """Items of 65 to 160 words, of which a document holds the latter part of the question and the answer, against brute force."""
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nprstvwxz"]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    other = lambda n: [f"{rng.choice(words)}q" for _ in range(n)]
+    items, docs = [], []
+    for n in range(65, 161):
+        q, a = some(n - 16), some(16)
+        items.append((n, f"{' '.join(q)}? {' '.join(a)}"))
+        for d, share in enumerate((0.4, 0.55)):
+            docs.append((2 * n + d, " ".join([*other(rng.randint(0, 200)), *q[int((1 - share) * len(q)) :], *a, *other(150)])))
+    want = set()
+    for d, text in docs:
+        own = decontaminate.shingles(decontaminate.words_of(text))
+        for n, t in items:
+            parts = [decontaminate.shingles(x) for x in decontaminate.question_and_answer(t)]
+            if all(len(x & own) >= 0.5 * len(x) for x in parts):
+                want.add((d, n))
+    assert len(want) == len(items)
+    df, bench = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    rows = decontaminate.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    parts = decontaminate.find_leaks(df, bench, shard_chars=30_000).collect()  # several indexes with the same counts
+    assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in parts} == {(r.doc_id, r.item_id, round(r.score, 9)) for r in rows}
+    assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_op5(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
