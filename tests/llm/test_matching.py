@@ -124,7 +124,7 @@ def test_later_parts_of_long_items_are_found(spark):
     """Items of 65 to 160 words, of which a document holds the latter part of the question and the answer, against brute force."""
     rng = random.Random(9)
     words = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nprstvwxz"]
-    some = lambda n: [rng.choice(words) for _ in range(n)]
+    some = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
     other = lambda n: [f"{rng.choice(words)}q" for _ in range(n)]
     items, docs = [], []
     for n in range(65, 161):
