@@ -7,14 +7,16 @@ first sample is an exact draw; each further one is the best leaf of the best sib
 replacement. A sample's inclusion score is the probability that its perturbed value exceeds the best bound left. All random
 numbers are hashes of the row's key, the sample and the place, so results depend on nothing else.
 
-A piece's weight falls with its rank in the model: ln p = -ln(rank + 20). A unit of the lattice is a space with what follows
-up to the next space or newline, or a newline, of at most 32 characters (longer ones are cut). Pieces don't cross units, so
-equal units share their tables, and units of one length are treated together, as arrays.
+A piece's weight falls with its rank in the model: ln p = -ln(rank + 20). A unit of the lattice is a run of spaces with what
+follows up to the next space or newline, or a newline. Units of over 32 characters are cut, but only where no piece of the
+model spans the cut, and stay whole where there is no such place. So no piece crosses units, equal units share their tables,
+and units of one length are treated together, as arrays.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import FlatTable, grown, out_schema, released, ship, worker_cache
 
-LONGEST = 32
+LONGEST = 32  # characters of a unit, where it can be cut
+_UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
 LIFT = 12.0 ** np.arange(1, LONGEST + 1)  # the same factor for all paths of a unit: keeps numbers in range
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -55,11 +58,8 @@ def uniform_one(seed: int, counter: int) -> float:
 
 
 def units_of(normal: str) -> list[str]:
-    """The units of a normalized text."""
-    units = list(filter(None, normal.replace("▁", " ▁").replace("\n", " \n ").split(" ")))
-    if max(map(len, units), default=0) > LONGEST:
-        units = [u[i : i + LONGEST] for u in units for i in range(0, len(u), LONGEST)]
-    return units
+    """The units of a normalized text, before long ones are cut."""
+    return _UNIT.findall(normal)
 
 
 def row_seed(key, stream: int) -> int:
@@ -116,12 +116,50 @@ class Lattice:
         h = (h + c + np.uint64(1)) * _PRIME
         return h ^ (h >> np.uint64(29))
 
+    def units_of(self, normal: str) -> list[str]:
+        """The units of a normalized text."""
+        units = units_of(normal)
+        if max(map(len, units), default=0) > LONGEST:
+            units = [part for u in units for part in ([u] if len(u) <= LONGEST else self.cut(u))]
+        return units
+
+    def cut(self, unit: str) -> list[str]:
+        """The parts of a long unit: as long as LONGEST allows, cut where no piece spans the place, longer where there is none."""
+        _, ids = self.pieces([unit])
+        m, top = len(unit), ids.shape[1]
+        spans = np.zeros(m + top + 1, np.int64)
+        for length in range(2, top + 1):
+            s = np.flatnonzero(ids[:, length - 1, 0] >= 0)
+            spans[s + 1] += 1
+            spans[s + length] -= 1
+        free = [*np.flatnonzero(np.cumsum(spans[:m]) == 0).tolist(), m]
+        out, start, last = [], 0, 0
+        for at in free:
+            if at - start > LONGEST and last > start:
+                out.append(unit[start:last])
+                start = last
+            last = at
+        return [*out, unit[start:]]
+
     def pieces(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For units of one length: their characters, and ids[unit, place, length - 1] of the pieces (-1: none, -2: the character's bytes)."""
         n, m = len(units), len(units[0])
         top = min(m, self.longest)
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, m).T.astype(np.uint64)
         ids = np.full((m, top, n), -1, np.int32)
+        if m > LONGEST:  # few units: all places at once
+            h = np.zeros((m, n), np.uint64)
+            for length in range(1, top + 1):
+                h = self._next(h[: m - length + 1], chars[length - 1 :])
+                at = self.slot[(h >> self.bits).view(np.int64)]
+                rows = np.nonzero(at >= 0)
+                at, key = at[rows], h[rows]
+                for _ in range(self.run):
+                    hit = self.keys[at] == key
+                    ids[rows[0][hit], length - 1, rows[1][hit]] = self.ids[at[hit]]
+                    at = np.minimum(at + 1, len(self.keys) - 1)
+            ids[:, 0][ids[:, 0] < 0] = -2
+            return chars, ids
         for s in range(m):
             h = np.zeros(n, np.uint64)
             for length in range(1, min(top, m - s) + 1):
@@ -154,6 +192,8 @@ class Lattice:
             p *= z[s + 1 : s + 1 + k]
             z[s] = p.sum(0)
             p /= z[s]
+            if m > LONGEST or len(lone):  # by powers of two, which changes no digit
+                z[s : s + top] = np.ldexp(z[s : s + top], -np.frexp(z[s])[1])
             yield s, p
 
     def tables(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +215,11 @@ class Lattice:
             chars, ids = self.pieces([units[i] for i in some.tolist()])
             n = len(some)
             x = np.arange(n)
-            length, prob, piece, rest = np.zeros((m, n), np.int64), np.ones((m, n)), np.zeros((m, n), np.int32), np.ones((m + 1, n))
+            length, piece, rest = np.zeros((m, n), np.int64), np.zeros((m, n), np.int32), np.zeros((m + 1, n))
             for s, p in self._steps(chars, ids):
                 best = p.argmax(0)
-                length[s], piece[s], prob[s] = best + 1, ids[s, best, x], p[best, x]
-                rest[s] = prob[s] * rest[s + length[s], x]
+                length[s], piece[s] = best + 1, ids[s, best, x]
+                rest[s] = np.log(p[best, x]) + rest[s + length[s], x]
             starts, place = np.zeros((n, m), bool), np.zeros(n, np.int64)
             while len(x):
                 starts[x, place] = True
@@ -190,12 +230,12 @@ class Lattice:
         return out.walks()
 
     def encode_units(self, some: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """The model's ids of units, and whether a text with the unit is to be encoded as a whole: for lone spaces, as pieces of
-        several spaces cross units, cut units, and units whose ids behind a newline don't stand alone."""
+        """The model's ids of units, and whether a text with the unit is to be encoded as a whole: for lone and
+        several spaces, long units, and units whose ids behind a newline don't stand alone."""
         lead = self.sp.encode("\n")
         n = len(lead)
         ids = self.sp.encode([u[1:] if u[0] == "▁" else "\n" + u for u in some], num_threads=1)
-        odd = [len(u) == LONGEST or u == "▁" for u in some]
+        odd = [len(u) >= LONGEST or u == "▁" or u.startswith("▁▁") for u in some]
         for i, u in enumerate(some):
             if u[0] != "▁":
                 odd[i] = odd[i] or ids[i][:n] != lead
@@ -224,8 +264,10 @@ class Lattice:
             row = np.fromiter((distinct[units[i]] for i in some.tolist()), np.int64, len(some))
             n, top = len(some), cum.shape[2]
             going, rest = _along(cum, row, masks[some], m)
-            starts, piece, prob = np.zeros((n, m), bool), np.zeros((n, m), np.int32), np.ones(n)
+            starts, piece, log = np.zeros((n, m), bool), np.zeros((n, m), np.int32), np.zeros(n)
             line, place, seed, on = np.arange(n), np.zeros(n, np.int64), seeds[some], np.ones(n, bool)
+            if m > LONGEST:  # a unit has 63 numbers of the row's stream: long ones begin their own
+                seed = np.array([xxhash.xxh64_intdigest(int(x).to_bytes(8, "little")) for x in seed], np.uint64)
             lengths = np.arange(top)
             while len(line):
                 c = cum[row, place]
@@ -240,20 +282,21 @@ class Lattice:
                 x = np.arange(len(line))
                 p = c[x, length]
                 p -= np.where(length > 0, c[x, length - 1], 0.0)
-                prob[line] *= p
+                with np.errstate(divide="ignore"):
+                    log[line] += np.log(p)
                 starts[line, place] = True
                 piece[line, place] = ids[row, place, length]
                 on = on & (length == star)
                 place = place + length + 1
                 left = np.flatnonzero(place < m)
                 line, row, place, seed, on = line[left], row[left], place[left], seed[left], on[left]
-            out.add(some, starts, piece, prob)
+            out.add(some, starts, piece, log)
         return out.walks()
 
     def walk_besides(self, unit: str, masks: list[int], seed: int) -> Walks:
         """A segmentation of one unit drawn from all but those of the masks."""
         ids, cum = self.tables([unit])
-        m, s, mask, prob, tokens = len(unit), 0, 0, 1.0, []
+        m, s, mask, prob, log, tokens = len(unit), 0, 0, 1.0, 0.0, []
         barred = [(x, self.mask_prob(unit, x)) for x in masks]
         while s < m:
             c = cum[0, s].astype(np.float64).tolist()
@@ -271,10 +314,11 @@ class Lattice:
                     length = x
                     break
             prob *= step[length]
+            log += math.log(step[length])
             piece = int(ids[0, s, length])
             tokens += [piece] if piece >= 0 else self.spelled(unit[s])
             s += length + 1
-        return Walks(np.array(tokens, self.dtype), np.zeros(1, np.int64), np.array([len(tokens)]), np.array([prob]), np.array([mask], np.int64))
+        return Walks(np.array(tokens, self.dtype), np.zeros(1, np.int64), np.array([len(tokens)]), np.array([log]), np.array([mask], object))
 
     def mask_prob(self, unit: str, mask: int) -> float:
         """The probability of a unit's segmentation."""
@@ -303,8 +347,12 @@ def _along(cum: np.ndarray, row: np.ndarray, masks: np.ndarray, m: int) -> tuple
     rest[:, m] = 1.0
     end = np.full(n, m, np.int64)
     lines = np.arange(n)
+    if m > LONGEST:
+        bits = np.array([np.unpackbits(np.frombuffer(x.to_bytes(-(-m // 8), "little"), np.uint8), bitorder="little")[:m] for x in masks.tolist()], bool)
+    else:
+        masks = masks.astype(np.int64)
     for s in range(m - 1, -1, -1):
-        x = lines[(masks >> s) & 1 == 1]
+        x = lines[bits[:, s] if m > LONGEST else (masks >> s) & 1 == 1]
         size = end[x] - s
         c = cum[row[x], s].astype(np.float64)
         here = np.arange(len(x))
@@ -316,12 +364,12 @@ def _along(cum: np.ndarray, row: np.ndarray, masks: np.ndarray, m: int) -> tuple
 
 @dataclass
 class Walks:
-    """Segmentations of some units: their token ids, where each's begin and how many, its probability and its mask."""
+    """Segmentations of some units: their token ids, where each's begin and how many, its log-probability and its mask."""
 
     ids: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    prob: np.ndarray
+    log: np.ndarray
     mask: np.ndarray
 
 
@@ -331,9 +379,9 @@ class _Parts:
     def __init__(self, lattice: Lattice, units: list[str]):
         n = len(units)
         self.lattice, self.units, self.used, self.ids = lattice, units, 0, [np.empty(0, lattice.dtype)]
-        self.start, self.length, self.prob, self.mask = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n), np.zeros(n, np.int64)
+        self.start, self.length, self.log, self.mask = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, object)
 
-    def add(self, some: np.ndarray, starts: np.ndarray, piece: np.ndarray, prob: np.ndarray) -> None:
+    def add(self, some: np.ndarray, starts: np.ndarray, piece: np.ndarray, log: np.ndarray) -> None:
         """starts[unit, place]: whether a piece starts there; piece[unit, place]: which."""
         unit, place = np.nonzero(starts)
         ids, count = piece[unit, place], np.ones(len(unit), np.int64)
@@ -345,39 +393,44 @@ class _Parts:
             ids[ids < 0] = list(chain.from_iterable(spelled))
         length = np.bincount(unit, count, len(some)).astype(np.int64)
         self.length[some], self.start[some] = length, np.cumsum(length) - length + self.used
-        self.mask[some], self.prob[some] = starts @ (np.int64(1) << np.arange(starts.shape[1])), prob
+        self.log[some] = log
+        if starts.shape[1] <= LONGEST:
+            self.mask[some] = starts @ (np.int64(1) << np.arange(starts.shape[1]))
+        else:
+            self.mask[some] = np.array([int.from_bytes(x.tobytes(), "little") for x in np.packbits(starts, axis=1, bitorder="little")], object)
         self.ids.append(ids.astype(self.lattice.dtype))
         self.used += len(ids)
 
     def walks(self) -> Walks:
-        return Walks(np.concatenate(self.ids), self.start, self.length, self.prob, self.mask)
+        return Walks(np.concatenate(self.ids), self.start, self.length, self.log, self.mask)
 
 
 def _by_length(units: list[str], block: int):
     """(length, numbers of units) for all lengths, a block at a time."""
     size = np.fromiter(map(len, units), np.int64, len(units))
     order = np.argsort(size, kind="stable")
-    ends = np.searchsorted(size[order], np.arange(LONGEST + 2))
-    for m in range(1, LONGEST + 1):
-        for lo in range(int(ends[m]), int(ends[m + 1]), block):
-            yield m, order[lo : min(lo + block, int(ends[m + 1]))]
+    for m in np.unique(size).tolist():
+        lo, hi = np.searchsorted(size[order], (m, m + 1)).tolist()
+        step = block if m <= LONGEST else max(1, block * LONGEST // m)
+        for at in range(lo, hi, step):
+            yield m, order[at : min(at + step, hi)]
 
 
 class Units:
     """The distinct units seen so far: the model's encoding of each, and its main segmentation, whose pieces are each the likeliest
-    next one, with its probability. The lattice's tables are made anew where they are drawn from, and so take no room."""
+    next one, with its log-probability. The lattice's tables are made anew where they are drawn from, and so take no room."""
 
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
         self.text: list[str] = []
-        self.whole, self.sound, self.prob, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, np.int64)
+        self.whole, self.sound, self.log, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, object)
         self.ids, self.main = FlatTable(lattice.dtype), FlatTable(lattice.dtype)
 
     def learn(self, units: list[str]) -> None:
         if not units:
             return
         n = len(self.text)
-        self.whole, self.sound, self.prob, self.mask = (grown(x, n + len(units)) for x in (self.whole, self.sound, self.prob, self.mask))
+        self.whole, self.sound, self.log, self.mask = (grown(x, n + len(units)) for x in (self.whole, self.sound, self.log, self.mask))
         ids, whole = self.lattice.encode_units(units)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), self.lattice.dtype, int(length.sum()))
@@ -386,7 +439,7 @@ class Units:
         self.whole[n : n + len(units)] = whole
         w = self.lattice.main(units)
         self.main.add(units, w.ids, w.start, w.length, named=False)
-        self.prob[n : n + len(units)], self.mask[n : n + len(units)] = w.prob, w.mask
+        self.log[n : n + len(units)], self.mask[n : n + len(units)] = w.log, w.mask
         self.text += units
 
 
@@ -402,12 +455,12 @@ class Chunk:
         self.bounds, self.plain = [0], []
         for t in texts:
             normal = known.lattice.sp.normalize(t) if t else ""
-            words += units_of(normal)
+            words += known.lattice.units_of(normal)
             self.bounds.append(len(words))
             self.plain.append(normal.replace("▁", " ")[1:] == t)
         known.learn([u for u in dict.fromkeys(words) if u not in known.ids.numbers])
         self.kind = known.ids.numbered(words)
-        self.prob = known.prob[self.kind]
+        self.log = known.log[self.kind]
         self.size = np.diff(self.bounds)
         self.within = np.arange(len(words)) - np.repeat(np.array(self.bounds[:-1], np.int64), self.size)
         self.base = len(known.text)
@@ -435,18 +488,16 @@ class Chunk:
         at = self.base + self.count + np.arange(len(kinds))
         self.drawn.append(w)
         self.count += len(kinds)
-        with np.errstate(divide="ignore"):
-            return at, np.log(w.prob)
+        return at, w.log
 
     def draws(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """k times, numbers and log-probabilities of an independent segmentation of every unit."""
-        with np.errstate(divide="ignore"):
-            out = [(self.kind.copy(), np.log(self.prob)) for _ in range(k)]
+        out, prob = [(self.kind.copy(), self.log.copy()) for _ in range(k)], np.exp(self.log)
         step = self.within.astype(np.uint64) * (_GOLD << np.uint64(6))
         where, seeds = [], []
         for r in range(k):
             seed = np.repeat(np.array([row_seed(key, r) for key in self.keys], np.uint64), self.size) + step
-            rare = np.flatnonzero(uniform(seed, 63) >= self.prob)
+            rare = np.flatnonzero(uniform(seed, 63) >= prob)
             where.append(rare)
             seeds.append(seed[rare])
         kinds = self.kind[np.concatenate(where)]
@@ -529,11 +580,11 @@ def samples(chunk: Chunk, k: int) -> list[list[tuple[np.ndarray, float, float]]]
         if single:
             kinds = np.array([chunk.kind[cut[i] + j] for (i, _, _, j), _ in single], np.int64)
             seeds = np.array([row_seed(chunk.keys[i], 3_000 + r) for (i, _, _, _), _ in single], np.uint64)
-            at, ps = chunk.other(kinds, seeds, np.array([t[0] for _, t in single], np.int64))
+            at, ps = chunk.other(kinds, seeds, np.array([t[0] for _, t in single], object))
             picked |= {g[0]: (int(x), float(y)) for (g, _), x, y in zip(single, at, ps, strict=True)}
         for (i, _, _, j), taken in double:
             w = chunk.lattice.walk_besides(chunk.known.text[int(chunk.kind[cut[i] + j])], taken, row_seed(chunk.keys[i], 3_000 + r))
-            picked[i] = (chunk.base + chunk.count, math.log(w.prob[0]))
+            picked[i] = (chunk.base + chunk.count, float(w.log[0]))
             chunk.drawn.append(w)
             chunk.count += 1
         new_masks = chunk.masks(np.array([picked[i][0] for i, _, _, _ in going], np.int64)).tolist()

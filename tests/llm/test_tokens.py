@@ -167,6 +167,30 @@ def test_samples_decode_and_do_not_depend_on_batches(docs):
         assert len({tuple(map(int, g[0])) for g in got}) == len(logs)
 
 
+def test_every_piece_of_the_model_is_in_the_lattice(docs):
+    """No piece of the library's own segmentation crosses units: runs of spaces, and long words cut only where no piece spans."""
+    known = pieces.Units(pieces.Lattice(MODEL))
+    lat = known.lattice
+    rng = np.random.default_rng(6)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 700))
+    texts = ["def f():\n   return 1", "a" + " " * 40 + "b \n  c  ", "internationalization" * 9, "https://example.org/" + long[:90], long, "日本語の文章です。" * 30, "\u3400" * 200, *[r.text for r in docs.limit(80).collect()]]
+    for t in texts:
+        normal = lat.sp.normalize(t)
+        units = lat.units_of(normal)
+        assert "".join(units) == normal
+        ends = set(itertools.accumulate(map(len, units)))
+        for length in range(2, lat.longest + 1):
+            for at in range(len(normal) - length + 1) if len(normal) < 3_000 else ():
+                if lat.sp.piece_to_id(normal[at : at + length]) != lat.unknown:
+                    assert not any(e in ends for e in range(at + 1, at + length)), normal[at : at + length]
+    drawn = pieces.samples(pieces.Chunk(known, texts, [str(i) for i in range(len(texts))]), 4)
+    for i, (t, row) in enumerate(zip(texts, drawn, strict=True)):
+        assert len({tuple(map(int, ids)) for ids, _, _ in row}) == len(row) and (len(row) == 4 or t[0] in "日\u3400")  # no piece holds two of these characters
+        assert all(lat.sp.decode([int(x) for x in ids]) == t and math.isfinite(log) and 0 <= q <= 1 for ids, log, q in row)
+        alone = pieces.samples(pieces.Chunk(pieces.Units(lat), [t], [str(i)]), 4)[0]
+        assert [list(map(int, x[0])) for x in alone] == [list(map(int, x[0])) for x in row]
+
+
 def test_pieces_odd(spark, odd, none):
     out = pieces.encode(odd, MODEL, k=2)
     rows = out.collect()
