@@ -477,9 +477,11 @@ class Chunk:
         return out
 
     def decoded(self, ids: list[np.ndarray]) -> list[bool]:
-        """Whether the ids of each text give it back: where each unit's give the unit, they give the normalized text."""
-        bad = np.concatenate([[0], np.cumsum(self.known.whole[self.kind] | ~self.known.sound[self.kind])])
-        return [plain if bad[a] == bad[b] else self.lattice.sp.decode(x.tolist()) == t for t, x, plain, a, b in zip(self.texts, ids, self.plain, self.bounds, self.bounds[1:], strict=False)]
+        """Whether the ids of each text give it back: by the bytes that they spell, or where these differ, by the library."""
+        lattice = self.lattice
+        raw, first = lattice.bytes_of.joined(np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64))
+        ends = first[np.cumsum([0, *map(len, ids)])].tolist()
+        return [plain and raw[a:b].tobytes() == (("▁" + t.replace(" ", "▁")) if t else "").encode() or lattice.sp.decode(x.tolist()) == t for t, x, plain, a, b in zip(self.texts, ids, self.plain, ends, ends[1:], strict=False)]
 
     def other(self, kinds: np.ndarray, seeds: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and log-probabilities of segmentations of these units, drawn from all but the given ones."""

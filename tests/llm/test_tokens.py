@@ -191,6 +191,15 @@ def test_every_piece_of_the_model_is_in_the_lattice(docs):
         assert [list(map(int, x[0])) for x in alone] == [list(map(int, x[0])) for x in row]
 
 
+def test_round_trips_are_of_the_ids():
+    """Ids that are in the wrong place or order don't give the text back."""
+    texts = ["one two three", "four five six", "", "a  b\n c", "\u3400x", "▁ a", "plain"]
+    c = pieces.Chunk(pieces.units(MODEL), texts, list(texts))
+    ids = c.encoded()
+    assert c.decoded(ids) == [c.lattice.sp.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
+    assert c.decoded([ids[1], ids[0], *ids[2:]])[:2] == [False, False] and c.decoded([ids[0][::-1], *ids[1:]])[0] is False
+
+
 def test_pieces_odd(spark, odd, none):
     out = pieces.encode(odd, MODEL, k=2)
     rows = out.collect()
