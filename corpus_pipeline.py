@@ -18,7 +18,7 @@ from millrace.llm.common import read, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go; cutoffs are calibrated on the labelled ones among docs."""
-    cutoffs = quality_rules.fit_cutoffs(docs, read(spark, sf_dir, "labels"), pooled=False)
+    cutoffs = quality_rules.fit_cutoffs(docs, read(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs, cutoffs).where("kept").select(*docs.columns)
 
 

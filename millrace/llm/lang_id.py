@@ -12,14 +12,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import out_schema, sigmoid, ship
+from .common import hash63, hash_share, out_schema, ship, sigmoid, within_share
 
 DIMS = 4096
 ORDERS = (1, 2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _KEEP = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 #: Families of common languages; a learned language outside of them is a family of its own.
@@ -34,6 +34,11 @@ FAMILIES = {
 }
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter (Unicode category L); signs of number such as \u00bd and \u00b2 are none."""
+    return bool(text) and any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def features(texts: list[str | None], block: int = 1 << 20) -> np.ndarray:
     """A row of DIMS + 1 numbers for each text; the last is a constant. Long texts are counted block by block."""
     out = np.zeros((len(texts), DIMS + 1), np.float32)
@@ -157,20 +162,22 @@ class LangModel:
 
 
 def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500, families: dict[str, list[str]] | None = None) -> LangModel:
-    """Fit on at most about ``per_language`` whole texts of each language, chosen by a hash of the id; null languages are left out."""
+    """Fit on at most ``per_language`` whole texts of each language, those with the least hashes of id and text; null languages are
+    left out, and rows equal in id, text and language are one."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null")
-    share: Column = F.lit(0)
+    h, some = hash63(["k", "t"]), F.lit(False)
     for r in rows.groupBy("l").count().collect():  # a row a language
-        share = F.when(F.col("l") == r["l"], 1_000_000 * per_language // max(1, r["count"])).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("k", F.lit(31)), F.lit(1_000_000)) < share).select("t", "l")
+        some = F.when(F.col("l") == r["l"], within_share(h, hash_share(r["count"], per_language))).otherwise(some)
+    distinct = rows.where(some).withColumn("h", h).groupBy("l", "h").agg(F.min("t").alias("t"))
+    chosen = distinct.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language).select("t", "l")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 t = part.column(0).to_pylist()
-                some = [i for i, v in enumerate(t) if v and LETTER.search(v)]
+                some = [i for i, v in enumerate(t) if has_letter(v)]
                 x = features([t[i] for i in some])
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(some, pa.int64())), pa.array([v.tobytes() for v in x], pa.binary())], names=["l", "x"])
 
@@ -182,8 +189,10 @@ def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text",
 def identify(docs: DataFrame, model: LangModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with lang_pred and score for every document.
 
-    ``und`` with score 0 where the text is null or has no letter, or no language was learned. Whole texts are counted.
-    Columns of docs with the names of new ones are replaced. One pass, no shuffle.
+    ``und`` with score 0 where the text is null, empty or has no letter, or no language was learned. Whole texts of any length
+    are counted, block by block. A tie of votes goes to the larger margin, then to the first language by name. Repeated rows
+    get equal rows, and an empty table an empty one. Columns of docs with the names of new ones are replaced. One pass, no
+    shuffle.
     """
     ship(docs.sparkSession)
     new = {"lang_pred": "string", "score": "double"}
@@ -197,7 +206,7 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text", keep: list[s
                 part = batch.slice(at, 128)
                 t = part.column(k).to_pylist()
                 pred, score = model.predict(features(t))
-                some = [bool(v and LETTER.search(v)) for v in t]
+                some = [has_letter(v) for v in t]
                 arrays = [pa.array([p if s else "und" for p, s in zip(pred, some, strict=True)], pa.string()), pa.array([float(v) if s else 0.0 for v, s in zip(score, some, strict=True)], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(k)), *arrays], names=[*names, *new])
 

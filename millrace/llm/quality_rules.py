@@ -5,15 +5,15 @@ holdout half by their ids. On the design half, a strictness (a share of good doc
 holdout, stratum by stratum, growing strictness is tested in a fixed sequence: it is valid while the exact (Clopper-Pearson)
 upper bound on the share of good documents that the rules reject together is at most ``risk``. A fixed sequence needs no
 correction within a stratum; between strata the error is divided (Bonferroni). So with probability 1 - error, the false
-rejections of every stratum stay under ``risk``. A stratum without a valid strictness of its own has no cutoffs,
-unless ``pooled`` asks for those of all strata together, which hold for the pool alone.
+rejections of every stratum stay under ``risk``. A stratum without a valid strictness of its own has no cutoffs: no rule rejects
+in it.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark_share", "longest_word")
 #: Strictnesses, in the order tested.
 STEPS = (0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02)
-UPPER_RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -75,16 +74,30 @@ def statistics(text: str | None, c: tuple[int, int, int, int, int]) -> list[floa
     n, chars, symbols, again, repeat = c
     if not n:
         return [0.0] * len(RULES)
-    letters = sum(map(str.isalpha, text)) if len(text) <= 400 else None
-    if letters is None:  # long texts: by character class in C
-        letters = len(text) - len(NOT_LETTER.findall(text))
-    upper = len(UPPER_RUN.findall(text))
+    letters, upper = letter_counts(text)
     lines = text.count("\n") + 1
     marks = text.count("!") + text.count("?")
     return [symbols / chars, repeat / n, again / lines, upper / max(1, letters), marks / n, math.log1p(chars / n)]
 
 
-NOT_LETTER = re.compile(r"[\W\d_]")
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter (Unicode category L), and whether an upper-case Latin one up to U+00FF."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    upper = np.zeros(0x110000, bool)
+    upper[[*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] = True
+    return letter, upper
+
+
+def letter_counts(text: str, block: int = 1 << 20) -> tuple[int, int]:
+    """Letters and upper-case letters of a whole text, counted alike at every length."""
+    letter, upper = _letters()
+    n = m = 0
+    for at in range(0, len(text), block):
+        codes = np.frombuffer(text[at : at + block].encode("utf-32-le", "surrogatepass"), "<u4")
+        n += int(np.count_nonzero(letter[codes]))
+        m += int(np.count_nonzero(upper[codes]))
+    return n, m
 
 
 def base_failed(c: tuple[int, int, int, int, int]) -> bool:
@@ -108,29 +121,33 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
+#: The stratum of documents that have none, apart from one named by the empty string.
+NULL = "\0null"
+
+
 @dataclass
 class Cutoffs:
-    """By stratum: a cutoff for each rule, or infinity. Null strata are "". No rule rejects in strata that are missing, if there is no ``pool``."""
+    """By stratum: a cutoff for each rule, or infinity. Null is a stratum of its own. No rule rejects in strata that are missing."""
 
     by: dict[str, list[float]]
     bounds: dict[str, float]
-    pool: list[float] | None = None
 
     def of(self, stratum: str | None) -> list[float]:
-        return self.by.get(stratum or "", self.pool or [math.inf] * len(RULES))
+        return self.by.get(NULL if stratum is None else stratum, [math.inf] * len(RULES))
 
     def rejects(self, stratum: str | None, values: list[float]) -> list[str]:
         return [name for name, v, cut in zip(RULES, values, self.of(stratum), strict=True) if v > cut]
 
     @classmethod
-    def calibrate(cls, strata: list[str], values: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = STEPS, least_gain: float = 0.05, pooled: bool = False) -> Cutoffs:
+    def calibrate(cls, strata: list[str | None], values: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = STEPS, least_bad: int = 5) -> Cutoffs:
         """strata, values (rows x rules), good (0 or 1) and holdout (bool) of the labelled documents.
 
         Of the valid strictnesses of a stratum, the one that rejects most bad design documents is taken, the least strict of
-        equals. A rule that would reject less than ``least_gain`` of them is left out. A stratum that lacks good or bad design
-        documents takes its cutoffs from all strata's, and tests them on its own holdout. In one without a valid strictness,
-        nothing is rejected; with ``pooled``, it takes the cutoffs of all documents as one stratum, if these are valid there.
+        equals. A rule that would reject fewer than ``least_bad`` of them is left out. A stratum that lacks good or bad design
+        documents takes its candidates from all strata's, and tests them on its own holdout. In one without a valid strictness,
+        nothing is rejected.
         """
+        strata = [NULL if s is None else s for s in strata]
         where = np.array(strata, dtype=object)
         design: Design = {}
         for s in set(strata):
@@ -138,21 +155,20 @@ class Cutoffs:
                 rows = values[(where == s) & (good == y) & ~holdout]
                 if len(rows):
                     design[s, y] = [np.unique(rows[:, j], return_counts=True) for j in range(len(RULES))]
-        cuts, lent = candidates(design, set(strata), steps, least_gain)
-        return cls.chosen(set(strata), cuts, lent, tally(where, values, good, holdout, cuts), risk, error, pooled)
+        cuts, lent = candidates(design, set(strata), steps, least_bad)
+        return cls.chosen(set(strata), cuts, lent, tally(where, values, good, holdout, cuts), risk, error)
 
     @classmethod
-    def chosen(cls, strata: set[str], cuts: dict[str | None, np.ndarray], lent: set[str], found: dict[str | None, np.ndarray], risk: float, error: float, pooled: bool) -> Cutoffs:
+    def chosen(cls, strata: set[str], cuts: dict[str | None, np.ndarray], lent: set[str], found: dict[str | None, np.ndarray], risk: float, error: float) -> Cutoffs:
         """From the candidates and their tallies."""
-        names: list[str | None] = [*sorted(strata), *([None] if pooled else [])]
         by, bounds = {}, {}
-        for s in names:
+        for s in sorted(strata):
             best: tuple[float, float, list[float]] | None = None
             if s in cuts and found[s][0]:
                 held, hits = int(found[s][0]), found[s][2:]
                 bad = found[None if s in lent else s]
                 for i, row in enumerate(cuts[s]):
-                    bound = upper_bound(int(hits[i]), held, error / len(names))
+                    bound = upper_bound(int(hits[i]), held, error / len(strata))
                     if bound > risk:
                         break
                     gain = float(bad[2 + len(cuts[s]) + i] / bad[1])
@@ -160,20 +176,18 @@ class Cutoffs:
                         best = (gain, bound, row.tolist())
             if best:
                 by[s], bounds[s] = best[2], best[1]
-        pool = by.pop(None, None)
-        bounds.pop(None, None)
-        return cls(by, bounds, pool)
+        return cls(by, bounds)
 
 
 #: By stratum and label (0 or 1): for each rule, the values of the design documents in order and how often each is found.
 Design = dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]]
 
 
-def candidates(design: Design, strata: set[str], steps: tuple[float, ...], least_gain: float) -> tuple[dict[str | None, np.ndarray], set[str]]:
+def candidates(design: Design, strata: set[str], steps: tuple[float, ...], least_bad: int) -> tuple[dict[str | None, np.ndarray], set[str]]:
     """Cutoffs by step and rule for each stratum and, under None, for all; and the strata that take those of all."""
 
     def cuts_of(good: list, bad: list) -> np.ndarray:
-        return np.array([[_cut(g, b, step, least_gain) for g, b in zip(good, bad, strict=True)] for step in steps])
+        return np.array([[_cut(g, b, step, least_bad) for g, b in zip(good, bad, strict=True)] for step in steps])
 
     pool = [[_merged([d[j] for (_, y), d in design.items() if y == label]) for j in range(len(RULES))] if any(y == label for _, y in design) else None for label in (1, 0)]
     if None in pool:
@@ -188,12 +202,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return value, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def _cut(good: tuple[np.ndarray, np.ndarray], bad: tuple[np.ndarray, np.ndarray], step: float, least_gain: float) -> float:
+def _cut(good: tuple[np.ndarray, np.ndarray], bad: tuple[np.ndarray, np.ndarray], step: float, least_bad: int) -> float:
     """Half way between the value that a share ``step`` of the good exceed and the next higher bad one."""
     ends = np.cumsum(good[1])
     low = float(good[0][np.searchsorted(ends, math.ceil((1 - step) * (int(ends[-1]) - 1)), side="right")])
     first = int(np.searchsorted(bad[0], low, side="right"))
-    return (low + float(bad[0][first])) / 2 if bad[1][first:].sum() >= max(1, least_gain * bad[1].sum()) else math.inf
+    return (low + float(bad[0][first])) / 2 if bad[1][first:].sum() >= max(1, least_bad) else math.inf
 
 
 def tally(strata: np.ndarray, values: np.ndarray, good: np.ndarray, holdout: np.ndarray, cuts: dict[str | None, np.ndarray]) -> dict[str | None, np.ndarray]:
@@ -215,18 +229,17 @@ def rounded(values: np.ndarray, up: bool) -> np.ndarray:
     return (bits & ~np.int64(low)).view(np.float64)
 
 
-def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", stratum: str = "lang", pooled: bool = True, risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = STEPS, least_gain: float = 0.05) -> Cutoffs:
+def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", stratum: str = "lang", risk: float = 0.02, error: float = 0.05, steps: tuple[float, ...] = STEPS, least_bad: int = 5) -> Cutoffs:
     """Calibrate on all labelled documents, as :meth:`Cutoffs.calibrate` does; the statistics are taken over whole texts.
 
     Rows with a null id or label are left out, and documents that the base rule rejects, as no cutoff matters to them; of several
-    labels of one id the lowest counts. ``pooled``: strata that can't be certified take the pool's cutoffs, and go without a
-    guarantee of their own; without it they have none. Only counts come to the driver: candidates are made from counts of
+    labels of one id the lowest counts, and repeated rows of one id count each. Only counts come to the driver: candidates are made from counts of
     rounded values, good ones up and bad ones down by 0.1 percent at most, and tested on the holdout's exact values. Texts
     don't move; statistics are joined with the labels and written once.
     """
     ship(docs.sparkSession)
     marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("good")).where("k is not null and good is not null").groupBy("k").agg(F.min("good").alias("good"))
-    source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), F.col(text).alias("t")).where("k is not null")
+    source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(stratum).cast("string"), F.lit(NULL)).alias("s"), F.col(text).alias("t")).where("k is not null")
 
     def measure(batches):
         for batch in batches:
@@ -266,7 +279,7 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     design: Design = {}
     for (s, y, _), part in got[got["rule"] >= 0].sort_values(["rule", "value"]).groupby(["s", "good", "rule"]):
         design.setdefault((s, int(y)), []).append((part["value"].to_numpy(), part["n"].to_numpy()))
-    cuts, lent = candidates(design, strata, steps, least_gain)
+    cuts, lent = candidates(design, strata, steps, least_bad)
 
     def test(batches):
         for batch in batches:
@@ -277,14 +290,15 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     for r in table.mapInArrow(test, "s string, i int, n bigint").groupBy("s", "i").agg(F.sum("n").alias("n")).collect() if cuts else ():
         found[r.s][r.i] = r.n
     dropped(table)
-    return Cutoffs.chosen(strata, cuts, lent, found, risk, error, pooled)
+    return Cutoffs.chosen(strata, cuts, lent, found, risk, error)
 
 
 def apply_rules(docs: DataFrame, cutoffs: Cutoffs, text: str = "text", stratum: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with the counts, base_failed, failed_rules (array) and kept for every document.
 
-    Null and empty texts have no words and fail the base rule. Null strata are a stratum. Columns of docs with the
-    names of new ones are replaced. One pass, no shuffle.
+    Null and empty texts have no words and fail the base rule. Null strata are a stratum of their own. A value equal to its
+    cutoff is kept. Whole texts of any length are counted; repeated rows get equal rows, an empty table an empty one. Columns of
+    docs with the names of new ones are replaced. One pass, no shuffle.
     """
     ship(docs.sparkSession)
     new = [*COUNTS, "base_failed", "failed_rules", "kept"]

@@ -36,7 +36,7 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    cutoffs = quality_rules.fit_cutoffs(docs, read(spark, sf_dir, "labels"), pooled=False)
+    cutoffs = quality_rules.fit_cutoffs(docs, read(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs, cutoffs, keep=["doc_id"]).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
 
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FlatTable, new_folder, ship, worker_cache
+from .common import FlatTable, hash_share, new_folder, ship, within_share, worker_cache
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -36,8 +36,10 @@ OTHER_ASCII = [c for c in map(chr, range(128)) if c.isspace() and c not in " \n"
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
-def plain(text: str) -> bool:
-    """Whether the text's white space is single spaces and newlines between words."""
+def plain(text: str, special: tuple[str, ...] = ()) -> bool:
+    """Whether the text's white space is single spaces and newlines between words, and it holds none of the special strings."""
+    if any(s in text for s in special):
+        return False
     if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
         return False
     return not any(c in text for c in (OTHER_ASCII if text.isascii() else OTHER_SPACE))
@@ -48,8 +50,8 @@ class WordEncoder:
 
     Its pre-tokenizer never joins over a single space or newline, so the tokens of a word with the space before it don't
     depend on its neighbours. Each such word is encoded once and kept; new ones are encoded together, a newline between
-    them. Texts in which that isn't plain to see, and all texts of other tokenizers, are encoded whole. The cache is bounded
-    and lives as long as the worker.
+    them. Texts in which that isn't plain to see (also those that hold the string of a special token, which the library makes
+    that token), and all texts of other tokenizers, are encoded whole. The cache is bounded and lives as long as the worker.
     """
 
     def __init__(self, path: str, cached: int = 1_000_000):
@@ -57,10 +59,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         shape = json.loads(self.tokenizer.to_str())
         pre = shape.get("pre_tokenizer") or {}
+        self.special = tuple(t["content"] for t in shape.get("added_tokens") or ())
         line = self._whole("\n")
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not shape.get("normalizer") and len(line) == self.dtype.itemsize
         self.line = int(np.frombuffer(line, self.dtype)[0]) if self.by_word else -1
@@ -108,7 +110,7 @@ class WordEncoder:
         words: list[str] = []
         bounds: list[tuple[int, int] | None] = []
         for t in texts:
-            if t and self.by_word and plain(t):
+            if t and self.by_word and plain(t, self.special):
                 own = t.replace("\n", " \n").split(" ")
                 own[0] = "\t" + own[0]
                 bounds.append((len(words), len(words) + len(own)))
@@ -202,24 +204,61 @@ def _open(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", rows_per_file: int = 200_000, level: int = 1) -> DataFrame:
+def _edges(rows: DataFrame, n: int, file_chars: int, least: int, sample: int) -> tuple[int, np.ndarray]:
+    """Parts that hold the null keys, and the keys at which the other parts begin (a hot key as often as it has parts to itself).
+
+    By a hash sample of keys with the sizes of their texts, of ``sample`` rows or one in 20,000 at least: parts are cut by size.
+    """
+    share = hash_share(n, max(sample, n // 20_000))
+    some = rows.select("k", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("b"), F.xxhash64("k", F.length("t"), F.lit(7)).alias("h"))
+    got = some.where(within_share(F.shiftrightunsigned("h", 1), share)).select("k", "b").toArrow()  # bounded by the sample
+    null = got.column("k").is_null().to_numpy()
+    size = got.column("b").to_numpy() + 64
+    scale = n / max(1, len(size))
+    parts = max(1, int(-(-size.sum() * scale // file_chars)), least)
+    for_null = int(round(parts * size[null].sum() / max(1, size.sum()))) if null.any() else 0
+    keys, size = got.column("k").fill_null(0).to_numpy()[~null], size[~null]
+    order = np.argsort(keys, kind="stable")
+    ends = np.cumsum(size[order])
+    own = max(1, parts - for_null)
+    cuts = np.searchsorted(ends, np.arange(1, own) * (ends[-1] / own)) if len(ends) else np.empty(0, np.int64)
+    return for_null, keys[order][cuts].astype(np.int64)
+
+
+def part_of(key: int | None, checksum: int, for_null: int, edges: np.ndarray) -> int:
+    """The part of a row: by its key and, where several parts hold that key, by the checksum of its ids."""
+    if key is None:
+        return checksum * for_null >> 32 if for_null else 0
+    low, high = (int(np.searchsorted(edges, key, side=s)) for s in ("left", "right"))
+    return for_null + (low + (checksum * (high - low + 1) >> 32) if high - low > 1 else high)
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", file_chars: int = 128 << 20, level: int = 1, sample: int = 200_000) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the files ``part-NNNNNN.zst`` to ``folder`` in ascending key order.
 
     Returns the manifest, a row a file: part, path, n_docs, n_ids and start (ids of all files before it). Null texts are
-    empty; null keys come first; rows equal in key follow each other by a hash of their ids. Encoding and compression run
-    before the only shuffle, which moves compressed frames to key ranges; the ranges come from quantiles of the key column
-    alone. A file is written under a name of its own and moved in place whole, so a repeated task does no harm.
+    empty; null keys come first; rows equal in key follow each other by a checksum of their ids, and repeated rows are written
+    each. An empty table gives no file. Only key and text are read, so other columns may have any name. A text of any length is
+    encoded whole, in a task of its own size. Encoding and compression run before the only shuffle, which moves compressed
+    frames to key ranges of about ``file_chars`` bytes of text; a key that holds more is dealt to several files by checksum. The
+    ranges come from a sample of keys and text sizes. A file is written under a name of its own and moved in place whole, so a
+    repeated task does no harm.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     n = docs.count()
-    parts = max(1, -(-n // rows_per_file), min(2 * spark.sparkContext.defaultParallelism, -(-n // 500)))
-    edges = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 and n else []
-    edges = np.array(sorted(set(edges or [])), np.int64)
+    for_null, edges = _edges(rows, n, file_chars, min(2 * spark.sparkContext.defaultParallelism, -(-n // 500)), sample) if n else (0, np.empty(0, np.int64))
+    parts = for_null + len(edges) + 1
 
     def encode(batches):
         gc.disable()  # millions of strings and no cycles: passes over them find nothing
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches):
         coder = encoder(tokenizer)
         width = coder.dtype.itemsize
         pack = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
@@ -230,18 +269,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             for run in _runs(sizes):
                 texts = [column[i].as_py() for i in run]
                 data = [d + end for d in coder.encode(texts)]
+                sums = [xxhash.xxh64_intdigest(d) & 0xFFFFFFFF for d in data]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([0 if keys[i] is None else int(np.searchsorted(edges, keys[i], side="right")) for i in run], pa.int32()),
+                        pa.array([part_of(keys[i], c, for_null, edges) for i, c in zip(run, sums, strict=True)], pa.int32()),
                         pa.array([keys[i] for i in run], pa.int64()),
                         pa.array([len(d) for d in data], pa.int64()),
                         pa.array([width] * len(run), pa.int32()),
-                        pa.array([xxhash.xxh64_intdigest(d) & 0xFFFFFFFF for d in data], pa.int64()),
+                        pa.array(sums, pa.int64()),
                         pa.array([pack(d) for d in data], pa.binary()),
                     ],
                     names=["part", "k", "size", "width", "checksum", "frame"],
                 )
-        gc.enable()
 
     def write(batches):
         fs, root = _open(folder)
@@ -270,7 +309,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "path", "n_docs", "n_ids"])
 
     frames = rows.mapInArrow(encode, "part int, k bigint, size bigint, width int, checksum bigint, frame binary")
-    dealt = frames.repartitionById(len(edges) + 1, "part") if hasattr(frames, "repartitionById") else frames.repartition(len(edges) + 1, "part")
+    dealt = frames.repartitionById(parts, "part")
     files = dealt.sortWithinPartitions("part", F.asc_nulls_first("k"), "checksum", "size").mapInArrow(write, "part int, path string, n_docs bigint, n_ids bigint").collect()  # a row a file
     manifest, start = [], 0
     for f in sorted(files):

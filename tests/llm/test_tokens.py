@@ -21,12 +21,12 @@ from millrace.llm.common import new_folder
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
-ODD_TEXTS = ["", " ", "\n", " a", "\na", "a\n", "a \n b", "x  y", "don't it's\n's", "a\tb", "<|endoftext|> b", "日本 語\nэто ✓", "a\u00a0b \u2028c", "q\x1cr s", "w w\nw w", "\n\n", "a\n b"]
+ODD_TEXTS = ["", " ", "\n", " a", "\na", "a\n", "a \n b", "x  y", "don't it's\n's", "a\tb", "<|endoftext|> b", "a <|endoftext|> b", "a<|endoftext|>b<|endoftext|>", "<|endoftext|", "\n<|endoftext|>", "日本 語\nэто ✓", "a\u00a0b \u2028c", "q\x1cr s", "w w\nw w", "\n\n", "a\n b"]
 
 
 def direct(texts):
+    """The library as it is."""
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -48,7 +48,7 @@ def test_op3(spark, sf):
 
 def test_files(spark, docs):
     folder = new_folder(spark, "tokens")
-    files = token_output.write_tokens(docs, folder, BPE, rows_per_file=40)
+    files = token_output.write_tokens(docs, folder, BPE, file_chars=100_000)
     assert files.count() > 1
     some = sorted(r.doc_id for r in docs.collect())[5::50]
     got = {r.doc_id: list(r.ids) for r in token_output.read_tokens(files, ids=some).collect()}
@@ -68,6 +68,22 @@ def test_files(spark, docs):
         token_output.Reader(io_file(raw[:-3] + b"abc"))
 
 
+def test_hot_keys_are_dealt_to_several_files(spark):
+    """A key and the null key with a third of the rows each; files stay in key order and hold every row once."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} of the table") for i in range(3_000)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "greatest")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    files = token_output.write_tokens(docs, new_folder(spark, "tokens"), BPE, file_chars=8_000)
+    most = max(r.n_docs for r in files.collect())
+    assert most < 400
+    got = token_output.read_tokens(files).orderBy("start").collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    keys = [r.doc_id for r in got]
+    assert keys == sorted(keys, key=lambda d: (d is not None, d or 0))
+    ids = direct([t for _, t in rows])
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((d, (*x, 0)) for (d, _), x in zip(rows, ids, strict=True))
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+
+
 def io_file(data):
     import pyarrow as pa
 
