@@ -5,13 +5,16 @@
    share a shingle of their prefixes in any such order.
 2. Group pairs are filtered by size and by the place of their first common shingle. To find connected documents, not
    all pairs of a shingle's list are made: each group is first paired with the most central one (with the fewest rarer shingles)
-   of its lists, that of most lists, and only lists that are not one component after that give their pairs across components.
+   of its lists, that of most lists. After that only lists that hold several components are looked at, and in these only pairs
+   of groups of different components are made: components of a list are numbered, two numbers differ first in one binary
+   digit, and at that digit the rows with a 0 meet those with a 1. So a list of one component, however long, costs nothing.
 3. Pairs of groups are expanded to their classes, and each pair is verified on the whole sets.
 
-The order needs no exact counts: long shingles come before short ones, and frequent ones last. A task reports the shingles that occur ``least`` times or more in one of its batches, so by
-the pigeonhole principle every shingle in more than ``(least - 1) x batches`` documents is known to be frequent. Lists of
-frequent shingles are handled by pre-aggregation and splittable joins, and only the others, which are short, by windows.
-Shingles are 64-bit hashes; a class is known by its size and a 64-bit hash of its set.
+The order needs no exact counts: long shingles come before short ones, and frequent ones last. A task reports the shingles that
+occur ``least`` times or more in one of its batches, so by the pigeonhole principle every shingle in more than
+``(least - 1) x batches`` documents is known to be frequent. Lists of frequent shingles are handled by pre-aggregation and
+splittable joins, and only the others by windows. Shingles are 56-bit hashes behind a byte of their length; a class is known by a
+126-bit hash of its set, a group by a 64-bit one, so that different sets are not taken for equal at any size of corpus.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, dropped, ship, written
+from .common import BLANKS, dropped, hash63, ship, within_share, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -117,21 +120,33 @@ def frequent_shingles(docs: DataFrame, text: str, k: int, least: int = 2, most:
                 yield pa.RecordBatch.from_arrays([_int(value[some]), pa.array(count[some].astype(np.int64))], names=["token", "c"])
 
     counts = written(docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")), "frequent")
-    total, floor = 0, None
-    for r in counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).collect():  # 10,000 rows at most
-        total += r["count"]
-        if total > most:
+    step = F.when(F.col("c") < 10_000, F.col("c")).otherwise((F.lit(10_000) + F.floor(1_000 * F.log2(F.col("c") / 10_000))).cast("long"))  # keeps the order of counts
+    chosen, total = None, 0
+    for r in counts.groupBy(step.alias("c")).count().orderBy(F.desc("c")).collect():  # 70,000 rows at most
+        if total + r["count"] > most:
+            if not total:  # even the most frequent are too many: some of them, by hash
+                chosen = (step == r["c"]) & within_share(hash63(["token"]), most * (1 << 63) // r["count"])
             break
-        floor = r["c"]
-    if floor is None:
+        total += r["count"]
+        chosen = step >= r["c"]
+    if chosen is None:
         dropped(counts)
         return np.empty(0, np.uint64)
-    table = counts.where(F.col("c") >= floor).toArrow()
+    table = counts.where(chosen).toArrow()
     dropped(counts)
     token = table.column("token").to_numpy()
     return token[np.lexsort((token, table.column("c").to_numpy()))].view(np.uint64)
 
 
+#: A class: a hash of its set as a decimal, which Spark holds as a number of 16 bytes.
+CLASS = "decimal(38,0)"
+_CLASS = pa.decimal128(38, 0)
+
+
+def _classes(digests: list[int]) -> pa.Array:
+    return pa.Array.from_buffers(_CLASS, len(digests), [None, pa.py_buffer(b"".join(d.to_bytes(16, "little") for d in digests))])
+
+
 def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """A row a document: id, tk (a hash of its text), n (size of its set), gid (class), grp (group) and the prefix.
 
@@ -153,7 +168,7 @@ def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequen
                 if not n:
                     gid.append(0), grp.append(0), cold.append(0), prefix.append(None)
                     continue
-                gid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                gid.append(xxhash.xxh3_128_intdigest(s.tobytes()) >> 2)
                 p = n - least_shared(n, percent) + 1
                 first = s
                 m = n
@@ -173,11 +188,11 @@ def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequen
                 seen.add(g)
                 if len(seen) > 1_000_000:
                     seen.clear()
-            arrays = [pa.array(size, pa.int32()), pa.array(gid, pa.int64()), pa.array(grp, pa.int64()), pa.array(cold, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
+            arrays = [pa.array(size, pa.int32()), _classes(gid), pa.array(grp, pa.int64()), pa.array(cold, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "tk", "n", "gid", "grp", "cold", "prefix"])
 
     source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("tk"), F.col(text).alias("t"))
-    return source.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, tk bigint, n int, gid bigint, grp bigint, cold int, prefix array<bigint>")
+    return source.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, tk bigint, n int, gid {CLASS}, grp bigint, cold int, prefix array<bigint>")
 
 
 def _near(n1: str, n2: str, percent: int):
@@ -245,30 +260,34 @@ def _fetched(source: DataFrame, needed: DataFrame, most_bits: int = 1 << 27) ->
     return some.join(needed.hint("merge"), F.col("id2").eqNullSafe(F.col("id")) & (F.col("tk2") == F.col("tk"))).drop("id2", "tk2")
 
 
-def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, percent: int, per_task: int = 500) -> DataFrame:
+def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, percent: int, per_unit: int = 64) -> DataFrame:
     """The pairs (a, b) of classes that link. places: (gid, id, tk) of a document of each class; source: the documents' texts.
 
-    A pair goes to its class with more partners, and a class with very many is dealt to several tasks.
+    A pair goes to its class with more partners. A class's partners are cut into units of about ``per_unit``, and units are dealt
+    to the tasks in turn, so that no task holds much more than its share.
     """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).groupBy("gid").agg(F.count("*").alias("d"))
     both = pairs.join(ends.toDF("a", "da"), "a").join(ends.toDF("b", "db"), "b")
     turn = F.struct("da", "a") < F.struct("db", "b")
     turned = both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
     turned = written(turned, "turned")
-    many = turned.groupBy("a").agg(F.ceil(F.count("*") / F.lit(per_task)).cast("int").alias("salts"))
-    right = turned.join(many, "a").select(F.col("b").alias("gid"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind")).alias("to"))
-    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(F.col("a").alias("gid"), F.struct("a", "salt", F.lit(0).alias("kind")).alias("to"))
+    many = turned.groupBy("a").agg(F.ceil(F.count("*") / F.lit(per_unit)).cast("int").alias("salts"))
+    units = many.select("a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    units = written(units.withColumn("task", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), "units")
+    right = turned.join(units.where("salt = 0").select("a", "salts"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    right = right.join(units.select("a", "salt", "task"), ["a", "salt"]).select(F.col("b").alias("gid"), F.struct("a", "salt", "task", F.lit(1).alias("kind")).alias("to"))
+    left = units.select(F.col("a").alias("gid"), F.struct("a", "salt", "task", F.lit(0).alias("kind")).alias("to"))
     needed = left.unionByName(right).groupBy("gid").agg(F.collect_list("to").alias("to")).join(places, "gid")  # a class's list is the square root of the pairs at most
-    rows = _fetched(source, written(needed, "needed")).select("gid", "t", F.explode("to").alias("to")).select("to.a", "to.salt", "to.kind", F.col("gid").alias("b"), "t")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind")
+    rows = _fetched(source, written(needed, "needed")).select("gid", "t", F.explode("to").alias("to")).select("to.a", "to.salt", "to.kind", F.col("gid").alias("b"), "t", "to.task")
+    dealt = rows.repartitionById(n, "task").sortWithinPartitions("a", "salt", "kind").drop("task")
 
     def run(batches):
         now, own = None, None
         for batch in batches:
             found = []
             t = batch.column(4)
-            for i, (a, kind, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (a, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if kind == 0:
                     if a != now:
                         now, own = a, np.unique(shingles(t[i].as_py(), k))
@@ -279,10 +298,34 @@ def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, perc
                     at[at == len(large)] = 0
                     both = int((large[at] == small).sum())
                     if 100 * both >= percent * (len(s) + len(own) - both):
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+                        found.append(i)
+            rows = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, f"a {CLASS}, b {CLASS}")
+
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+def mixed_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of groups that share a list and have classes of different components. rows: (token, grp, n, j, comp), a row for
+    each component of a group.
+
+    Lists of one component are left out by pre-aggregation. The components of the others are numbered, and rows meet once for
+    each pair, at the first binary digit in which their numbers differ.
+    """
+    mixed = written(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "mixed")
+    if mixed.isEmpty():
+        dropped(mixed)
+        return rows.select(F.col("grp").alias("x"), F.col("grp").alias("y")).limit(0)
+    some = rows.join(mixed, "token")
+    by = Window.partitionBy("token").orderBy("comp")
+    number = some.select("token", "comp").distinct().withColumn("c", F.row_number().over(by) - 1).withColumn("most", F.count("*").over(Window.partitionBy("token")) - 1)
+    digits = F.length(F.bin("most"))
+    levels = number.withColumn("level", F.explode(F.sequence(F.lit(0), digits - 1)))
+    levels = levels.select("token", "comp", "level", F.expr("shiftright(c, level + 1)").alias("head"), F.expr("shiftright(c, level) & 1").alias("bit"))
+    placed = some.join(levels, ["token", "comp"]).select("token", "level", "head", "bit", "grp", "n", "j")
+    p, q = placed.where("bit = 0").alias("p"), placed.where("bit = 1").alias("q")
+    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("token", "level", "head")]
+    return p.join(q, same).where(_fits(percent, "p.n", "p.j", "q.n", "q.j")).select(F.least("p.grp", "q.grp").alias("x"), F.greatest("p.grp", "q.grp").alias("y"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,38 +369,39 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     groups = written(lists.groupBy("grp").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"), F.collect_list("j").alias("js")), "groups")
     near = lists.where("grp <> rep").where(_fits(percent, "n", "j", "rep_n", "rep_j")).groupBy("grp", "rep").agg(F.count("*").alias("c"))
     star = near.groupBy(F.col("grp").alias("y")).agg(F.max(F.struct("c", "rep")).alias("b")).select(F.col("b.rep").alias("x"), "y")
-    inner = members.groupBy("grp").agg(F.min("gid").alias("a"), F.max("gid").alias("z")).where("a < z")  # groups of several classes
-    inside = members.join(inner.select("grp", "a"), "grp").where("gid <> a").select("a", F.col("gid").alias("b"))
+    first = members.groupBy("grp").agg(F.min("gid").alias("a"), F.max("gid").alias("z"))
+    inside = members.join(first.where("a < z").select("grp", "a"), "grp").where("gid <> a").select("a", F.col("gid").alias("b"))  # of groups of several classes
     places = table.where("n > 0").groupBy("gid").agg(F.min(F.struct("id", "tk")).alias("d")).select("gid", F.col("d.id").alias("id"), F.col("d.tk").alias("tk"))
     source = docs.select(F.col(key).alias("id2"), F.xxhash64(text).alias("tk2"), F.col(text).alias("t"))
 
-    def expanded(group_pairs: DataFrame) -> DataFrame:
-        one, two = members.select(F.col("grp").alias("x"), F.col("gid").alias("a")), members.select(F.col("grp").alias("y"), F.col("gid").alias("b"))
-        return group_pairs.join(one, "x").join(two, "y").select("a", "b")
-
-    pairs = written(expanded(_counted(star, groups, percent)).unionByName(inside).distinct(), "pairs")
+    # a star: the first class of each group with the first class of its most central one, and the classes of a group with its first
+    met = _counted(star, groups, percent).join(first.select(F.col("grp").alias("x"), "a"), "x").join(first.select(F.col("grp").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
+    pairs = written(met.where("a <> b").unionByName(inside).distinct(), "pairs")
     edges = written(_verify(pairs, places, source, k, percent), "links")
     labels = components(edges)
 
-    # lists and groups that are not one component yet: all pairs across components
+    # lists and groups that are not one component yet: all pairs of groups across components, expanded to their classes
     comp = written(members.join(labels, "gid", "left").select("grp", "gid", "n", F.coalesce("comp", "gid").alias("comp")), "comp")
-    group_comp = comp.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rows = groups.join(group_comp, "grp").select("grp", "n", "lo", "hi", F.explode(F.arrays_zip("tokens", "js")).alias("e"))
-    rows = written(rows.select(F.col("e.tokens").alias("token"), "grp", "n", F.col("e.js").alias("j"), "lo", "hi"), "rows")
-    p, q = rows.alias("p"), rows.alias("q")
-    across_components = F.least("p.lo", "q.lo") < F.greatest("p.hi", "q.hi")
-    meet = p.join(q, F.col("p.token") == F.col("q.token")).where((F.col("p.grp") < F.col("q.grp")) & across_components & _fits(percent, "p.n", "p.j", "q.n", "q.j"))
-    across = _counted(written(meet.select(F.col("p.grp").alias("x"), F.col("q.grp").alias("y")).distinct(), "across"), groups, percent)
-    one = comp.join(group_comp.where("lo < hi").select("grp"), "grp")
-    two = one.select("grp", F.col("gid").alias("b"), F.col("comp").alias("comp2"))
-    within = one.join(two, "grp").where("gid < b and comp <> comp2").select(F.col("gid").alias("a"), "b")
-    more = written(expanded(across).unionByName(within).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    parts = comp.select("grp", "comp").distinct()
+    rows = groups.select("grp", "n", F.explode(F.arrays_zip("tokens", "js")).alias("e")).join(parts, "grp")
+    rows = rows.select(F.col("e.tokens").alias("token"), "grp", "n", F.col("e.js").alias("j"), "comp")
+    apart = parts.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
+    own = comp.join(apart, "grp")
+    within = own.select(F.col("grp").alias("token"), F.col("gid").alias("grp"), "n", F.lit(0).alias("j"), "comp")  # a group is a list of its classes
+    cross = written(mixed_pairs(rows, percent).distinct(), "across")
+    across = _counted(cross.where("x < y"), groups, percent)
+    one, two = comp.select(F.col("grp").alias("x"), F.col("gid").alias("a"), F.col("comp").alias("c1")), comp.select(F.col("grp").alias("y"), F.col("gid").alias("b"), F.col("comp").alias("c2"))
+    expanded = across.join(one, "x").join(two, "y").where("c1 <> c2").select("a", "b")
+    inner = mixed_pairs(within, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = expanded.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         extra = written(_verify(more, places, source, k, percent), "links")
         final = components(edges.unionByName(extra))
         dropped(labels, extra)
         labels = final
-    dropped(lists, groups, pairs, edges, rows, more, comp)
+    dropped(lists, groups, pairs, edges, cross, more, comp)
 
     docs_ = table.select("id", "tk", "n", "gid").join(labels, "gid", "left").select("id", "tk", "n", "gid", F.coalesce("comp", "gid").alias("comp"))
     least_id = written(docs_.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id")), "least")  # so that the join can split large components

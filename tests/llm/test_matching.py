@@ -257,6 +257,44 @@ def test_join_odd(odd, none):
     assert jaccard_join.one_of_each(none).count() == 0 and jaccard_join.join_documents(none).count() == 0
 
 
+def test_pairs_are_made_across_components_only(spark):
+    """A list of one component gives none, and a list of several each pair across them once, however many rows one has."""
+    rows = [(1, g, 10, 0, 5) for g in range(4_000)] + [(2, g, 10, 0, 5) for g in range(4_000)] + [(2, 4_000 + g, 10, 0, 6 + g) for g in range(3)]
+    got = jaccard_join.mixed_pairs(spark.createDataFrame(rows, "token bigint, grp bigint, n int, j int, comp bigint"), 75)
+    assert got.count() == got.distinct().count() == 4_000 * 3 + 3
+    rng = random.Random(7)
+    rows = list({(rng.randrange(6), rng.randrange(40), rng.randrange(9)) for _ in range(150)})
+    got = {(r.x, r.y) for r in jaccard_join.mixed_pairs(spark.createDataFrame([(t, g, 10, 0, c) for t, g, c in rows], "token bigint, grp bigint, n int, j int, comp bigint"), 75).collect()}
+    assert got == {(min(g, h), max(g, h)) for t, g, c in rows for u, h, d in rows if t == u and c != d}
+
+
+def test_many_near_copies(spark):
+    """4,000 near copies and some strangers that hold their passage: what is verified grows with the copies, not with their pairs."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for d in range(4_000):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{d}"
+        docs.append((d, " ".join(w)))
+    docs += [(4_000 + d, " ".join([*base[:30], *(f"y{d}z{i}" for i in range(60))])) for d in range(20)]
+    sizes, old = [], jaccard_join._verify
+    jaccard_join._verify = lambda pairs, *how: sizes.append(pairs.count()) or old(pairs, *how)
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard_join.join_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)).collect()}
+    finally:
+        jaccard_join._verify = old
+    assert {got[d] for d in range(4_000)} == {0} and all(got[d] == d for d in range(4_000, 4_020))
+    assert sum(sizes) <= 30 * 4_000
+
+
+def test_frequent_shingles_are_known_at_any_number(spark):
+    """Where more shingles are frequent than may be known, some of the most frequent are."""
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(300)),)] * 50, "text string").coalesce(1)
+    assert len(jaccard_join.frequent_shingles(df, "text", 5, most=1_000)) == 296
+    assert 50 < len(jaccard_join.frequent_shingles(df, "text", 5, most=100)) < 150
+
+
 def test_word_hashes_are_of_words():
     for text in ("", " ", "a", " a b  a\tB\n", "x" * 70_000 + " y " + "x" * 70_000, "é é e\u0301"):
         words = text.encode().translate(jaccard_join._LOWER).split()

@@ -179,7 +179,7 @@ def test_rules_on_documents(spark, docs, labels):
     cut = quality_rules.fit_cutoffs(wide, lab, risk=0.3)  # few labels: only a large risk can be certified
     got = quality_rules.apply_rules(wide, cut).join(lab, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in got}
-    assert n.get((1, False), 0) <= 0.03 * n[(1, True)] and n.get((0, True), 0) <= 0.1 * n[(0, False)]
+    assert n.get((1, False), 0) <= 0.03 * n[(1, True)] and n.get((0, True), 0) <= 0.2 * n[(0, False)]  # strata with few labels keep theirs
 
 
 def test_op4(spark, sf):
