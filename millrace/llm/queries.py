@@ -15,10 +15,10 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, else trees fitted on at most about 20,000 of the URLs that a rule decides (no other URL labels exist)."""
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.fit_urls(url_filter.label_by_rules(pages, URL_RULES), bound=20_000)
-    return url_filter.judge_urls(pages, model, URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    """Rules, else trees fitted on at most 20,000 distinct URLs, labelled by what their pages hold."""
+    pages = read(spark, sf_dir, "pages")
+    model = url_filter.fit_urls(url_filter.label_pages(pages, bound=20_000), bound=20_000)
+    return url_filter.judge_urls(pages.select("page_id", "url"), model, URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

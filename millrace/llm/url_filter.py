@@ -1,21 +1,28 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-The trees are fitted on a bounded sample of labelled URLs on the driver (``bound`` rows at most, chosen by a hash of the
-URL) and scored on the executors in one pass over the URL column, without a shuffle.
+The trees are fitted on a bounded sample of labelled URLs on the driver (``bound`` distinct URLs at most, chosen by a hash of
+the URL) and scored on the executors in one pass over the URL column, without a shuffle. Statistics of host suffixes are taken,
+for each URL that is learned from, over the URLs of other hosts' folds only, so that no label tells itself.
+
+Where no URL labels exist, :func:`label_pages` makes them from what stands on the pages: a page whose main text fails the base
+rule of the quality rules (too few words, or too many in repeated windows) is a bad one. No URL rule has a part in that.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, out_schema, ship, sigmoid
+from . import quality_rules
+from .common import bounded_sample, hash63, hash_share, out_schema, ship, sigmoid, within_share
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 FEATURES = (
@@ -150,38 +157,53 @@ class UrlModel:
     prior: float
 
     @classmethod
-    def fit(cls, urls: list[str | None], bad: np.ndarray, smoothing: float = 20.0, **trees) -> UrlModel:
-        """Suffix statistics are smoothed shares of bad URLs by the last one, two and three host labels."""
+    def fit(cls, urls: list[str | None], bad: np.ndarray, smoothing: float = 20.0, folds: int = 5, **trees) -> UrlModel:
+        """Suffix statistics are smoothed shares of bad URLs by the last one, two and three host labels.
+
+        Rows are learned from with statistics of the other folds (by a hash of the host), new URLs are judged with those of all.
+        """
         bad = np.asarray(bad, float)
         prior = float((bad.sum() + 1) / (len(bad) + 2))
         parts = [split_url(u) for u in urls]
-        seen: Counter = Counter()
-        hits: Counter = Counter()
-        for (host, _, _), y in zip(parts, bad, strict=True):
+        fold = np.array([xxhash.xxh64_intdigest(host) % folds for host, _, _ in parts], np.int64)
+        seen = [Counter() for _ in range(folds)]
+        hits = [Counter() for _ in range(folds)]
+        for (host, _, _), y, f in zip(parts, bad.tolist(), fold.tolist(), strict=True):
             for s in set(suffixes(host)):
-                seen[s] += 1
-                hits[s] += y
-        stats = {s: (hits[s] + smoothing * prior) / (n + smoothing) for s, n in seen.items()}
-        x = np.array([lexical(u, *p, stats, prior) for u, p in zip(urls, parts, strict=True)], float).reshape(len(urls), len(FEATURES))
-        return cls(Trees(**trees).fit(x, bad), stats, prior)
+                seen[f][s] += 1
+                hits[f][s] += y
+
+        def shares(some: list[int]) -> dict[str, float]:
+            n, m = sum((seen[f] for f in some), Counter()), Counter()
+            for f in some:
+                m.update(hits[f])
+            return {s: (m[s] + smoothing * prior) / (c + smoothing) for s, c in n.items()}
+
+        without = [shares([g for g in range(folds) if g != f]) for f in range(folds)]
+        x = np.array([lexical(u, *p, without[f], prior) for u, p, f in zip(urls, parts, fold.tolist(), strict=True)], float).reshape(len(urls), len(FEATURES))
+        return cls(Trees(**trees).fit(x, bad), shares(list(range(folds))), prior)
 
     def score(self, urls: list[str | None], parts: list[tuple[str, str, str]]) -> np.ndarray:
         return self.trees.score(np.array([lexical(u, *p, self.stats, self.prior) for u, p in zip(urls, parts, strict=True)], float).reshape(len(urls), len(FEATURES)))
 
 
 def fit_urls(labelled: DataFrame, url: str = "url", bad: str = "bad", bound: int = 20_000, **trees) -> UrlModel:
-    """Fit on at most about ``bound`` labelled URLs (``bad`` is 0 or 1), chosen by a hash of the URL; null labels are left out."""
-    rows = bounded_sample(labelled.select(F.col(url).alias("u"), F.col(bad).cast("double").alias("b")).where("b is not null"), ["u"], bound).collect()
-    rows.sort(key=lambda r: (r.u is not None, r.u or "", r.b))
-    return UrlModel.fit([r.u for r in rows], np.array([r.b for r in rows]), **trees)
+    """Fit on at most ``bound`` distinct labelled URLs (``bad`` is 0 or 1), those with the least hashes; of a URL with several labels
+    the mean counts, and null labels are left out."""
+    distinct = labelled.select(F.col(url).alias("u"), F.col(bad).cast("double").alias("b")).where("b is not null").groupBy("u").agg(F.avg("b").alias("b"))
+    rows = bounded_sample(distinct, ["u"], bound).collect()
+    rows.sort(key=lambda r: (r.u is not None, r.u or ""))
+    return UrlModel.fit([r.u for r in rows], np.array([float(r.b >= 0.5) for r in rows]), **trees)
 
 
 def judge_urls(df: DataFrame, model: UrlModel, rules: list[tuple[str, str]] = (), url: str = "url", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """The columns ``keep`` (all of df's by default) with host, path, rule, verdict and score for every row.
 
     The verdict is the longest fitting rule's, else ``block`` where the model's score exceeds ``threshold``, else ``allow``.
-    Null URLs and those without ``://`` have empty host and path and are judged by the model. Columns of df with the names
-    of new ones are replaced. One pass, no shuffle; only ``url`` and ``keep`` are read.
+    Rules of equal length can't both fit, unless they are the same twice: then the first by verdict wins. Null URLs and those
+    without ``://`` have empty host and path and are judged by the model; URLs of any length are read whole. Repeated rows get
+    equal rows, and an empty table an empty one. Columns of df with the names of new ones are replaced. One pass, no shuffle;
+    only ``url`` and ``keep`` are read.
     """
     ship(df.sparkSession)
     names = [c for c in (df.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict", "score")]
@@ -202,16 +224,29 @@ def judge_urls(df: DataFrame, model: UrlModel, rules: list[tuple[str, str]] = ()
     return source.mapInArrow(run, schema)
 
 
-def label_by_rules(df: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
-    """(url, bad) for the URLs that a rule decides: 1 where the longest one blocks. Labels for :func:`fit_urls` where no others exist."""
-    ship(df.sparkSession)
-    table = Rules(list(rules))
+_GONE = re.compile(r"<!--.*?-->|<(script|style|nav|footer|header|aside)\b.*?</\1\s*>", re.S | re.I)
+_PARAGRAPH = re.compile(r"<(?:p|li|pre|td|blockquote)\b[^>]*>(.*?)(?=</?(?:p|li|pre|td|blockquote|article|body|div|h[1-6])\b|\Z)", re.S | re.I)
+_TAG = re.compile(r"<[^>]*>")
+
+
+def main_text(html: str | None) -> str:
+    """The text of a page's paragraphs, list items and cells outside of menus, scripts and footers, a line each."""
+    return "\n".join(_TAG.sub(" ", p) for p in _PARAGRAPH.findall(_GONE.sub(" ", html or "")))
+
+
+def label_pages(pages: DataFrame, url: str = "url", html: str = "html", bound: int = 20_000) -> DataFrame:
+    """(url, bad) for :func:`fit_urls`: 1 where the page's main text fails the base rule of the quality rules.
+
+    Only pages are read whose URL's hash is in a share that holds about 1.5 x ``bound`` of them. Null pages have no words.
+    """
+    ship(pages.sparkSession)
+    n = pages.count()
+    some = pages.select(F.col(f"`{url}`").alias("u"), F.col(f"`{html}`").alias("h")).where(within_share(hash63(["u"]), hash_share(n, bound)))
 
     def run(batches):
         for batch in batches:
-            urls = batch.column(0).to_pylist()
-            verdicts = [table.match(*split_url(u)[:2])[1] for u in urls]
-            chosen = [i for i, v in enumerate(verdicts) if v]
-            yield pa.RecordBatch.from_arrays([pa.array([urls[i] for i in chosen], pa.string()), pa.array([float(verdicts[i] == "block") for i in chosen], pa.float64())], names=["url", "bad"])
+            column = batch.column(1)
+            bad = [float(quality_rules.base_failed(quality_rules.counts(main_text(column[i].as_py())))) for i in range(len(column))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bad, pa.float64())], names=["url", "bad"])
 
-    return df.select(F.col(f"`{url}`").alias("url")).mapInArrow(run, "url string, bad double")
+    return some.mapInArrow(run, "url string, bad double")

@@ -69,6 +69,40 @@ def test_op1(spark, sf):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
 
 
+def test_labels_come_from_pages(spark):
+    """What stands on a page makes its label: menus, scripts and tags don't count, the URL has no part in it."""
+    words = " ".join(f"w{i}" for i in range(60))
+    html = {
+        "http://a.org/1": f"<html><nav><li>x</li></nav><article><h1>t</h1><p>{words}</p></article></html>", "http://b.org/1": f"<script>{words}</script><p>few <b>words</b></p><footer><p>{words}</p></footer>",
+        "http://c.org/1": f"<p>{'one two three ' * 40}</p>", "http://d.org/1": None, "http://e.org/1": "", "http://f.org/1": f"<!-- <p>{words}</p> --><ul><li>{words[:100]}<li>{words[100:]}</ul>", None: f"<P>{words}",
+    }
+    got = {r.url: r.bad for r in url_filter.label_pages(spark.createDataFrame(list(html.items()), "url string, html string")).collect()}
+    assert got == {"http://a.org/1": 0, "http://b.org/1": 1, "http://c.org/1": 1, "http://d.org/1": 1, "http://e.org/1": 1, "http://f.org/1": 0, None: 0}
+    assert url_filter.main_text("<p>a<br>b</p><p>c") == "a b\nc"
+
+
+def test_suffixes_do_not_tell_their_own_labels():
+    """Each host has one kind of page at random: statistics of its own rows would tell it, those of other folds can't."""
+    rng = np.random.default_rng(5)
+    hosts = [f"h{i}.example.net" for i in range(300)]
+    kind = {h: int(rng.random() < 0.5) for h in hosts}
+    urls = [f"http://{h}/{j}" for h in hosts for j in range(4)]
+    m = url_filter.UrlModel.fit(urls, np.array([kind[u.split("/")[2]] for u in urls]), rounds=10)
+    score = m.score([f"http://new{i}.example.net/1" for i in range(50)], [url_filter.split_url(f"http://new{i}.example.net/1") for i in range(50)])
+    assert 0.3 < score.min() and score.max() < 0.7
+
+
+def test_one_url_a_million_times(spark):
+    df = spark.range(1_000_000).select(F.lit("http://a.b/c").alias("url"), (F.col("id") % 3 == 0).alias("bad")).unionByName(spark.createDataFrame([("http://x.y/z", True)], "url string, bad boolean"))
+    seen, old = [], url_filter.UrlModel.fit
+    url_filter.UrlModel.fit = classmethod(lambda cls, urls, bad, **how: seen.append((urls, bad.tolist())) or old(urls, bad, **how))
+    try:
+        url_filter.fit_urls(df)
+    finally:
+        url_filter.UrlModel.fit = old
+    assert seen == [(["http://a.b/c", "http://x.y/z"], [0.0, 1.0])]
+
+
 def test_urls_odd(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "no scheme", None), (None, "http://" + "a" * 50_000, "h")], "page_id int, url string, host string")
     model = url_filter.fit_urls(df.withColumn("bad", F.lit(1)).limit(0))
