@@ -69,40 +69,95 @@ def design(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward_backward(node: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the good state of every line, and expected transition counts (2 x 2) over all documents.
+def _products(m: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the 2 x 2 matrices of each document from its first line to every line, and the logarithms of their scales.
 
-    node: log-odds of each line; the chains run side by side, position by position.
+    By doubling: after a round, a line has the product of the last 2^k lines; lines that have reached their document's first
+    are done. So there are as many rounds as the longest document's length has binary digits.
+    """
+    place = np.arange(len(m)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    scale = np.zeros(len(m))
+    step, at = 1, np.flatnonzero(place >= 1)
+    while len(at):
+        before = at - step
+        both = m[before] @ m[at]
+        top = both.max((1, 2))
+        sums = scale[before] + scale[at] + np.log(top)
+        m[at], scale[at] = both / top[:, None, None], sums
+        step *= 2
+        at = at[place[at] >= step]
+    return m, scale
+
+
+def forward_backward(node: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals of the good state of every line, expected transition counts (2 x 2) and the sum of the documents' log-partitions.
+
+    node: log-odds of each line. All lines of all documents are treated together, see :func:`_products`.
     """
     n = len(node)
-    p = np.zeros(n)
     if not n:
-        return p, np.zeros((2, 2))
-    order = np.argsort(-lengths, kind="stable")
-    size = lengths[order]
-    start = (np.cumsum(lengths) - lengths)[order]
+        return np.zeros(n), np.zeros((2, 2)), 0.0
     t = np.exp(trans - trans.max())
     clipped = np.clip(node, -30, 30)
     emit = np.stack([1 - sigmoid(clipped), sigmoid(clipped)], 1)
-    most = int(size[0])
-    active = np.searchsorted(-size, -np.arange(1, most + 1), side="right")  # documents with a line at each position
-    alpha = np.zeros((n, 2))
-    beta = np.ones((n, 2))
-    for k in range(most):
-        at = start[: active[k]] + k
-        a = emit[at] if k == 0 else (alpha[at - 1] @ t) * emit[at]
-        alpha[at] = a / a.sum(1, keepdims=True)
-    pair = np.zeros((2, 2))
-    for k in range(most - 1, 0, -1):
-        at = start[: active[k]] + k
-        right = emit[at] * beta[at]
-        joint = alpha[at - 1][:, :, None] * t[None] * right[:, None, :]
-        total = joint.sum((1, 2), keepdims=True)
-        pair += (joint / total).sum(0)
-        b = right @ t.T
-        beta[at - 1] = b / b.sum(1, keepdims=True)
+    ends = np.cumsum(lengths)
+    some = lengths > 0
+    first, last = (ends - lengths)[some], ends[some] - 1
+    m = t[None] * emit[:, None, :]
+    m[first] = emit[first][:, None, :] * np.eye(2)[None]  # the first line has no step before it
+    forward, scale = _products(m.copy(), lengths)
+    alpha = forward.sum(1)
+    log = float((np.log(alpha[last].sum(1)) + scale[last]).sum())
+    alpha /= alpha.sum(1, keepdims=True)
+    step = np.broadcast_to(np.eye(2), m.shape).copy()  # of each line: the step to the next one, its emission included
+    step[:-1] = m[1:]
+    step[last] = np.eye(2)
+    tail, _ = _products(step[::-1].transpose(0, 2, 1).copy(), lengths[::-1])
+    beta = tail[::-1].sum(1)
+    beta /= beta.sum(1, keepdims=True)
     both = alpha * beta
-    return both[:, 1] / both.sum(1), pair
+    p = both[:, 1] / both.sum(1)
+    inner = np.ones(n, bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    joint = alpha[at - 1][:, :, None] * t[None] * (emit[at] * beta[at])[:, None, :]
+    return p, (joint / joint.sum((1, 2), keepdims=True)).sum(0), log
+
+
+def minimized(f, x: np.ndarray, rounds: int, memory: int = 8, tolerance: float = 1e-5) -> np.ndarray:
+    """The least point of a convex f (value and gradient), by L-BFGS with backtracking; stops where the gradient is small."""
+    value, g = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < tolerance:
+            break
+        d, coefficients = -g, []
+        for s, y, r in reversed(steps):
+            c = r * (s @ d)
+            coefficients.append(c)
+            d = d - c * y
+        if steps:
+            s, y, _ = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, float(np.abs(g).sum()))
+        for (s, y, r), c in zip(steps, reversed(coefficients), strict=True):
+            d = d + s * (c - r * (y @ d))
+        size, slope = 1.0, float(g @ d)
+        while True:
+            new = x + size * d
+            value2, g2 = f(new)
+            if value2 <= value + 1e-4 * size * slope or size < 1e-8:
+                break
+            size /= 2
+        s, y = new - x, g2 - g
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y, 1 / float(s @ y))][-memory:]
+        done = value - value2 < 1e-9 * max(1.0, abs(value))
+        x, value, g = new, value2, g2
+        if done:
+            break
+    return x
 
 
 @dataclass
@@ -113,7 +168,7 @@ class Crf:
     empty: float  # the probability of a text without words
 
     @classmethod
-    def fit(cls, documents: list[tuple[list, list[int], int]], rounds: int = 200, rate: float = 0.08, ridge: float = 2.0) -> Crf:
+    def fit(cls, documents: list[tuple[list, list[int], int]], rounds: int = 100, ridge: float = 2.0) -> Crf:
         """documents: values and sizes of the lines, and the label (0 or 1)."""
         labels = np.array([d[2] for d in documents], float)
         prior = float((labels.sum() + 1) / (len(labels) + 2))
@@ -129,21 +184,24 @@ class Crf:
         weight = 1.0 / len(some)
         steps = np.array([float((d[2] == s) * (len(d[0]) - 1)) for d in some for s in (0, 1)]).reshape(-1, 2).sum(0)
         seen = np.diag(steps)
-        m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
-        for k in range(1, rounds + 1):
-            p, pair = forward_backward(x @ w, lengths, trans)
-            g = np.concatenate([x.T @ (y - p), (seen - pair).ravel()]) - ridge * np.concatenate([w, trans.ravel()])
-            g *= weight
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-            w, trans = w + step[:WIDTH], trans + step[WIDTH:].reshape(2, 2)
+
+        def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+            w, trans = v[:WIDTH], v[WIDTH:].reshape(2, 2)
+            node = np.clip(x @ w, -30, 30)
+            p, pair, log = forward_backward(node, lengths, trans)
+            path = float(np.log(sigmoid(np.where(y > 0, node, -node))).sum() + (seen * (trans - trans.max())).sum())
+            g = np.concatenate([x.T @ (y - p), (seen - pair).ravel()])
+            return weight * (log - path + ridge / 2 * float(v @ v)), weight * (ridge * v - g)
+
+        v = minimized(loss, np.zeros(WIDTH + 4), rounds)
+        w, trans = v[:WIDTH], v[WIDTH:].reshape(2, 2)
         out = cls(w, trans, (1.0, 0.0), empty)
         q = out._raw(x, lengths, np.concatenate([d[1] for d in some]))
         out.curve = _logistic(q, np.array([d[2] for d in some], float))
         return out
 
     def _raw(self, x: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        p, _ = forward_backward(x @ self.weights, lengths, self.trans)
+        p, _, _ = forward_backward(x @ self.weights, lengths, self.trans)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         return np.bincount(owner, p * sizes, len(lengths)) / np.maximum(np.bincount(owner, sizes, len(lengths)), 1)
 
@@ -172,26 +230,36 @@ def _logistic(q: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(b[0]), float(b[1])
 
 
-def fit_crf(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = 4_000, **how) -> Crf:
-    """Fit on at most about ``bound`` labelled documents, chosen by a hash of the id. Null ids and labels are left out."""
+def fit_crf(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = 4_000, longest: int = 500, **how) -> Crf:
+    """Fit on at most ``bound`` labelled documents of ``longest`` lines at most each, those with the least hashes of the id.
+
+    Null ids and labels are left out; of several labels of one id the lowest counts, of several texts the one with the least hash.
+    What comes to the driver is bounded by bound x longest lines of 48 bytes.
+    """
     ship(docs.sparkSession)
     chosen = bounded_sample(labels.select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.min("y").alias("y")), ["k"], bound)
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).join(chosen, "k").select("k", "t", "y")
+    own = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.coalesce(F.regexp_count("t", F.lit("\n")), F.lit(0)) < longest)
+    rows = own.join(chosen, "k").groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("d")).select("k", "d.t", "d.y")
 
     def run(batches):
         for batch in batches:
             column = batch.column(1)
-            for i, (k, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                values, sizes = lines_of(column[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([y], pa.int32()), pa.array([np.array(values, np.float32).tobytes()], pa.binary()), pa.array([np.array(sizes, np.int64).tobytes()], pa.binary())], names=["k", "y", "v", "s"])
+            lines = [lines_of(column[i].as_py()) for i in range(batch.num_rows)]
+            values = pa.array([np.array(v, np.float32).tobytes() for v, _ in lines], pa.binary())
+            sizes = pa.array([np.array(s, np.int64).tobytes() for _, s in lines], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values, sizes], names=["k", "y", "v", "s"])
 
     got = sorted(rows.mapInArrow(run, "k string, y int, v binary, s binary").collect())
     return Crf.fit([(np.frombuffer(r.v, np.float32).reshape(-1, VALUES).tolist(), np.frombuffer(r.s, np.int64).tolist(), r.y) for r in got], **how)
 
 
 def score_quality(docs: DataFrame, model: Crf, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) with score (0 to 1) for every document. Null and empty texts take the prior of texts
-    without words. Columns of docs with the names of new ones are replaced. One pass, no shuffle."""
+    """The columns ``keep`` (all by default) with score (0 to 1) for every document.
+
+    Null and empty texts take the prior of texts without words. Whole texts of any length are scored, in as many rounds as the
+    number of lines has binary digits. Repeated rows and ties get equal scores, an empty table gives an empty one. Columns of
+    docs with the names of new ones are replaced. One pass, no shuffle.
+    """
     ship(docs.sparkSession)
     new = {"score": "double"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]

@@ -356,8 +356,8 @@ def test_forward_backward_brute_force():
     rng = np.random.default_rng(1)
     lengths = np.array([3, 1, 5, 2])
     node, trans = rng.normal(size=11) * 2, rng.normal(size=(2, 2))
-    p, pair = line_crf.forward_backward(node, lengths, trans)
-    at, want, pairs = 0, [], np.zeros((2, 2))
+    p, pair, log = line_crf.forward_backward(node, lengths, trans)
+    at, want, pairs, logs = 0, [], np.zeros((2, 2)), 0.0
     for n in lengths:
         z, m, q = 0.0, np.zeros(n), np.zeros((2, 2))
         for s in itertools.product((0, 1), repeat=int(n)):
@@ -368,8 +368,40 @@ def test_forward_backward_brute_force():
                 q[a, b] += w
         want += (m / z).tolist()
         pairs += q / z
+        logs += math.log(z) - np.log1p(np.exp(node[at : at + n])).sum() - (n - 1) * trans.max()
         at += n
-    assert np.allclose(p, want) and np.allclose(pair, pairs)
+    assert np.allclose(p, want) and np.allclose(pair, pairs) and math.isclose(log, logs)
+
+
+def test_fit_finds_the_least_loss():
+    """The gradient of the likelihood is null at the weights found, by differences."""
+    rng = np.random.default_rng(8)
+    documents = [([tuple(rng.random(line_crf.VALUES) * (0.1 if y else 0.3)) for _ in range(int(rng.integers(1, 9)))], None, y) for y in rng.integers(0, 2, 80).tolist()]
+    documents = [(v, [1] * len(v), y) for v, _, y in documents]
+    seen = []
+    old = line_crf.minimized
+    line_crf.minimized = lambda f, x, rounds: seen.append((f, old(f, x, rounds))) or seen[0][1]
+    try:
+        line_crf.Crf.fit(documents)
+    finally:
+        line_crf.minimized = old
+    f, v = seen[0]
+    value, g = f(v)
+    assert value < f(np.zeros(len(v)))[0] and np.abs(g).max() < 1e-3
+    for j in rng.integers(0, len(v), 12).tolist():
+        e = np.zeros(len(v))
+        e[j] = 1e-4
+        u = v + rng.normal(size=len(v)) * 0.1
+        assert math.isclose((f(u + e)[0] - f(u - e)[0]) / 2e-4, f(u)[1][j], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_long_documents_are_scored_and_not_learned_from(spark):
+    text = "\n".join(f"line {i} of a long one." for i in range(100_000))
+    docs = spark.createDataFrame([(i, text if i == 0 else f"a line {i}.\nanother!" if i % 2 else "### ||| $$$\n### ||| $$$") for i in range(200)], "doc_id int, text string")
+    marks = docs.selectExpr("doc_id", "doc_id % 2 as quality").unionByName(docs.selectExpr("doc_id", "1 as quality"))
+    model = line_crf.fit_crf(docs, marks.where("doc_id > 0 or quality = 0"))
+    got = {r.doc_id: r.score for r in line_crf.score_quality(docs, model).collect()}
+    assert len(got) == 200 and 0 <= got[0] <= 1 and got[1] > 0.9 > 0.1 > got[2]
 
 
 def test_op7_held_out(spark):
