@@ -19,10 +19,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import out_schema, ship
+from .common import dropped, out_schema, ship, written
 
 K1, B = 1.2, 0.75
 BLOCKS = 64  # of an index, at most
@@ -209,20 +209,22 @@ def indexes(items: DataFrame, key: str, text: str, threshold: float, shard_chars
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["n", "l"])
 
     n, total = dealt.select("t").mapInArrow(lengths, "n bigint, l bigint").agg(F.sum("n"), F.sum("l")).first()
-    words = dealt.select("t", "s").mapInArrow(entries, "s int, w binary")
-    seen = words.groupBy("w").count()
+    words = dealt.select("t", "s").mapInArrow(entries, "s int, w binary").groupBy("s", "w").agg(F.count("*").alias("n"))
+    by_shard = written(words.withColumn("all", F.sum("n").over(Window.partitionBy("w"))).select("s", "w", "all"), "item-words")  # a word has a row a shard at most
     for s in range(shards):
-        some = words.where(F.col("s") == s).select("w").distinct()
-        counts = {bytes(r["w"]): r["count"] for r in seen.join(some, "w", "left_semi").collect()}
+        counts = {bytes(r["w"]): r["all"] for r in by_shard.where(F.col("s") == s).collect()}
         yield Index.build(sorted(map(tuple, dealt.where(F.col("s") == s).select("k", "t").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), threshold, counts=(n, total / n, counts))
+    dropped(by_shard)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, shard_chars: int = 16 << 20) -> DataFrame:
     """(key, item_id, score, question_held, answer_held, passage) for every leak of an item into a document.
 
-    Passages are 128 words, one every 64, over the whole text. The index travels with the tasks, so it is bounded:
+    Passages are 128 words, one every 64, over the whole text, of any length. The index travels with the tasks, so it is bounded:
     ``shard_chars`` characters of items make one, and more items take more passes over the documents. Null or empty texts
-    and items without words have no leaks. Rows equal in key are searched each. No shuffle of documents.
+    and items without words have no leaks; an empty table of either has none. Of passages that hold an item equally well, the
+    later one is told. Rows equal in key are searched each, and so are repeated items. Only the key and text columns are read,
+    by their names in each table, so that names may clash. No shuffle of documents.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -260,7 +262,7 @@ def _searcher(ix: Index, question: float, answer: float, kind):
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, shard_chars: int = 16 << 20) -> DataFrame:
-    """The documents that hold no item, with all their columns. One pass for each index, no shuffle."""
+    """The documents that hold no item, with all their columns, repeated rows each. One pass for each index, no shuffle."""
     ship(docs.sparkSession)
     out, at = docs, docs.columns.index(text)
     for ix in indexes(items, item_key, item_text, threshold, shard_chars):
