@@ -268,15 +268,22 @@ def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, perc
     """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).groupBy("gid").agg(F.count("*").alias("d"))
-    both = pairs.join(ends.toDF("a", "da"), "a").join(ends.toDF("b", "db"), "b")
+    ends = written(ends, "degrees")
+    heavy = F.broadcast(ends.where(F.col("d") > max(per_unit, pairs.count() // 1_000)))  # 2,000 classes at most
+
+    def with_degree(rows: DataFrame, column: str) -> DataFrame:
+        """rows with the partners of a class; those of classes with very many don't move."""
+        known = rows.join(heavy.select(F.col("gid").alias(column), F.col("d").alias(f"d{column}")), column)
+        others = rows.join(heavy.select(F.col("gid").alias(column)), column, "left_anti")
+        return known.unionByName(others.join(ends.select(F.col("gid").alias(column), F.col("d").alias(f"d{column}")), column))
+
+    both = with_degree(with_degree(pairs, "a"), "b")
     turn = F.struct("da", "a") < F.struct("db", "b")
-    turned = both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
-    turned = written(turned, "turned")
-    many = turned.groupBy("a").agg(F.ceil(F.count("*") / F.lit(per_unit)).cast("int").alias("salts"))
-    units = many.select("a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    units = written(units.withColumn("task", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), "units")
-    right = turned.join(units.where("salt = 0").select("a", "salts"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    right = right.join(units.select("a", "salt", "task"), ["a", "salt"]).select(F.col("b").alias("gid"), F.struct("a", "salt", "task", F.lit(1).alias("kind")).alias("to"))
+    salts = F.ceil(F.greatest("da", "db") / F.lit(per_unit)).cast("int")
+    turned = both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), salts.alias("salts"))
+    turned = written(turned.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")), "turned")
+    units = written(turned.select("a", "salt").distinct().withColumn("task", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), "units")
+    right = turned.join(units, ["a", "salt"]).select(F.col("b").alias("gid"), F.struct("a", "salt", "task", F.lit(1).alias("kind")).alias("to"))
     left = units.select(F.col("a").alias("gid"), F.struct("a", "salt", "task", F.lit(0).alias("kind")).alias("to"))
     needed = left.unionByName(right).groupBy("gid").agg(F.collect_list("to").alias("to")).join(places, "gid")  # a class's list is the square root of the pairs at most
     rows = _fetched(source, written(needed, "needed")).select("gid", "t", F.explode("to").alias("to")).select("to.a", "to.salt", "to.kind", F.col("gid").alias("b"), "t", "to.task")
@@ -316,7 +323,7 @@ def mixed_pairs(rows: DataFrame, percent: int) -> DataFrame:
     if mixed.isEmpty():
         dropped(mixed)
         return rows.select(F.col("grp").alias("x"), F.col("grp").alias("y")).limit(0)
-    some = rows.join(mixed, "token")
+    some = written(rows.join(mixed, "token"), "mixed-rows")
     by = Window.partitionBy("token").orderBy("comp")
     number = some.select("token", "comp").distinct().withColumn("c", F.row_number().over(by) - 1).withColumn("most", F.count("*").over(Window.partitionBy("token")) - 1)
     digits = F.length(F.bin("most"))

@@ -7,6 +7,10 @@ first sample is an exact draw; each further one is the best leaf of the best sib
 replacement. A sample's inclusion score is the probability that its perturbed value exceeds the best bound left. All random
 numbers are hashes of the row's key, the sample and the place, so results depend on nothing else.
 
+Where a unit has several segmentations taken, or hardly any mass beside the first, the search goes on with whole numbers (weights
+scaled by the same power of two for each character), so that no segmentation is lost to rounding: k samples come back wherever
+there are k segmentations.
+
 A piece's weight falls with its rank in the model: ln p = -ln(rank + 20). A unit of the lattice is a run of spaces with what
 follows up to the next space or newline, or a newline. Units of over 32 characters are cut, but only where no piece of the
 model spans the cut, and stay whole where there is no such place. So no piece crosses units, equal units share their tables,
@@ -30,7 +34,8 @@ from .common import FlatTable, grown, out_schema, released, ship, worker_cache
 
 LONGEST = 32  # characters of a unit, where it can be cut
 _UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
-LIFT = 12.0 ** np.arange(1, LONGEST + 1)  # the same factor for all paths of a unit: keeps numbers in range
+EXACT = 96  # binary places for each character, where masses are whole numbers
+SPARE = 1e-6  # mass beside a unit's main segmentation below which whole numbers are used
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,9 +97,9 @@ class Lattice:
         self.byte_weight = 1 / (n + 20)
         self.unknown = self.sp.unk_id()
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        normal = [i for i in normal if len(self.sp.id_to_piece(i)) <= LONGEST]
         text = [self.sp.id_to_piece(i) for i in normal]
         self.longest = max(map(len, text), default=1)
+        self.lift = min(12.0, 1e200 ** (1 / self.longest)) ** np.arange(1, self.longest + 1)  # the same factor for all paths of a unit: keeps numbers in range
         hashes = np.array([self._hash(t) for t in text], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(normal, np.int32)[order]
@@ -188,7 +193,7 @@ class Lattice:
             if len(lone):
                 c = chars[s, lone]
                 p[0, lone] = self.byte_weight ** (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-            p *= LIFT[:k, None]
+            p *= self.lift[:k, None]
             p *= z[s + 1 : s + 1 + k]
             z[s] = p.sum(0)
             p /= z[s]
@@ -208,26 +213,30 @@ class Lattice:
             cum[:, s, : len(p)] = c.T
         return ids.transpose(2, 0, 1), cum
 
-    def main(self, units: list[str], block: int = 20_000) -> Walks:
-        """The main segmentation of each unit."""
-        out = _Parts(self, units)
+    def main(self, units: list[str], block: int = 20_000) -> tuple[Walks, np.ndarray]:
+        """The main segmentation of each unit, and the probability of all others together, summed up place by place."""
+        out, spare = _Parts(self, units), np.zeros(len(units))
         for m, some in _by_length(units, block):
             chars, ids = self.pieces([units[i] for i in some.tolist()])
             n = len(some)
             x = np.arange(n)
-            length, piece, rest = np.zeros((m, n), np.int64), np.zeros((m, n), np.int32), np.zeros((m + 1, n))
+            length, piece, rest, other = np.zeros((m, n), np.int64), np.zeros((m, n), np.int32), np.zeros((m + 1, n)), np.zeros((m + 1, n))
             for s, p in self._steps(chars, ids):
                 best = p.argmax(0)
                 length[s], piece[s] = best + 1, ids[s, best, x]
-                rest[s] = np.log(p[best, x]) + rest[s + length[s], x]
+                here, after = p[best, x], s + length[s]
+                rest[s] = np.log(here) + rest[after, x]
+                p[best, x] = 0
+                other[s] = p.sum(0) + here * other[after, x]
             starts, place = np.zeros((n, m), bool), np.zeros(n, np.int64)
             while len(x):
                 starts[x, place] = True
                 place = place + length[place, x]
                 left = np.flatnonzero(place < m)
                 x, place = x[left], place[left]
+            spare[some] = other[0]
             out.add(some, starts, piece.T, rest[0])
-        return out.walks()
+        return out.walks(), spare
 
     def encode_units(self, some: list[str]) -> tuple[list[list[int]], list[bool]]:
         """The model's ids of units, and whether a text with the unit is to be encoded as a whole: for lone and
@@ -293,47 +302,81 @@ class Lattice:
             out.add(some, starts, piece, log)
         return out.walks()
 
-    def walk_besides(self, unit: str, masks: list[int], seed: int) -> Walks:
-        """A segmentation of one unit drawn from all but those of the masks."""
-        ids, cum = self.tables([unit])
-        m, s, mask, prob, log, tokens = len(unit), 0, 0, 1.0, 0.0, []
-        barred = [(x, self.mask_prob(unit, x)) for x in masks]
+    def exact(self, unit: str) -> Exact:
+        """The unit's lattice in whole numbers."""
+        _, ids = self.pieces([unit])
+        m, top, _ = ids.shape
+        step: list[list[int]] = []
+        for s in range(m):
+            row = []
+            for x in range(min(top, m - s)):
+                i = int(ids[s, x, 0])
+                w = 0.0 if i == -1 else self.weight[i] if i >= 0 else self.byte_weight ** len(unit[s].encode())
+                row.append(int(w * 2.0**EXACT) << (EXACT * x) if w else 0)
+            step.append(row)
+        return Exact(step, ids[:, :, 0])
+
+    def walk_besides(self, unit: str, masks: list[int], seed: int) -> tuple[Walks, float]:
+        """A segmentation of one unit drawn from all but those of the masks, and the logarithm of what is left beside it and them.
+
+        There must be one left.
+        """
+        x = self.exact(unit)
+        m, s, mask, mass, tokens = len(unit), 0, 0, 1, []
+        barred = [(b, x.mass(b)) for b in masks]
         while s < m:
-            c = cum[0, s].astype(np.float64).tolist()
-            step = [x - y for x, y in zip(c, [0.0, *c], strict=False)][: m - s]
             mask |= 1 << s
-            weight = []
-            for x, p in enumerate(step):
-                e = s + x + 1
-                here = [q for b, q in barred if _starts(b, mask, e, m)]
-                weight.append(max(0.0, prob * p - sum(here)) if here else prob * p)
-            left, length = sum(weight) * uniform_one(seed, s), max(x for x, v in enumerate(weight) if v == max(weight))
-            for x, v in enumerate(weight):
-                left -= v
-                if v > 0 and left <= 0:
-                    length = x
+            weight = [max(0, mass * w * x.below[s + j + 1] - sum(q for b, q in barred if _starts(b, mask, s + j + 1, m))) for j, w in enumerate(x.step[s])]
+            left, length = int(uniform_one(seed, s) * (1 << 53)) * sum(weight), -1
+            for j, v in enumerate(weight):
+                left -= v << 53
+                if v and (left < 0 or not any(weight[j + 1 :])):
+                    length = j
                     break
-            prob *= step[length]
-            log += math.log(step[length])
-            piece = int(ids[0, s, length])
+            mass *= x.step[s][length]
+            piece = int(x.ids[s, length])
             tokens += [piece] if piece >= 0 else self.spelled(unit[s])
             s += length + 1
-        return Walks(np.array(tokens, self.dtype), np.zeros(1, np.int64), np.array([len(tokens)]), np.array([log]), np.array([mask], object))
-
-    def mask_prob(self, unit: str, mask: int) -> float:
-        """The probability of a unit's segmentation."""
-        _, cum = self.tables([unit])
-        starts = [i for i in range(len(unit)) if mask >> i & 1]
-        p = 1.0
-        for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
-            c = cum[0, a].astype(np.float64)
-            p *= c[b - a - 1] - (c[b - a - 2] if b - a > 1 else 0.0)
-        return float(p)
+        rest = x.below[0] - mass - sum(q for _, q in barred)
+        w = Walks(np.array(tokens, self.dtype), np.zeros(1, np.int64), np.array([len(tokens)]), np.array([_log(mass) - _log(x.below[0])]), np.array([mask], object))
+        return w, _log(rest) - _log(x.below[0]) if rest > 0 else -math.inf
+
+    def left(self, unit: str, masks: list[int]) -> float:
+        """The logarithm of the probability of all segmentations but these; none: minus infinity."""
+        x = self.exact(unit)
+        rest = x.below[0] - sum(map(x.mass, masks))
+        return _log(rest) - _log(x.below[0]) if rest > 0 else -math.inf
 
     def spelled(self, char: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in char.encode()] if self.bytes else [self.unknown]
 
 
+def _log(n: int) -> float:
+    return math.log(n) if n.bit_length() < 1000 else math.log(n >> (n.bit_length() - 900)) + (n.bit_length() - 900) * math.log(2)
+
+
+class Exact:
+    """A unit's lattice in whole numbers: step[place][length - 1] of the pieces, below[place]: the mass of all ways on from there.
+
+    Every way through the unit has the same power of two as a factor, EXACT binary places for each character.
+    """
+
+    def __init__(self, step: list[list[int]], ids: np.ndarray):
+        self.step, self.ids = step, ids
+        m = len(step)
+        self.below = [0] * m + [1]
+        for s in range(m - 1, -1, -1):
+            self.below[s] = sum(w * self.below[s + j + 1] for j, w in enumerate(step[s]))
+
+    def mass(self, mask: int) -> int:
+        """Of one segmentation."""
+        m = len(self.step)
+        starts, out = [i for i in range(m) if mask >> i & 1], 1
+        for a, b in zip(starts, [*starts[1:], m], strict=True):
+            out *= self.step[a][b - a - 1]
+        return out
+
+
 def _starts(barred: int, mask: int, end: int, m: int) -> bool:
     """Whether the barred segmentation starts with the pieces of mask, the last of which ends at ``end``."""
     below = (1 << end) - 1
@@ -424,20 +467,21 @@ class Units:
         self.lattice = lattice
         self.text: list[str] = []
         self.whole, self.sound, self.log, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, object)
+        self.spare = np.zeros(1 << 12)  # the probability of all other segmentations together; 0 where there is none
         self.ids, self.main = FlatTable(lattice.dtype), FlatTable(lattice.dtype)
 
     def learn(self, units: list[str]) -> None:
         if not units:
             return
         n = len(self.text)
-        self.whole, self.sound, self.log, self.mask = (grown(x, n + len(units)) for x in (self.whole, self.sound, self.log, self.mask))
+        self.whole, self.sound, self.log, self.mask, self.spare = (grown(x, n + len(units)) for x in (self.whole, self.sound, self.log, self.mask, self.spare))
         ids, whole = self.lattice.encode_units(units)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), self.lattice.dtype, int(length.sum()))
         self.ids.add(units, flat, np.cumsum(length) - length, length)
         self.sound[n : n + len(units)] = self.lattice.sound(units, flat, length)
         self.whole[n : n + len(units)] = whole
-        w = self.lattice.main(units)
+        w, self.spare[n : n + len(units)] = self.lattice.main(units)
         self.main.add(units, w.ids, w.start, w.length, named=False)
         self.log[n : n + len(units)], self.mask[n : n + len(units)] = w.log, w.mask
         self.text += units
@@ -461,6 +505,7 @@ class Chunk:
         known.learn([u for u in dict.fromkeys(words) if u not in known.ids.numbers])
         self.kind = known.ids.numbered(words)
         self.log = known.log[self.kind]
+        self.spare = known.spare[self.kind]
         self.size = np.diff(self.bounds)
         self.within = np.arange(len(words)) - np.repeat(np.array(self.bounds[:-1], np.int64), self.size)
         self.base = len(known.text)
@@ -494,12 +539,12 @@ class Chunk:
 
     def draws(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """k times, numbers and log-probabilities of an independent segmentation of every unit."""
-        out, prob = [(self.kind.copy(), self.log.copy()) for _ in range(k)], np.exp(self.log)
+        out, prob = [(self.kind.copy(), self.log.copy()) for _ in range(k)], 1.0 - self.spare
         step = self.within.astype(np.uint64) * (_GOLD << np.uint64(6))
         where, seeds = [], []
         for r in range(k):
             seed = np.repeat(np.array([row_seed(key, r) for key in self.keys], np.uint64), self.size) + step
-            rare = np.flatnonzero(uniform(seed, 63) >= prob)
+            rare = np.flatnonzero((uniform(seed, 63) >= prob) & (self.spare > 0))
             where.append(rare)
             seeds.append(seed[rare])
         kinds = self.kind[np.concatenate(where)]
@@ -530,13 +575,12 @@ class Chunk:
         return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _bounds(log: np.ndarray, before: np.ndarray, top, u: np.ndarray) -> np.ndarray:
-    """Bounds of the siblings of some units' segmentations: Gumbels of their mass, below top."""
+def _bounds(log: np.ndarray, before: np.ndarray, top, u: np.ndarray, spare: np.ndarray, main: np.ndarray) -> np.ndarray:
+    """Bounds of the siblings of some units' segmentations: Gumbels of their mass, below top. spare: the mass beside the main one."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        p = np.exp(log)
-        mass = before + np.log1p(-np.minimum(p, 1.0))
+        mass = before + np.where(main, np.log(spare), np.log1p(-np.minimum(np.exp(log), 1.0)))
         g = mass - np.log(np.exp(mass - top) - np.log(u))
-    g[p > 1 - 1e-9] = -np.inf
+    g[spare == 0] = -np.inf
     return g
 
 
@@ -554,7 +598,7 @@ def samples(chunk: Chunk, k: int) -> list[list[tuple[np.ndarray, float, float]]]
     total = np.concatenate([[0.0], np.cumsum(log)])
     tops = np.array([-math.log(-math.log(uniform_one(row_seed(key, 1_000), 0))) for key in chunk.keys])
     u = uniform(np.repeat(np.array([row_seed(key, 2_000) for key in chunk.keys], np.uint64), size), chunk.within)
-    bound = _bounds(log, total[:-1] - np.repeat(total[lo], size), np.repeat(tops, size), u)
+    bound = _bounds(log, total[:-1] - np.repeat(total[lo], size), np.repeat(tops, size), u, chunk.spare, number < chunk.base)
     cut = chunk.bounds
     paths = [[number[cut[i] : cut[i + 1]]] for i in range(n)]
     logs = [[log[cut[i] : cut[i + 1]]] for i in range(n)]
@@ -577,34 +621,36 @@ def samples(chunk: Chunk, k: int) -> list[list[tuple[np.ndarray, float, float]]]
         for g, m in zip(going, old.tolist(), strict=True):
             i, _, b, j = g
             taken = barred[i].setdefault((b, j), [m])
-            (single if len(taken) == 1 else double).append((g, taken))
+            (single if len(taken) == 1 and chunk.spare[cut[i] + j] > SPARE else double).append((g, taken))
         picked: dict[int, tuple[int, float]] = {}
+        beside: dict[int, float] = {}
         if single:
             kinds = np.array([chunk.kind[cut[i] + j] for (i, _, _, j), _ in single], np.int64)
             seeds = np.array([row_seed(chunk.keys[i], 3_000 + r) for (i, _, _, _), _ in single], np.uint64)
             at, ps = chunk.other(kinds, seeds, np.array([t[0] for _, t in single], object))
             picked |= {g[0]: (int(x), float(y)) for (g, _), x, y in zip(single, at, ps, strict=True)}
         for (i, _, _, j), taken in double:
-            w = chunk.lattice.walk_besides(chunk.known.text[int(chunk.kind[cut[i] + j])], taken, row_seed(chunk.keys[i], 3_000 + r))
+            w, beside[i] = chunk.lattice.walk_besides(chunk.known.text[int(chunk.kind[cut[i] + j])], taken, row_seed(chunk.keys[i], 3_000 + r))
             picked[i] = (chunk.base + chunk.count, float(w.log[0]))
             chunk.drawn.append(w)
             chunk.count += 1
         new_masks = chunk.masks(np.array([picked[i][0] for i, _, _, _ in going], np.int64)).tolist()
         for (i, top, b, j), m in zip(going, new_masks, strict=True):
             taken = barred[i][b, j]
-            gone = sum(chunk.lattice.mask_prob(chunk.known.text[int(chunk.kind[cut[i] + j])], x) for x in taken) if len(taken) > 1 else math.exp(logs[i][b][j])
+            if i not in beside:
+                rest = 1.0 - math.exp(logs[i][b][j]) - math.exp(picked[i][1])
+                beside[i] = math.log(rest) if rest > SPARE else chunk.lattice.left(chunk.known.text[int(chunk.kind[cut[i] + j])], [*taken, m])
             taken.append(m)
             x, p = picked[i]
             path = np.concatenate([paths[i][b][:j], [x], fresh[cut[i] + j + 1 : cut[i + 1]]])
             lg = np.concatenate([logs[i][b][:j], [p], fresh_log[cut[i] + j + 1 : cut[i + 1]]])
             before = np.cumsum(lg) - lg
-            rest = 1.0 - gone - math.exp(p)
             frontier[i][b][j] = -math.inf
-            if rest > 1e-9:
-                mass = float(before[j]) + math.log(rest)
+            if beside[i] > -math.inf:
+                mass = float(before[j]) + beside[i]
                 frontier[i][b][j] = mass - math.log(math.exp(min(700.0, mass - top)) - math.log(uniform_one(row_seed(chunk.keys[i], 4_000 + r), j)))
             g = np.full(len(lg), -math.inf)
-            g[j + 1 :] = _bounds(lg[j + 1 :], before[j + 1 :], top, uniform(row_seed(chunk.keys[i], 2_000 + r), np.arange(j + 1, len(lg))))
+            g[j + 1 :] = _bounds(lg[j + 1 :], before[j + 1 :], top, uniform(row_seed(chunk.keys[i], 2_000 + r), np.arange(j + 1, len(lg))), chunk.spare[cut[i] + j + 1 : cut[i + 1]], path[j + 1 :] < chunk.base)
             paths[i].append(path), logs[i].append(lg), frontier[i].append(g)
 
     ids = iter(chunk.tokens([p for some in paths for p in some]))

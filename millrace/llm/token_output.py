@@ -225,15 +225,17 @@ def _edges(rows: DataFrame, n: int, file_chars: int, least: int, sample: int) ->
     return for_null, keys[order][cuts].astype(np.int64)
 
 
-def part_of(key: int | None, checksum: int, for_null: int, edges: np.ndarray) -> int:
-    """The part of a row: by its key and, where several parts hold that key, by the checksum of its ids."""
-    if key is None:
-        return checksum * for_null >> 32 if for_null else 0
-    low, high = (int(np.searchsorted(edges, key, side=s)) for s in ("left", "right"))
-    return for_null + (low + (checksum * (high - low + 1) >> 32) if high - low > 1 else high)
+def parts_of(keys: list[int | None], checksums: list[int], for_null: int, edges: np.ndarray) -> np.ndarray:
+    """The part of each row: by its key and, where several parts hold that key, by the checksum of its ids."""
+    null = np.array([k is None for k in keys], bool)
+    known = np.array([0 if k is None else k for k in keys], np.int64)
+    turn = np.array(checksums, np.int64)
+    low, high = np.searchsorted(edges, known, side="left"), np.searchsorted(edges, known, side="right")
+    own = np.where(high - low > 1, low + (turn * (high - low + 1) >> 32), high) + for_null
+    return np.where(null, turn * for_null >> 32, own)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", file_chars: int = 128 << 20, level: int = 1, sample: int = 200_000) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", file_chars: int = 128 << 20, level: int = 1, sample: int = 50_000) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the files ``part-NNNNNN.zst`` to ``folder`` in ascending key order.
 
     Returns the manifest, a row a file: part, path, n_docs, n_ids and start (ids of all files before it). Null texts are
@@ -272,7 +274,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                 sums = [xxhash.xxh64_intdigest(d) & 0xFFFFFFFF for d in data]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part_of(keys[i], c, for_null, edges) for i, c in zip(run, sums, strict=True)], pa.int32()),
+                        pa.array(parts_of([keys[i] for i in run], sums, for_null, edges), pa.int32()),
                         pa.array([keys[i] for i in run], pa.int64()),
                         pa.array([len(d) for d in data], pa.int64()),
                         pa.array([width] * len(run), pa.int32()),

@@ -168,6 +168,79 @@ def test_samples_are_draws_without_replacement():
                 assert abs(pairs[s, u] / n - want) < 4 * math.sqrt(want / n) + 0.004
 
 
+def test_samples_of_several_units_brute_force():
+    """A text of three units: firsts and pairs follow the products of the units' probabilities, without replacement."""
+    known = pieces.units(MODEL)
+    text = "an it\nso"
+    units = known.lattice.units_of(known.lattice.sp.normalize(text))
+    assert len(units) == 4
+    some = [all_segmentations(known.lattice, u) for u in units]
+    probs = Counter()
+    for way in itertools.product(*(x.items() for x in some)):
+        ids = tuple(x for u, ((seg, at), _) in zip(units, way, strict=True) for i, a in zip(seg, at, strict=False) for x in ([i] if i >= 0 else known.lattice.spelled(u[a])))
+        probs[ids] += math.prod(p for _, p in way)
+    assert abs(sum(probs.values()) - 1) < 1e-9 and len(probs) > 20
+    n = 6000
+    drawn = pieces.samples(pieces.Chunk(known, [text] * n, [f"k{i}" for i in range(n)]), 3)
+    firsts, pairs, weight = Counter(), Counter(), Counter()
+    for row in drawn:
+        ids = [tuple(map(int, x)) for x, _, _ in row]
+        assert len(set(ids)) == 3 and all(math.isclose(log, math.log(probs[i]), abs_tol=1e-6) for i, (_, log, _) in zip(ids, row, strict=True))
+        firsts[ids[0]] += 1
+        pairs[ids[0], ids[1]] += 1
+        for i, (_, log, q) in zip(ids, row, strict=True):
+            weight[i] += math.exp(log) / q / n
+    for a, p in probs.most_common(12):
+        assert abs(firsts[a] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 0.002
+        assert abs(weight[a] - p) < 0.15 * p + 0.01
+        for b, q in probs.most_common(6):
+            if a != b:
+                want = p * q / (1 - p)
+                assert abs(pairs[a, b] / n - want) < 4 * math.sqrt(want / n) + 0.003
+
+
+def test_all_segmentations_come_back():
+    """With k at or over their number, however unlikely the last ones are."""
+    known = pieces.units(MODEL)
+    for text in ("then", "the", "a b", "\u3400", "x\u3400y", "international"):
+        units = known.lattice.units_of(known.lattice.sp.normalize(text))
+        ways = [all_segmentations(known.lattice, u) for u in units]
+        number = math.prod(map(len, ways))
+        if number > 3_000:
+            continue
+        row = pieces.samples(pieces.Chunk(known, [text], ["7"]), number + 5)[0]
+        assert len(row) == number and len({tuple(map(int, x)) for x, _, _ in row}) == number
+        assert math.isclose(sum(math.exp(p) for _, p, _ in row), 1, rel_tol=1e-6) and row[-1][2] == 1
+
+
+def test_long_unspaced_texts_have_the_whole_lattice():
+    """A text of 200 characters without spaces: log-probabilities are those of the uncut lattice, by sums over all ways."""
+    known = pieces.Units(pieces.Lattice(MODEL))
+    lat = known.lattice
+    rng = np.random.default_rng(9)
+    for text in ("".join(rng.choice(list("abcdefghijklmnopqrst"), 200)), "internationalization" * 10, "日本語の文章です" * 25):
+        normal = lat.sp.normalize(text)
+        weight = lambda s: lat.weight[i] if (i := lat.sp.piece_to_id(s)) != lat.unknown else lat.byte_weight ** len(s.encode()) if len(s) == 1 else 0.0  # noqa: B023, E731
+        total = [-math.inf] * len(normal) + [0.0]
+        for s in range(len(normal) - 1, -1, -1):
+            parts = [math.log(w) + total[e] for e in range(s + 1, min(len(normal), s + lat.longest) + 1) if (w := weight(normal[s:e]))]
+            top = max(parts)
+            total[s] = top + math.log(sum(math.exp(x - top) for x in parts))
+        for ids, log, _ in pieces.samples(pieces.Chunk(known, [text], ["3"]), 3)[0]:
+            at, own, i = 0, 0.0, 0
+            ids = [int(x) for x in ids]
+            while i < len(ids):
+                if lat.sp.is_byte(ids[i]):
+                    n = len(normal[at].encode())
+                    own += math.log(weight(normal[at]))
+                    i, at = i + n, at + 1
+                else:
+                    p = lat.sp.id_to_piece(ids[i])
+                    own += math.log(weight(p))
+                    i, at = i + 1, at + len(p)
+            assert at == len(normal) and math.isclose(log, own - total[0], rel_tol=1e-6, abs_tol=1e-6)
+
+
 def test_samples_decode_and_do_not_depend_on_batches(docs):
     known = pieces.units(MODEL)
     rows = docs.limit(30).collect()
