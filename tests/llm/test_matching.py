@@ -58,7 +58,7 @@ def test_lines_brute_force(spark, seed, least):
 
 def test_op2(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    gone = brute_lines([(d, t) for d, t in docs if len(t or "") < 20_000 or True], 50)
+    gone = brute_lines(docs, 50)
     rows = entry.queries()["op2_line_dedup"](spark, sf).collect()
     assert {r.doc_id: (r.text, r.n_removed) for r in rows} == {d: (cut(t, gone.get(d)), len(gone.get(d, ()))) for d, t in docs}
 
@@ -71,16 +71,30 @@ def test_lines_odd(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_ranks_order_suffixes(spark):
-    rng = random.Random(5)
-    seqs = [[rng.choice("ab") for _ in range(rng.randint(1, 9))] for _ in range(12)]
-    df = spark.createDataFrame([(g, i, c, c, 1) for g, s in enumerate(seqs) for i, c in enumerate(s)], "g int, i int, a string, b string, w int")
-    got = {(r.g, r.i): list(r.ranks) for r in line_dedup.suffix_ranks(df, 4).collect()}
-    for k, h in enumerate((1, 2, 4)):
-        want = {(g, i): s[i : i + h] for g, s in enumerate(seqs) for i in range(len(s))}
-        for x in want:
-            for y in want:
-                assert (want[x] < want[y]) == (got[x][k] < got[y][k]) and (want[x] == want[y]) == (got[x][k] == got[y][k])
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_suffix_array(spark, seed):
+    """Ranks, order, common prefixes and maximal repeated runs against a naive suffix array."""
+    rng = random.Random(seed)
+    pool = ["a" * 60, "ab" * 20, "abc" * 9] if seed == 7 else None  # periods: long common prefixes
+    seqs = [list(rng.choice(pool)[: rng.randint(5, 60)]) if pool else [rng.choice("ab") for _ in range(rng.randint(1, 9))] for _ in range(12)]
+    df = spark.createDataFrame([(g, i, c, c, 1, len(s) - i) for g, s in enumerate(seqs) for i, c in enumerate(s)], "g int, i int, a string, b string, w int, rest int")
+    rows = {(r.g, r.i): r for r in line_dedup.suffix_array(df).collect()}
+    assert len(rows) == sum(map(len, seqs))
+    suffix = {(g, i): s[i:] for g, s in enumerate(seqs) for i in range(len(s))}
+    for k in range(len(next(iter(rows.values())).ranks)):
+        by = sorted({tuple(x[: 1 << k]) for x in suffix.values()})
+        known = {}
+        for x, s in suffix.items():
+            known.setdefault(tuple(s[: 1 << k]), set()).add(rows[x].ranks[k])
+        assert all(len(v) == 1 for v in known.values())
+        order = [min(known[x]) for x in by]
+        assert order == sorted(set(order))
+    shared = lambda x, y: next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    array = sorted(suffix, key=lambda x: (suffix[x], x))
+    for p, x in enumerate(array):
+        before = shared(suffix[array[p - 1]], suffix[x]) if p else 0
+        assert (rows[x].place, rows[x].lcp) == (p, before)
+        assert rows[x].longest == max((shared(suffix[x], suffix[y]) for y in suffix if y != x), default=0)
 
 
 # --- decontamination ---------------------------------------------------------------------------------------------------
