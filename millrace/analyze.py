@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .control import Budget, execute
 from .operators.checksum import semantic_checksum
 from .operators.joins import bucket_of, size_of
 from .plans.compile import Engine
@@ -71,26 +72,66 @@ def bucket_bytes(counts: dict[int, int], source_bytes: int) -> dict[int, int]:
     return out
 
 
-def autopsy(tasks: DataFrame) -> DataFrame:
-    """One row on a run from its task attempts (columns of TASKS): counts, the straggler ratio, seven costs, the bottleneck."""
-    done = F.col("status") == "completed"
+def task_metrics(spark, group: str, most: int = 10_000) -> DataFrame:
+    """The task attempts (columns of TASKS) of the jobs of a group, from Spark's status store, which the driver holds.
+
+    The store keeps what spark.ui.retainedTasks allows; a group of more than ``most`` attempts is refused.
+    """
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+    tracker = sc.statusTracker()
+    stages = sorted({s for j in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(j)) for s in info.stageIds})
+    rows = []
+    for stage in stages:
+        attempts = store.stageData(stage, False, jvm.java.util.ArrayList(), False, getattr(sc._gateway, "new_array")(jvm.double, 0))
+        for a in range(attempts.size()):
+            data = attempts.apply(a)
+            name = "ShuffleMap" if data.shuffleWriteBytes() else "Result" if not data.shuffleReadBytes() else "Reduce"
+            tasks = store.taskList(stage, data.attemptId(), most + 1)
+            if len(rows) + tasks.size() > most:
+                raise ValueError(f"group {group} has more than {most} task attempts")
+            for i in range(tasks.size()):
+                t = tasks.apply(i)
+                if not t.taskMetrics().isDefined():
+                    continue
+                m = t.taskMetrics().get()
+                status = {"SUCCESS": "completed", "KILLED": "cancelled", "FAILED": "failed"}.get(t.status(), "running")
+                wall = float(t.duration().get()) if t.duration().isDefined() else float(m.executorRunTime())
+                read = m.inputMetrics().recordsRead() + m.shuffleReadMetrics().recordsRead()
+                made = m.outputMetrics().recordsWritten() + m.shuffleWriteMetrics().recordsWritten()
+                rows.append((f"{stage}.{data.attemptId()}.{t.index()}.{t.attempt()}", t.executorId(), status, t.attempt() + 1, status == "completed", wall, read, m.inputMetrics().bytesRead(), m.shuffleWriteMetrics().bytesWritten() + m.resultSize(), m.executorCpuTime() // 1000, m.peakExecutionMemory(), m.memoryBytesSpilled(), name, 0, made))
+    return spark.createDataFrame(rows, TASKS)
+
+
+def autopsy(tasks: DataFrame, elapsed_ms: float | None = None) -> DataFrame:
+    """One row on a run from its task attempts (columns of TASKS): counts, the straggler ratio, seven costs, the bottleneck.
+
+    elapsed_ms: the run's own time; the longest task's where it is not given. Cancelled attempts are no failures.
+    """
+    done, failed = F.col("status") == "completed", F.col("status") == "failed"
     wall = F.sort_array(F.collect_list(F.when(done, F.col("wall_ms"))))  # a job's tasks
     a = tasks.agg(
-        F.count("*").alias("attempts"), F.count_if(~done).alias("failed"), wall.alias("w"), F.coalesce(F.max(F.when(done, F.col("wall_ms"))), F.lit(0.0)).alias("critical_ms"),
+        F.count("*").alias("attempts"), F.count_if(failed).alias("failed"), F.count_if(F.col("attempt") > 1).alias("retried"), wall.alias("w"), F.coalesce(F.max(F.when(done, F.col("wall_ms"))), F.lit(0.0)).alias("critical_ms"),
         F.coalesce(F.sum("bytes_scanned"), F.lit(0)).alias("storage"), F.coalesce(F.sum("transferred_bytes"), F.lit(0)).alias("communication"), (F.coalesce(F.sum("cpu_micros"), F.lit(0)) / 1000).alias("computation"),
         F.greatest(F.lit(0.0), F.coalesce(F.sum("wall_ms"), F.lit(0.0)) - F.coalesce(F.sum("cpu_micros"), F.lit(0)) / 1000).alias("waiting"), F.coalesce(F.max("peak_memory_bytes"), F.lit(0)).alias("memory"),
-        F.coalesce(F.sum("spill_bytes"), F.lit(0)).alias("spill"), (F.coalesce(F.sum(F.when(~done, F.col("cpu_micros"))), F.lit(0)) / 1000).alias("recomputation"),
+        F.coalesce(F.sum("spill_bytes"), F.lit(0)).alias("spill"), (F.coalesce(F.sum(F.when(failed, F.col("cpu_micros"))), F.lit(0)) / 1000).alias("recomputation"),
         F.avg(F.when(F.col("estimated_rows") > 0, F.abs(F.col("actual_rows") - F.col("estimated_rows")) / F.col("estimated_rows"))).alias("cardinality_error"),
     )
-    median = F.coalesce(F.get("w", F.floor(F.size("w") / 2).cast("int")), F.lit(0.0))
-    a = a.withColumn("median_ms", median).withColumn("straggler_ratio", F.when(F.col("median_ms") > 0, F.col("critical_ms") / F.col("median_ms")).otherwise(1.0))
-    elapsed = F.col("critical_ms")
-    kind = F.when(F.col("spill") > 0, "memory_spill").when(F.col("straggler_ratio") >= 2, "straggler").when(F.col("communication") > 0.5 * F.col("storage"), "network_shuffle").when(F.col("computation") > 2 * elapsed, "cpu_parallel").otherwise("balanced")
+    n = F.size("w")
+    median = F.when(n % 2 == 1, F.get("w", F.floor(n / 2).cast("int"))).otherwise((F.get("w", (n / 2 - 1).cast("int")) + F.get("w", (n / 2).cast("int"))) / 2)
+    a = a.withColumn("median_ms", F.coalesce(median, F.lit(0.0))).withColumn("straggler_ratio", F.when(F.col("median_ms") > 0, F.col("critical_ms") / F.col("median_ms")).otherwise(1.0))
+    elapsed = F.lit(elapsed_ms) if elapsed_ms is not None else F.col("critical_ms")
+    slow = (F.col("median_ms") > 0) & (F.col("straggler_ratio") >= 2)
+    kind = F.when(F.col("spill") > 0, "memory_spill").when(slow, "straggler").when(F.col("communication") > 0.5 * F.col("storage"), "network_shuffle").when(F.col("computation") > 2 * elapsed, "cpu_parallel").otherwise("balanced")
     return a.withColumn("bottleneck", kind).drop("w")
 
 
 def operator_rollup(tasks: DataFrame) -> DataFrame:
-    return tasks.groupBy("operator").agg(F.count("*").alias("attempts"), F.sum("wall_ms").alias("wall_ms"), F.sum("rows_scanned").alias("rows_scanned"), F.sum("transferred_bytes").alias("transferred_bytes"))
+    """By operator, the longest first: attempts, times, rows and bytes in and out, CPU, memory, spill and rates."""
+    sums = {"wall_ms": "wall_ms", "rows_scanned": "rows_scanned", "rows_produced": "actual_rows", "bytes_scanned": "bytes_scanned", "transferred_bytes": "transferred_bytes", "cpu_micros": "cpu_micros", "spill_bytes": "spill_bytes"}
+    out = tasks.groupBy("operator").agg(F.count("*").alias("attempts"), *[F.sum(c).alias(n) for n, c in sums.items()], F.max("peak_memory_bytes").alias("peak_memory_bytes"))
+    rate = lambda c: F.when(F.col("wall_ms") > 0, F.col(c) * 1000 / F.col("wall_ms")).otherwise(0.0)
+    return out.withColumns({"rows_per_second": rate("rows_scanned"), "bytes_per_second": rate("bytes_scanned")}).orderBy(F.desc("wall_ms"), "operator")
 
 
 def longest_tasks(tasks: DataFrame, n: int = 3) -> DataFrame:
@@ -113,22 +154,32 @@ def suggestions(a: dict) -> list[str]:
     return out or ["no dominant pathology"]
 
 
-def what_if(base_ms: float, workers: int, target_workers: int, combiner: bool | None = None, warm_cache: bool = False, strategy: str | None = None, current_strategy: str = "auto", winners: int = 0) -> dict:
-    """A projection by Amdahl's law with a parallel share of 0.85 and fixed factors for the other changes."""
+def what_if(base_ms: float, workers: int, target_workers: int | None = None, combiner: bool | None = None, warm_cache: bool = False, strategy: str | None = None, current_strategy: str | None = "auto", winners: int = 0, current_combiner: bool = True, cache_level: str = "NONE") -> dict:
+    """A projection by Amdahl's law with a parallel share of 0.85 and fixed factors for what differs from the run: the combiner, a
+    warm cache where the run kept nothing, the join strategy."""
+    target_workers = workers if target_workers is None else target_workers
     if not (1 <= target_workers <= 32 and 1 <= workers <= 32):
         raise ValueError("workers must be from 1 to 32")
     if strategy not in (None, "auto", "local", "broadcast", "hash_shuffle"):
         raise ValueError("unknown strategy")
     ratio = 0.15 + 0.85 * workers / target_workers
-    if combiner is not None:
+    if combiner is not None and combiner != current_combiner:
         ratio *= 0.7 if combiner else 1.35
-    if warm_cache:
+    if warm_cache and cache_level == "NONE":
         ratio *= 0.78
     if strategy is not None and strategy != current_strategy:
         ratio *= 0.9
     return {"predicted_ms": max(1, round(base_ms * ratio)), "speedup": 1 / ratio, "confidence": "medium" if winners >= 4 else "low"}
 
 
+def measured(engine: Engine, sql: str, base: Budget, changed: Budget) -> dict:
+    """The run and its alternative, both measured: milliseconds of each, and whether their rows are the same."""
+    one, two = execute(engine, sql, base), execute(engine, sql, changed)
+    row = lambda r: tuple(sorted(r.asDict().items(), key=str))
+    return {"base_ms": one.millis, "changed_ms": two.millis, "matches": sorted(map(row, one.rows), key=str) == sorted(map(row, two.rows), key=str)}
+
+
+#: Overrides of a replay, by the fields of a budget.
 OVERRIDES = ("worker_limit", "combiner", "speculation", "cache_level", "cache_bytes", "join_strategy", "skew_factor", "max_execution_ms")
 
 
@@ -153,10 +204,9 @@ class Workload:
         return out
 
     def _run(self, sql: str, how: dict) -> dict:
-        began = time.perf_counter()
-        df = self.engine.sql(sql, strategy=how.get("join_strategy", "auto"))
-        checksum = semantic_checksum(df).first()["checksum"]
-        return {"sql": sql, "checksum": checksum, "millis": (time.perf_counter() - began) * 1e3}
+        run = execute(self.engine, sql, Budget(**how))
+        spark, schema = self.engine.spark, self.engine.sql(sql).schema
+        return {"sql": sql, "checksum": semantic_checksum(spark.createDataFrame(run.rows, schema)).first()["checksum"], "millis": run.millis}
 
 
 @dataclass

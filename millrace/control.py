@@ -5,15 +5,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import json
 import math
+import re
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from . import workspace
+
 
 class QueueFull(RuntimeError):
     """More queries wait than may."""
@@ -77,13 +82,19 @@ class Budget:
             raise ValueError("unknown cache_level")
 
     def settings(self) -> dict[str, str]:
-        """Session settings of this budget."""
-        return {"spark.sql.adaptive.skewJoin.skewedPartitionFactor": str(self.skew_factor)}
+        """Session settings of this budget. A worker limit bounds the tasks that a stage has, and so those that run at once."""
+        out = {"spark.sql.adaptive.skewJoin.skewedPartitionFactor": str(self.skew_factor)}
+        if self.worker_limit:
+            out |= {"spark.sql.shuffle.partitions": str(self.worker_limit), "spark.sql.files.maxPartitionNum": str(self.worker_limit), "spark.sql.files.minPartitionNum": str(self.worker_limit)}
+        return out
 
 
 def within(spark: SparkSession, run: Callable[[], object], budget: Budget, group: str) -> object:
-    """run() in a job group of its own, which is cancelled when its time is up."""
+    """run() in a job group of its own, which is cancelled when its time is up. Speculation can't be turned on in a running
+    application: a budget that asks for it where the cluster has none is refused."""
     sc = spark.sparkContext
+    if budget.speculation and sc.getConf().get("spark.speculation", "false") != "true":
+        raise ValueError("speculation is a setting that the application starts with; see cluster_settings()")
     timer = threading.Timer(budget.max_execution_ms / 1e3, lambda: sc.cancelJobGroup(group))
     old = {k: spark.conf.get(k, None) for k in budget.settings()}
     sc.setJobGroup(group, group, interruptOnCancel=True)
@@ -99,6 +110,74 @@ def within(spark: SparkSession, run: Callable[[], object], budget: Budget, group
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+@dataclass
+class Run:
+    """What one statement did under a budget."""
+
+    rows: list
+    millis: float
+    group: str
+
+
+def execute(engine, sql: str, budget: Budget, cache=None, feedback: Feedback | None = None) -> Run:
+    """Run a statement with every field of the budget applied: time, rows, tasks, skew factor, combiner, speculation, join strategy,
+    and the level at which its tables are kept in ``cache`` (of cache_bytes). With ``feedback``, the shuffle has as many
+    buckets as earlier runs of the statement advise, and this run is recorded."""
+    from .analyze import autopsy, task_metrics
+    from .operators.joins import size_of
+    from .plans.compile import Engine
+    from .plans.lazy import Cache
+
+    spark, group = engine.spark, f"run-{uuid.uuid4().hex}"
+    tables = dict(engine.tables)
+    if budget.cache_level != "NONE":
+        cache = cache if cache is not None else Cache(budget.cache_bytes)
+        tables = {n: cache.get(n, lambda df=df: df, size_of(df), budget.cache_level) for n, df in tables.items()}
+    key = fingerprint(sql, ",".join(sorted(tables)), strategy=budget.join_strategy)
+    advice = feedback.known.get(key) if feedback else None
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    if advice and not budget.worker_limit:
+        spark.conf.set("spark.sql.shuffle.partitions", str(advice["buckets"]))
+    began = time.perf_counter()
+    try:
+        rows = within(spark, lambda: Engine(spark, tables).collect(sql, budget.max_rows, strategy=budget.join_strategy, combiner=budget.combiner), budget, group)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    out = Run(rows, (time.perf_counter() - began) * 1e3, group)
+    if feedback:
+        ratio = autopsy(task_metrics(spark, group)).first()["straggler_ratio"]
+        feedback.record(key, len(rows), ratio, buckets=int(advice["buckets"]) if advice else min(8, int(old)), hot=ratio >= 2)
+    return out
+
+
+@dataclass(frozen=True)
+class Worker:
+    """An executor."""
+
+    id: str
+    capabilities: tuple[str, ...] = ("scan", "join", "shuffle")
+    host: str = ""
+    cores: int = 0
+
+
+_FIXED = re.compile(r"worker-(\d+)")
+
+
+def scheduling_order(workers: list[Worker], needs: tuple[str, ...] = (), limit: int = 0) -> list[Worker]:
+    """The workers that have what is needed, those with a fixed number first by number, the others by name; ``limit`` of them, or all."""
+    order = lambda w: (0, int(m[1]), "") if (m := _FIXED.fullmatch(w.id)) else (1, 0, w.id)
+    some = sorted((w for w in workers if set(needs) <= set(w.capabilities)), key=order)
+    return some[:limit] if limit else some
+
+
+def registered(spark: SparkSession) -> list[Worker]:
+    """The executors that are registered now and alive (in local mode, the driver), from Spark's status store."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    live = [found.apply(i) for i in range(found.size())]
+    workers = [Worker(x.id(), host=x.hostPort(), cores=x.totalCores()) for x in live if x.isActive()]
+    return [w for w in workers if w.id != "driver"] or workers
+
+
 def speculation_threshold(siblings: list[float]) -> float | None:
     """Milliseconds after which a task may be run a second time: max(250, 1.5 x the third quartile of its siblings)."""
     if not siblings:
@@ -140,21 +219,29 @@ class Chaos:
         self.kind, self.left = None, 0
 
     def injected(self, df: DataFrame) -> DataFrame:
-        """df whose first attempts in the partition meet the fault; what is retried gives the same rows."""
+        """df whose first attempts in the partition meet the fault; what is retried gives the same rows.
+
+        delay and skew sleep; network_loss and corrupted_input fail before any row; duplicate fails behind the last one, as where
+        a finished attempt is not heard of: its rows are made twice and committed once. Faults that fail need retries
+        (spark.task.maxFailures over 1).
+        """
         if self.kind is None or self.left < 1:
             return df
+        workspace.ship(df.sparkSession)
         kind, partition, delay, times = self.kind, self.partition, self.delay_ms / 1e3, self.left
         self.log.append(kind)
         self.clear()
 
         def run(batches):
             task = TaskContext.get()
-            if (partition is None or task.partitionId() == partition) and task.attemptNumber() < times:
-                if kind in ("delay", "skew"):
-                    time.sleep(delay)
-                elif kind in ("network_loss", "corrupted_input"):
-                    raise InjectedFault(kind)
-            yield from batches  # a duplicate attempt: one is committed, as for every Spark task
+            hit = (partition is None or task.partitionId() == partition) and task.attemptNumber() < times
+            if hit and kind in ("delay", "skew"):
+                time.sleep(delay)
+            if hit and kind in ("network_loss", "corrupted_input"):
+                raise InjectedFault(kind)
+            yield from batches
+            if hit and kind == "duplicate":
+                raise InjectedFault(kind)
 
         return df.mapInArrow(run, df.schema)
 
@@ -179,17 +266,47 @@ class Feedback:
 
 @dataclass
 class Jobs:
-    """Submitted jobs by id; those that were cut off are run again under the same id, and a result is kept once."""
-
-    jobs: dict[str, dict] = field(default_factory=dict)
-
-    def submit(self, id: str, run: Callable[[], object]) -> None:
-        self.jobs.setdefault(id, {"run": run, "status": "interrupted", "result": None})
-
-    def resume(self) -> list[str]:
-        done = []
-        for id, job in self.jobs.items():
-            if job["status"] == "interrupted":
-                job["result"], job["status"] = job["run"](), "completed"
-                done.append(id)
-        return done
+    """Submitted statements by id, each a small file in the shared folder, and their results, which are written once.
+
+    A job that was cut off is found as interrupted by the next process, and is run again under the same id.
+    """
+
+    spark: SparkSession
+    root: str
+
+    def _put(self, job: dict) -> None:
+        workspace.put_bytes(self.spark, f"{self.root}/jobs/{job['id']}.json", json.dumps(job).encode())
+
+    def get(self, id: str) -> dict:
+        return json.loads(workspace.get_bytes(self.spark, f"{self.root}/jobs/{id}.json"))
+
+    def all(self) -> list[dict]:
+        return [self.get(n.removesuffix(".json")) for n in workspace.names(self.spark, f"{self.root}/jobs") if n.endswith(".json")]
+
+    def submit(self, id: str, sql: str, strategy: str = "auto") -> dict:
+        """Note a job; one that is known already stays as it is."""
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", id):
+            raise ValueError("an id has letters, digits, - and _")
+        if not workspace.exists(self.spark, f"{self.root}/jobs/{id}.json"):
+            self._put({"id": id, "sql": sql, "strategy": strategy, "status": "interrupted", "attempts": 0})
+        return self.get(id)
+
+    def run(self, engine, id: str) -> DataFrame:
+        """The result, by running the job unless that is done. Rows come as JSON with their places."""
+        from .sources import sinks
+
+        job, out = self.get(id), f"{self.root}/results/{id}"
+        if job["status"] != "completed":
+            self._put(job | {"attempts": job["attempts"] + 1})
+            if workspace.exists(self.spark, out):  # what a cut-off attempt left
+                workspace.remove(self.spark, out)
+            sinks.durable(engine.sql(job["sql"], strategy=job["strategy"]), out)
+            self._put(job | {"attempts": job["attempts"] + 1, "status": "completed"})
+        return self.spark.read.schema("row_index bigint, row string").parquet(out)
+
+    def resume(self, engine) -> list[str]:
+        """Run all interrupted jobs; their ids."""
+        some = [j["id"] for j in self.all() if j["status"] == "interrupted"]
+        for id in some:
+            self.run(engine, id)
+        return some

@@ -24,6 +24,12 @@ def _text(column: str) -> Column:
     return F.when(c != "", c)
 
 
+def hash64(column: Column, seed: int | str = 0) -> Column:
+    """The first eight bytes of SHA-256(seed, a zero byte, value as text), as a whole number from 0 to 2^64 - 1."""
+    text = F.concat(F.lit(f"{seed}").cast("binary"), F.unhex(F.lit("00")), column.cast("string").cast("binary"))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
 def distinct_sketch(column: str, precision: int = 12) -> Column:
     """A HyperLogLog state: merge with ``F.hll_union_agg``, read with ``F.hll_sketch_estimate``."""
     return F.hll_sketch_agg(_text(column), _check("precision", precision, 4, 16))
@@ -40,6 +46,35 @@ def approx_percentile(column: str, q: float, capacity: int = 200) -> Column:
     return F.percentile_approx(F.when(~F.isnan(x), x), q, 50 * capacity)
 
 
+def percentile_sketch(column: str, capacity: int = 200) -> Column:
+    """A KLL state of the values, nulls and NaN left out: merge with :func:`percentile_merged`, read with :func:`percentile_of`."""
+    _check("capacity", capacity, 20, 5_000)
+    x = F.col(column).cast("double")
+    return F.kll_sketch_agg_double(F.when(~F.isnan(x), x), F.lit(capacity))
+
+
+def percentile_merged(column: str) -> Column:
+    return F.kll_merge_agg_double(column)
+
+
+def percentile_of(state: Column, q: float) -> Column:
+    return F.kll_sketch_get_quantile_double(state, F.lit(q))
+
+
+def top_sketch(column: str, max_items: int = 10_000) -> Column:
+    """A frequent-items state: merge with :func:`top_merged`, read with :func:`top_of`."""
+    return F.expr(f"approx_top_k_accumulate(CASE WHEN cast(`{column}` AS string) <> '' THEN cast(`{column}` AS string) END, {max_items})")
+
+
+def top_merged(column: str, max_items: int = 10_000) -> Column:
+    return F.expr(f"approx_top_k_combine(`{column}`, {max_items})")
+
+
+def top_of(column: str, k: int = 10) -> Column:
+    """An array of (item, count), the most frequent first."""
+    return F.expr(f"approx_top_k_estimate(`{column}`, {k})")
+
+
 def heavy_hitters(df: DataFrame, column: str, k: int = 10, max_items: int = 10_000) -> DataFrame:
     """(item, n_rows) of the k most frequent values, by a bounded frequent-items state; count descending, then value."""
     top = df.select(_text(column).alias("v")).where("v is not null").agg(F.expr(f"approx_top_k(v, {k}, {max_items})").alias("t"))
@@ -49,9 +84,9 @@ def heavy_hitters(df: DataFrame, column: str, k: int = 10, max_items: int = 10_0
 def frequency(df: DataFrame, column: str, width: int = 2_048, depth: int = 5, seed: int = 42) -> DataFrame:
     """(row, slot, n): a count-min table, as long as width x depth at most; read with :func:`frequency_of`, merged by adding."""
     _check("width", width, 64, 65_536), _check("depth", depth, 2, 10)
-    v = df.select(_text(column).alias("v")).where("v is not null").groupBy("v").count()
+    v = df.select(_text(column).alias("v")).where("v is not null")
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64("v", F.lit(seed + r)), F.lit(width)).alias("slot")) for r in range(depth)]))
-    return v.select("count", rows.alias("e")).groupBy("e.row", "e.slot").agg(F.sum("count").alias("n"))
+    return v.select(rows.alias("e")).groupBy("e.row", "e.slot").agg(F.count("*").alias("n"))  # a task sends width x depth rows at most
 
 
 def frequency_of(table: DataFrame, values: DataFrame, width: int = 2_048, depth: int = 5, seed: int = 42) -> DataFrame:
@@ -71,18 +106,19 @@ def bloom_bits(df: DataFrame, column: str, bits: int = 262_144, hashes: int = 5)
     """(word, bits): a Bloom filter as 32-bit words, bits / 32 rows at most. Filters of one size merge by ``bit_or``."""
     _check("bits", bits, 1_024, 16_777_216), _check("hashes", hashes, 1, 12)
     v = df.select(F.col(column).cast("string").alias("v")).where("v is not null")
-    pos = v.select(F.explode(_positions("v", bits, hashes)).alias("p"))
+    pos = v.select(F.explode(F.array(*positions(F.col("v"), bits, hashes))).alias("p"))
     return pos.groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 31))")).alias("bits"))
 
 
-def _positions(column: str, bits: int, hashes: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in range(hashes)])
+def positions(value: Column, bits: int, hashes: int) -> list[Column]:
+    """The bits of a value in a Bloom filter."""
+    return [F.pmod(F.xxhash64(value, F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
 def bloom_might_contain(values: DataFrame, column: str, words: DataFrame, bits: int = 262_144, hashes: int = 5) -> DataFrame:
     """(v, might): distinct values and whether the filter may hold them; no false negatives, null never."""
     v = values.select(F.col(column).cast("string").alias("v")).distinct()
-    pos = v.select("v", F.explode(_positions("v", bits, hashes)).alias("p")).withColumn("word", F.shiftright("p", 5))
+    pos = v.select("v", F.explode(F.array(*positions(F.col("v"), bits, hashes))).alias("p")).withColumn("word", F.shiftright("p", 5))
     hit = pos.join(words, "word", "left").select("v", (F.coalesce("bits", F.lit(0)).bitwiseAND(F.expr("shiftleft(1L, int(p & 31))")) != 0).alias("h"))
     return hit.groupBy("v").agg((F.bool_and("h") & F.col("v").isNotNull()).alias("might"))
 

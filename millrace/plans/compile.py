@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import exchanged
 from ..operators.joins import Strategy, choose_strategy, joined, size_of
 from .binder import bind, kinds
 from .sqlgate import Aggregate, Name, Plan, Predicate, parse
@@ -32,15 +33,26 @@ def aggregate(a: Aggregate, column: Column | None) -> Column:
     return f[a.function]().alias(a.alias)
 
 
-def compiled(plan: Plan, tables: dict[str, DataFrame], strategy: str = "auto", zero_nulls: bool = False) -> DataFrame:
-    """zero_nulls: NULL sorts as 0 (or as the empty string)."""
+def quoted(n: Name) -> str:
+    return ".".join("`" + part.replace("`", "``") + "`" for part in (n.qualifier, n.column) if part)
+
+
+def predicate_sql(p: Predicate) -> str:
+    """The predicate as SQL text: names quoted, quotes in text doubled."""
+    value = "'" + p.value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(p.value, str) else repr(p.value)
+    return f"{quoted(p.name)} {p.op} {value}"
+
+
+def compiled(plan: Plan, tables: dict[str, DataFrame], strategy: str = "auto", zero_nulls: bool = False, combiner: bool = True, reduce: bool = False, split: bool = False) -> DataFrame:
+    """zero_nulls: NULL sorts as 0 (or as the empty string). combiner: without it, rows move to their groups one by one, and nothing
+    is aggregated before. reduce, split: of a shuffled join's larger side, see :func:`joined`."""
     by_name = {k.lower(): v for k, v in tables.items()}
     left = by_name[plan.table.name.lower()].alias(plan.table.alias)
     if plan.join:
         right = by_name[plan.join.table.name.lower()].alias(plan.join.table.alias)
         column = lambda n: F.col(f"{n.qualifier}.`{n.column}`")
         kind = Strategy(strategy) if strategy != "auto" else choose_strategy(size_of(left), size_of(right))
-        df = joined(left, right, column(plan.join.left), column(plan.join.right), kind)
+        df = joined(left, right, column(plan.join.left), column(plan.join.right), kind, reduce, split)
     else:
         column = lambda n: F.col(f"`{n.column}`")
         df = left
@@ -48,6 +60,9 @@ def compiled(plan: Plan, tables: dict[str, DataFrame], strategy: str = "auto", z
         df = df.where(predicate(p, column(p.name)))
     outputs = [column(o.name).alias(o.alias) for o in plan.outputs]
     if plan.aggregates:
+        if not combiner:
+            needed = {str(n): column(n) for n in [*plan.group_by, *(a.name for a in plan.aggregates if a.name)]}
+            df = exchanged(df.select(*needed.values()) if needed else df.select(F.lit(1).alias("one")), [column(g) for g in plan.group_by])
         made = [aggregate(a, column(a.name) if a.name else None) for a in plan.aggregates]
         if plan.group_by:
             keys = {_key(g, plan): column(g).alias(f"__g{i}") for i, g in enumerate(plan.group_by)}
@@ -83,8 +98,8 @@ class Engine:
     def plan(self, sql: str) -> Plan:
         return bind(parse(sql), {n: kinds(df.schema) for n, df in self.tables.items()})
 
-    def sql(self, sql: str, strategy: str = "auto", zero_nulls: bool = False) -> DataFrame:
-        return compiled(self.plan(sql), self.tables, strategy, zero_nulls)
+    def sql(self, sql: str, strategy: str = "auto", zero_nulls: bool = False, **how) -> DataFrame:
+        return compiled(self.plan(sql), self.tables, strategy, zero_nulls, **how)
 
     def collect(self, sql: str, max_rows: int = 100_000, **how) -> list:
         """The rows, or :class:`ResultTooLarge` where there are more than max_rows."""

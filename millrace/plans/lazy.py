@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
@@ -62,30 +63,44 @@ class LazyPlan:
 class Cache:
     """Frames kept by name at a level, within a budget of bytes; the least recently used go, pinned ones stay.
 
-    Memory alone is used only for frames of a quarter of the budget at most; larger than the budget: not kept.
+    Threads that ask for one name at once load it once. Memory alone is used only for frames of a quarter of the budget at most; larger than the budget: not kept.
     """
 
     budget: int = 256 << 20
     entries: OrderedDict[str, tuple[DataFrame, int, bool]] = field(default_factory=OrderedDict)
     counters: dict[str, int] = field(default_factory=lambda: {"hits": 0, "misses": 0, "evictions": 0, "bypasses": 0})
+    _lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
+    _loading: dict[str, threading.Event] = field(default_factory=dict, repr=False)
 
     def get(self, name: str, load: Callable[[], DataFrame], size: int, level: str = "MEMORY_AND_DISK", pinned: bool = False) -> DataFrame:
         if level not in LEVELS:
             raise ValueError(f"level must be one of {', '.join(LEVELS)}")
-        if name in self.entries:
-            self.counters["hits"] += 1
-            self.entries.move_to_end(name)
-            return self.entries[name][0]
-        self.counters["misses"] += 1
-        df = load()
-        storage = LEVELS[level]
-        if storage is None:
-            return df
-        if level == "MEMORY" and size > self.budget // 4 or not self._room(size):
-            self.counters["bypasses"] += 1
-            return df
-        self.entries[name] = (df.persist(storage), size, pinned)
-        return self.entries[name][0]
+        while True:
+            with self._lock:
+                if name in self.entries:
+                    self.counters["hits"] += 1
+                    self.entries.move_to_end(name)
+                    return self.entries[name][0]
+                other = self._loading.get(name)
+                if other is None:
+                    self._loading[name] = threading.Event()
+                    self.counters["misses"] += 1
+                    break
+            other.wait()  # one load at a time: then look again
+        try:
+            df = load()
+            storage = LEVELS[level]
+            with self._lock:
+                if storage is None:
+                    return df
+                if level == "MEMORY" and size > self.budget // 4 or not self._room(size):
+                    self.counters["bypasses"] += 1
+                    return df
+                self.entries[name] = (df.persist(storage), size, pinned)
+                return self.entries[name][0]
+        finally:
+            with self._lock:
+                self._loading.pop(name).set()
 
     def _room(self, size: int) -> bool:
         if size > self.budget:

@@ -3,24 +3,65 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import workspace
+
 ROW_INDEX = "__row"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """All columns as text, or by the schema given; empty cells are null."""
-    reader = spark.read.option("header", True).option("nullValue", "").option("emptyValue", "").option("mode", "FAILFAST")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, ragged: bool = False) -> DataFrame:
+    """All columns as text, or by the schema given; empty cells are null. A row with too few cells fails, or with ``ragged`` lacks
+    them: they are null, which no predicate holds for."""
+    reader = spark.read.option("header", True).option("nullValue", "").option("emptyValue", "").option("mode", "PERMISSIVE" if ragged else "FAILFAST")
     if schema is None:
         return reader.option("inferSchema", False).csv(path)
     return reader.schema(schema).csv(path)
 
 
+def scan_rows(spark: SparkSession, path: str, where: str, ragged: bool = False) -> DataFrame:
+    """Rows of a CSV file, numbers as such, for which a condition holds; it is handed to the reader."""
+    raw = read_csv(spark, path, ragged=ragged)
+    kinds = infer_types(raw)
+    schema = T.StructType([T.StructField(c, T.DoubleType() if kinds[c] == "number" else T.StringType()) for c in raw.columns])
+    return read_csv(spark, path, schema, ragged).where(where)
+
+
+class NotParquet(ValueError):
+    """A file that a Parquet scan can't read."""
+
+
+def parquet_scan(spark: SparkSession, path: str, columns: list[str], where: str | None = None) -> DataFrame:
+    """Some columns of Parquet files; anything else is refused by its first and last four bytes, before it is read."""
+    for name, _ in files_of(spark, path):
+        fs, at = open_fs(name)
+        with fs.open_input_file(at) as f:
+            size = f.size()
+            if size < 12 or f.read_at(4, 0) != b"PAR1" or f.read_at(4, size - 4) != b"PAR1":
+                raise NotParquet(f"{name} is no Parquet file")
+    df = spark.read.parquet(path)
+    return (df.where(where) if where else df).select(*columns)
+
+
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of a table, by path; contents are not read. A row a file comes to the driver."""
+    return sorted((r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())
+
+
+def open_fs(path: str):
+    """(file system, path in it)."""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path)
+
+
 @dataclass(frozen=True)
 class CsvScan:
     rows: int
@@ -28,11 +69,35 @@ class CsvScan:
     checksum: str  # SHA-256 over the files' own SHA-256, by name
 
 
-def scan_csv(spark: SparkSession, path: str) -> CsvScan:
-    """Row count, header and checksum. Files are hashed on the executors."""
+def digests(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
+    """(path, sha256) of each file, streamed on the executors in blocks, so that files of any size can be hashed."""
+    import pyarrow as pa
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                fs, at = pafs.FileSystem.from_uri(name)
+                h = hashlib.sha256()
+                with fs.open_input_stream(at) as f:
+                    while part := f.read(block):
+                        h.update(part)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "sha256"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInArrow(run, "path string, sha256 string")
+
+
+def scan_csv(spark: SparkSession, path: str, rows: int | None = None) -> CsvScan:
+    """Row count, header and checksum."""
     df = read_csv(spark, path)
-    digests = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()  # a row a file
-    return CsvScan(df.count(), df.columns, hashlib.sha256("".join(r["h"] for r in digests).encode()).hexdigest())
+    found = [r["sha256"] for r in digests(spark, path).orderBy("path").collect()]  # a row a file
+    return CsvScan(df.count() if rows is None else rows, df.columns, hashlib.sha256("".join(found).encode()).hexdigest())
 
 
 def infer_types(df: DataFrame, sample: int = 100) -> dict[str, str]:
@@ -60,12 +125,15 @@ def partition_index(row: Column, rows: Column | int, partitions: int) -> Column:
 def with_row_index(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """df with its rows' places from 0 on, by ``order`` or as read.
 
-    Two steps that don't gather rows in one task: places within a partition, then an offset a partition.
+    Two steps that don't gather rows in one task: places within a partition, then an offset a partition. The rows are written
+    between them, as a second run of the first step might deal them otherwise.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order) if order else df
-    tagged = placed.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    path = workspace.workspace(spark, "indexed")
+    placed.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    tagged = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = tagged.groupBy("__part").agg(F.count("*").alias("c"))
     offsets = sizes.withColumn("__off", F.coalesce(F.sum("c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__off")  # a row a partition
     return tagged.join(F.broadcast(offsets), "__part").withColumn(ROW_INDEX, F.col("__in") + F.col("__off")).drop("__id", "__part", "__in", "__off")
@@ -80,31 +148,37 @@ def range_partitioned(df: DataFrame, partitions: int = 3, order: list[str] | Non
     return indexed.withColumn("part", partition_index(F.col(ROW_INDEX), n, partitions)).drop(ROW_INDEX)
 
 
+def parts_for(size: int, part_bytes: int = 128 << 20) -> int:
+    """Ranges of about part_bytes, three at least."""
+    return max(3, -(-size // part_bytes))
+
+
 def column_stats(df: DataFrame) -> DataFrame:
-    """(column_name, n_rows, n_null, least, greatest, approx_distinct) of every column, in one pass; extremes as text."""
+    """(column_name, n_rows, n_null, least, greatest, approx_distinct) of every column, in one pass; extremes as text, distinct values to about one percent."""
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(df.columns):
         x = F.col(f"`{c}`")
-        aggs += [F.count_if(x.isNull()).alias(f"u{i}"), F.min(x).cast("string").alias(f"l{i}"), F.max(x).cast("string").alias(f"g{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
+        aggs += [F.count_if(x.isNull()).alias(f"u{i}"), F.min(x).cast("string").alias(f"l{i}"), F.max(x).cast("string").alias(f"g{i}"), F.approx_count_distinct(x, 0.01).alias(f"d{i}")]
     row = df.agg(*aggs)
     stats = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"u{i}").alias("n_null"), F.col(f"l{i}").alias("least"), F.col(f"g{i}").alias("greatest"), F.col(f"d{i}").alias("approx_distinct")) for i, c in enumerate(df.columns)])
     return row.select(F.inline(stats))
 
 
 def row_group_stats(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(file, row_group, n_rows, compressed_bytes, n_null, least, greatest) from the Parquet footers, read on the executors."""
+    """(file, row_group, n_rows, compressed_bytes, n_null, least, greatest) from the Parquet footers; nothing else of the files is read."""
     schema = "file string, row_group int, n_rows bigint, compressed_bytes bigint, n_null bigint, least string, greatest string"
 
     def run(batches):
-        import io
-
         import pyarrow as pa
+        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         for batch in batches:
             rows = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                meta = pq.ParquetFile(io.BytesIO(content)).metadata
+            for name in batch.column(0).to_pylist():
+                fs, at = pafs.FileSystem.from_uri(name)
+                with fs.open_input_file(at) as f:
+                    meta = pq.read_metadata(f)
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
                     for j in range(group.num_columns):
@@ -116,7 +190,7 @@ def row_group_stats(spark: SparkSession, path: str, column: str) -> DataFrame:
             kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").mapInArrow(run, schema)
 
 
 def pruned_bytes(groups: list[dict], op: str, value: float) -> tuple[int, int]:
@@ -128,6 +202,13 @@ def pruned_bytes(groups: list[dict], op: str, value: float) -> tuple[int, int]:
     return read, sum(g["bytes"] for g in groups) - read
 
 
+def pruned_scan(spark: SparkSession, path: str, column: str, op: str, value: float) -> tuple[int, int]:
+    """(bytes to read, bytes skipped) of a numeric column of a table for ``column op value``, by its row groups' statistics."""
+    number = lambda x: None if x is None else float(x)
+    groups = [{"bytes": r["compressed_bytes"], "min": number(r["least"]), "max": number(r["greatest"])} for r in row_group_stats(spark, path, column).collect()]  # a row a group
+    return pruned_bytes(groups, op, value)
+
+
 @dataclass(frozen=True)
 class Dataset:
     """An immutable snapshot."""
@@ -146,23 +227,45 @@ class Dataset:
 
 @dataclass
 class Catalog:
-    """Datasets by name. Ingest writes one zstd Parquet file for each range and never changes it again."""
+    """Datasets by name, each noted in a small file under the root, so that a later process finds them. Ingest writes one zstd
+    Parquet file for each range and never changes it again."""
 
     spark: SparkSession
     root: str
     datasets: dict[str, Dataset] = field(default_factory=dict)
     running: set[str] = field(default_factory=set)  # names with jobs on them
 
-    def ingest_csv(self, name: str, path: str, partitions: int = 3) -> Dataset:
+    def __post_init__(self):
+        for n in workspace.names(self.spark, f"{self.root}/catalog"):
+            if n.endswith(".json"):
+                d = Dataset(**json.loads(workspace.get_bytes(self.spark, f"{self.root}/catalog/{n}")))
+                self.datasets.setdefault(d.name, d)
+
+    def ingest_csv(self, name: str, path: str, partitions: int | None = 3, part_bytes: int = 128 << 20) -> Dataset:
+        """partitions: ranges to write, or None for as many as give files of about part_bytes of text.
+
+        The text is parsed once, into a typed table from which the ranges are cut.
+        """
         if not path.lower().rstrip("/").endswith(".csv"):
             raise ValueError("only .csv files can be ingested")
-        seen = scan_csv(self.spark, path)
+        if partitions is not None and not 1 <= partitions <= 32:
+            raise ValueError("partitions must be from 1 to 32")
         raw = read_csv(self.spark, path)
         kinds = infer_types(raw)
-        parts = range_partitioned(typed(raw, kinds), partitions, rows=seen.rows)
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        typed(raw, kinds).withColumn(ROW_INDEX, F.monotonically_increasing_id()).write.parquet(staged)
+        rows = self.spark.read.parquet(staged)
+        n = rows.count()
+        p = partitions if partitions is not None else parts_for(sum(b for _, b in files_of(self.spark, path)), part_bytes)
+        part = F.shiftright(ROW_INDEX, 33)
+        sizes = rows.groupBy(part.alias("__p")).agg(F.count("*").alias("c"))
+        before = sizes.withColumn("__off", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__off")  # a row a split
+        place = F.col("__off") + F.col(ROW_INDEX).bitwiseAND(F.lit((1 << 33) - 1))
+        parts = rows.join(F.broadcast(before), part == F.col("__p")).withColumn("part", partition_index(place, n, p))
         out = f"{self.root}/{name}-{uuid.uuid4().hex}"
-        parts.repartition(partitions, "part").sortWithinPartitions("part").write.option("compression", "zstd").option("parquet.block.row.count.limit", 10_000).partitionBy("part").parquet(out)
-        return self._add(Dataset(name, out.rsplit("/", 1)[-1], out, path, seen.rows, kinds, partitions, seen.checksum))
+        parts.repartition(p, "part").sortWithinPartitions("part", ROW_INDEX).drop(ROW_INDEX, "__p", "__off").write.option("compression", "zstd").option("parquet.block.row.count.limit", 10_000).partitionBy("part").parquet(out)
+        workspace.remove(self.spark, staged)
+        return self._add(Dataset(name, out.rsplit("/", 1)[-1], out, path, n, kinds, p, scan_csv(self.spark, path, n).checksum))
 
     def materialize(self, name: str, df: DataFrame) -> Dataset:
         """Write a result as a new dataset; an empty one is refused."""
@@ -178,6 +281,9 @@ class Catalog:
         return self._add(Dataset(name, out.rsplit("/", 1)[-1], out, None, rows, kinds(df.schema), stored.rdd.getNumPartitions(), semantic_checksum(stored).first()["checksum"]))
 
     def _add(self, d: Dataset) -> Dataset:
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", d.name):
+            raise ValueError("a name has letters, digits, - and _")
+        workspace.put_bytes(self.spark, f"{self.root}/catalog/{d.name}.json", json.dumps(asdict(d)).encode())
         self.datasets[d.name] = d
         return d
 

@@ -31,6 +31,7 @@ class StreamConfig:
     frequent: str | None = None
     precision: int = 14
     top_k: int = 10
+    exact: bool = False  # keep exact counts beside the sketches, for the errors observed
 
     def __post_init__(self):
         def within(what: str, v: int, low: int, high: int) -> None:

@@ -55,6 +55,18 @@ def sessions(spans: DataFrame, keys: list[str]) -> DataFrame:
     return new.withColumn("session", F.last("__new", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def session_states(spans: DataFrame, keys: list[str], states: list[Column], merged: list[Column], width: int) -> DataFrame:
+    """(keys, window_start, window_end, states) of the sessions of spans: first within blocks of ``width`` milliseconds of a key, then
+    between these. So a task sorts a block's spans, or a key's local sessions, but never all spans of a key.
+
+    states: aggregates of spans; merged: the same names from those, both mergeable in any order.
+    """
+    block = spans.withColumn("__block", F.floor(F.col("window_start") / F.lit(width)).cast("long"))
+    local = sessions(block, [*keys, "__block"]).groupBy(*keys, "__block", "session").agg(F.max("window_end").alias("window_end"), *states)
+    whole = sessions(local.withColumnRenamed("session", "window_start"), keys)
+    return whole.groupBy(*keys, "session").agg(F.max("window_end").alias("window_end"), *merged).withColumnRenamed("session", "window_start")
+
+
 def aggregates(c: StreamConfig) -> list[Column]:
     """event_count, total (missing values as 0), distinct_users (estimate) as the configuration asks."""
     out = [F.count("*").alias("event_count")]
@@ -72,8 +84,17 @@ def windowed(events: DataFrame, c: StreamConfig, t: str = "t") -> DataFrame:
     spans = assigned(events.withColumn("group_key", key), c, t)
     if c.window != "SESSION":
         return spans.groupBy("window_start", "window_end", "group_key").agg(*aggregates(c))
-    s = sessions(spans, ["group_key"])
-    return s.groupBy("session", "group_key").agg(F.max("window_end").alias("window_end"), *aggregates(c)).withColumnRenamed("session", "window_start")
+    states, merged = [F.count("*").alias("event_count")], [F.sum("event_count").alias("event_count")]
+    if c.total:
+        states.append(F.sum(F.coalesce(F.col(c.total).cast("double"), F.lit(0.0))).alias("total"))
+        merged.append(F.sum("total").alias("total"))
+    if c.distinct:
+        v = F.col(c.distinct).cast("string")
+        states.append(F.hll_sketch_agg(F.when(v != "", v), c.precision).alias("users"))
+        merged.append(F.hll_union_agg("users").alias("users"))
+    out = session_states(spans, ["group_key"], states, merged, max(64 * c.gap, 3_600_000))
+    names = ["window_start", "window_end", "group_key", "event_count", *(["total"] if c.total else [])]
+    return out.select(*names, *([F.hll_sketch_estimate("users").alias("distinct_users")] if c.distinct else []))
 
 
 def lateness(events: DataFrame, allowed: int, seq: str = "seq", t: str = "t", width: int = 100_000, before: int | None = None) -> DataFrame:

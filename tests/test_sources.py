@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import sketches
+from millrace.plans.compile import ResultTooLarge
 from millrace.sources import ingest, sinks
 from millrace.workspace import workspace
 
@@ -36,6 +37,9 @@ def test_catalog(spark):
     with pytest.raises(RuntimeError, match="running"):
         c.switch_storage("sales", "parquet")
     assert c.list().first()["storage"] == "csv"
+    later = ingest.Catalog(spark, c.root)  # as another process finds it
+    assert later.datasets == c.datasets and sorted(map(tuple, later.table("sales").collect())) == want
+    assert c.ingest_csv("auto", path, None, part_bytes=1).partitions > 3
     with pytest.raises(ValueError, match=".csv"):
         c.ingest_csv("x", "/tmp/x.json")
     groups = ingest.row_group_stats(spark, d.path + "/*", "sales").collect()
@@ -44,6 +48,56 @@ def test_catalog(spark):
         c.materialize("none", c.table("sales").limit(0))
 
 
+def test_files_of_any_size_are_hashed(spark, tmp_path):
+    import hashlib
+
+    data = bytes(range(256)) * 40_000
+    (tmp_path / "a.csv").write_bytes(data)
+    (r,) = ingest.digests(spark, f"file://{tmp_path}/a.csv", block=1 << 20).collect()
+    assert r.sha256 == hashlib.sha256(data).hexdigest()
+
+
+def test_scans_refuse(spark, sf, tmp_path):
+    (tmp_path / "x.parquet").write_bytes(b"a,b\n1,2\n3,4\n5,6\n")
+    with pytest.raises(ingest.NotParquet):
+        ingest.parquet_scan(spark, f"file://{tmp_path}/x.parquet", ["a"])
+    assert ingest.parquet_scan(spark, f"{sf}/region.parquet", ["r_name"], "r_regionkey < 2").count() == 2
+    (tmp_path / "r.csv").write_text("a,b\n1,x\n2\n3,y\n")
+    assert ingest.scan_rows(spark, f"file://{tmp_path}/r.csv", "b != 'x'", ragged=True).count() == 1
+    with pytest.raises(Exception):  # noqa: B017  a row lacks a cell
+        ingest.scan_rows(spark, f"file://{tmp_path}/r.csv", "b != 'x'").collect()
+
+
+def test_objects(spark, sf):
+    store = workspace(spark, "store")
+    sinks.put_object(spark, store, "datasets", "r.parquet", f"file://{sf}/region.parquet")
+    assert sinks.get_object(spark, store, "datasets", "r.parquet").count() == 5
+    with pytest.raises(FileNotFoundError):
+        sinks.get_object(spark, store, "partitions", "r.parquet")
+    with pytest.raises(ValueError, match="buckets"):
+        sinks.put_object(spark, store, "other", "r", f"file://{sf}/region.parquet")
+
+
+def test_topics_in_files(spark):
+    folder = workspace(spark, "topics")
+    sinks.publish_files(spark.range(10).selectExpr("id as t"), folder, "a")
+    sinks.publish_files(spark.range(10, 15).selectExpr("id as t"), folder, "a")
+    rows = sinks.parsed_events(spark.read.schema(sinks.MESSAGES).parquet(f"{folder}/a"), "t bigint").collect()
+    assert sorted((r.seq, r.partition) for r in rows) == [(i, 0) for i in range(15)] and {r.t for r in rows} == set(range(15))
+    with pytest.raises(ValueError, match="events"):
+        sinks.publish_files(spark.range(10_001).selectExpr("id as t"), folder, "a")
+
+
+def test_chaos_is_told(spark):
+    from millrace.control import Chaos
+
+    c = Chaos()
+    c.arm("delay", delay_ms=1)
+    assert [m["type"] for m in sinks.live(spark.range(2), "q", chaos=c)] == ["subscribed", "chaos", "row", "row", "complete"]
+    c.arm("network_loss")
+    assert [m["type"] for m in sinks.live(spark.range(2), "q", chaos=c)] == ["subscribed", "chaos", "error"]
+
+
 def test_stats(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (3, "b")], "x int, y string")
     s = {r.column_name: (r.n_rows, r.n_null, r.least, r.greatest, r.approx_distinct) for r in ingest.column_stats(df).collect()}
@@ -54,7 +108,11 @@ def test_sinks(spark):
     df = spark.range(2500).select("id")
     got = list(sinks.live(df.limit(2500), "q"))
     assert [m["type"] for m in got if m["type"] != "row"] == ["subscribed", "progress", "progress", "complete"]
-    assert sinks.to_arrow(df, 10).num_rows == 10
+    assert sinks.to_arrow(df, 2500).num_rows == 2500
+    with pytest.raises(ResultTooLarge):
+        sinks.to_arrow(df, 10)
+    back = sinks.from_ipc(sinks.to_ipc(spark.createDataFrame([(1, 2.5, None)], "a int, b double, c date")))
+    assert back.to_pylist() == [{"a": "1", "b": "2.5", "c": None}]
     path = workspace(spark, "rows")
     assert sinks.durable(df.orderBy("id"), path).where("row_index <> cast(get_json_object(row, '$.id') as bigint)").count() == 0
     assert sinks.replayed(path, spark, 2490).count() == 10
