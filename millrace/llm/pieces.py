@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,22 +100,21 @@ class Lattice:
         text = [self.sp.id_to_piece(i) for i in normal]
         self.longest = max(map(len, text), default=1)
         self.lift = min(12.0, 1e200 ** (1 / self.longest)) ** np.arange(1, self.longest + 1)  # the same factor for all paths of a unit: keeps numbers in range
-        hashes = np.array([self._hash(t) for t in text], np.uint64)
+        size = np.fromiter(map(len, text), np.int64, len(text))
+        codes = np.frombuffer("".join(t.ljust(self.longest, "\0") for t in text).encode("utf-32-le"), np.uint32).reshape(len(text), self.longest).astype(np.uint64)
+        self.bits, self.begun = np.uint64(45), np.zeros(1 << 19, bool)  # slots of the beginnings of pieces
+        hashes, h = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
+        for k in range(self.longest):
+            h = self._next(h, codes[:, k])
+            hashes[size == k + 1] = h[size == k + 1]
+            self.begun[(h[size > k] >> self.bits).astype(np.int64)] = True
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(normal, np.int32)[order]
-        self.bits = np.uint64(45)
         slots = (self.keys >> self.bits).astype(np.int64)
         self.slot = np.full(1 << 19, -1, np.int32)  # the first piece of each slot
         self.slot[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
         self.run = int(np.bincount(slots, minlength=1).max()) if len(slots) else 0  # pieces in a slot, at most
 
-    @staticmethod
-    def _hash(piece: str) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = Lattice._next(h, np.array([ord(c)], np.uint64))
-        return h[0]
-
     @staticmethod
     def _next(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         h = (h + c + np.uint64(1)) * _PRIME
@@ -166,18 +165,27 @@ class Lattice:
             ids[:, 0][ids[:, 0] < 0] = -2
             return chars, ids
         for s in range(m):
-            h = np.zeros(n, np.uint64)
+            h, going = np.zeros(n, np.uint64), None  # going: the units of which some piece begins so; None: all
             for length in range(1, min(top, m - s) + 1):
-                h = self._next(h, chars[s + length - 1])
-                at = self.slot[(h >> self.bits).view(np.int64)]
+                c = chars[s + length - 1]
+                h = self._next(h, c if going is None else c[going])
+                slot = (h >> self.bits).view(np.int64)
+                at = self.slot[slot]
                 rows = np.flatnonzero(at >= 0)
                 if len(rows):
                     at, key = at[rows], h[rows]
                     out = ids[s, length - 1]
+                    if going is not None:
+                        rows = going[rows]
                     for _ in range(self.run):
                         hit = self.keys[at] == key
                         out[rows[hit]] = self.ids[at[hit]]
                         at = np.minimum(at + 1, len(self.keys) - 1)
+                left = np.flatnonzero(self.begun[slot])
+                if len(left) < 0.7 * len(h):
+                    going, h = left if going is None else going[left], h[left]
+                    if not len(left):
+                        break
             lone = ids[s, 0] < 0
             ids[s, 0, lone] = -2
         return chars, ids
@@ -216,7 +224,7 @@ class Lattice:
     def main(self, units: list[str], block: int = 20_000) -> tuple[Walks, np.ndarray]:
         """The main segmentation of each unit, and the probability of all others together, summed up place by place."""
         out, spare = _Parts(self, units), np.zeros(len(units))
-        for m, some in _by_length(units, block):
+        for m, some in _by_length(np.fromiter(map(len, units), np.int64, len(units)), block):
             chars, ids = self.pieces([units[i] for i in some.tolist()])
             n = len(some)
             x = np.arange(n)
@@ -260,17 +268,19 @@ class Lattice:
         ends = [0, *first[np.cumsum(length)].tolist()]
         return np.array([got[a:b].tobytes() == u.encode() for u, a, b in zip(units, ends, ends[1:], strict=False)], bool)
 
-    def walk(self, units: list[str], seeds: np.ndarray, masks: np.ndarray, block: int = 20_000) -> Walks:
-        """A segmentation of each unit, drawn from all but that of its mask.
+    def walk(self, text: list[str], kinds: np.ndarray, seeds: np.ndarray, masks: np.ndarray, block: int = 20_000) -> Walks:
+        """A segmentation of the unit text[k] for each k of kinds, drawn from all but that of its mask.
 
         A mask has a bit for each place where a piece starts. On the way along the barred segmentation, its remaining
         probability is taken off the piece that it goes on with.
         """
-        out = _Parts(self, units)
-        for m, some in _by_length(units, block):
-            distinct = {u: x for x, u in enumerate(dict.fromkeys(units[i] for i in some.tolist()))}
-            ids, cum = self.tables(list(distinct))
-            row = np.fromiter((distinct[units[i]] for i in some.tolist()), np.int64, len(some))
+        distinct, which = np.unique(kinds, return_inverse=True)
+        names = [text[k] for k in distinct.tolist()]
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        out = _Parts(self, names, which)
+        for m, some in _by_length(size[which], block):
+            here, row = np.unique(which[some], return_inverse=True)
+            ids, cum = self.tables([names[i] for i in here.tolist()])
             n, top = len(some), cum.shape[2]
             going, rest = _along(cum, row, masks[some], m)
             starts, piece, log = np.zeros((n, m), bool), np.zeros((n, m), np.int32), np.zeros(n)
@@ -419,9 +429,10 @@ class Walks:
 class _Parts:
     """Collects the segmentations of units of several lengths."""
 
-    def __init__(self, lattice: Lattice, units: list[str]):
-        n = len(units)
-        self.lattice, self.units, self.used, self.ids = lattice, units, 0, [np.empty(0, lattice.dtype)]
+    def __init__(self, lattice: Lattice, units: list[str], which: np.ndarray | None = None):
+        """which: the unit of each segmentation, where it isn't one for each unit."""
+        n = len(units) if which is None else len(which)
+        self.lattice, self.units, self.which, self.used, self.ids = lattice, units, which, 0, [np.empty(0, lattice.dtype)]
         self.start, self.length, self.log, self.mask = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, object)
 
     def add(self, some: np.ndarray, starts: np.ndarray, piece: np.ndarray, log: np.ndarray) -> None:
@@ -430,7 +441,8 @@ class _Parts:
         ids, count = piece[unit, place], np.ones(len(unit), np.int64)
         rare = np.flatnonzero(ids < 0)
         if len(rare):  # the bytes of characters that no piece holds
-            spelled = [self.lattice.spelled(self.units[some[a]][b]) for a, b in zip(unit[rare].tolist(), place[rare].tolist(), strict=True)]
+            own = some[unit[rare]] if self.which is None else self.which[some[unit[rare]]]
+            spelled = [self.lattice.spelled(self.units[a][b]) for a, b in zip(own.tolist(), place[rare].tolist(), strict=True)]
             count[rare] = [len(x) for x in spelled]
             ids = np.repeat(ids, count)
             ids[ids < 0] = list(chain.from_iterable(spelled))
@@ -448,9 +460,8 @@ class _Parts:
         return Walks(np.concatenate(self.ids), self.start, self.length, self.log, self.mask)
 
 
-def _by_length(units: list[str], block: int):
+def _by_length(size: np.ndarray, block: int):
     """(length, numbers of units) for all lengths, a block at a time."""
-    size = np.fromiter(map(len, units), np.int64, len(units))
     order = np.argsort(size, kind="stable")
     for m in np.unique(size).tolist():
         lo, hi = np.searchsorted(size[order], (m, m + 1)).tolist()
@@ -502,8 +513,12 @@ class Chunk:
             words += known.lattice.units_of(normal)
             self.bounds.append(len(words))
             self.plain.append(normal.replace("▁", " ")[1:] == t)
-        known.learn([u for u in dict.fromkeys(words) if u not in known.ids.numbers])
-        self.kind = known.ids.numbered(words)
+        self.kind = np.fromiter(map(known.ids.numbers.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(self.kind < 0).tolist()
+        if new:
+            fresh = [words[i] for i in new]
+            known.learn(list(dict.fromkeys(fresh)))
+            self.kind[new] = known.ids.numbered(fresh)
         self.log = known.log[self.kind]
         self.spare = known.spare[self.kind]
         self.size = np.diff(self.bounds)
@@ -530,8 +545,7 @@ class Chunk:
 
     def other(self, kinds: np.ndarray, seeds: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and log-probabilities of segmentations of these units, drawn from all but the given ones."""
-        text = self.known.text
-        w = self.lattice.walk([text[k] for k in kinds.tolist()], seeds, masks)
+        w = self.lattice.walk(self.known.text, kinds, seeds, masks)
         at = self.base + self.count + np.arange(len(kinds))
         self.drawn.append(w)
         self.count += len(kinds)

@@ -210,7 +210,7 @@ def _edges(rows: DataFrame, n: int, file_chars: int, least: int, sample: int) ->
     By a hash sample of keys with the sizes of their texts, of ``sample`` rows or one in 20,000 at least: parts are cut by size.
     """
     share = hash_share(n, max(sample, n // 20_000))
-    some = rows.select("k", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("b"), F.xxhash64("k", F.length("t"), F.lit(7)).alias("h"))
+    some = rows.select("k", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("b"), F.xxhash64("k", F.octet_length("t"), F.lit(7)).alias("h"))
     got = some.where(within_share(F.shiftrightunsigned("h", 1), share)).select("k", "b").toArrow()  # bounded by the sample
     null = got.column("k").is_null().to_numpy()
     size = got.column("b").to_numpy() + 64
