@@ -6,53 +6,32 @@ import contextlib
 import ctypes
 import gc
 import os
-import re
-import tempfile
-import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PACKAGE = Path(__file__).resolve().parents[1]
+from ..workspace import remove, ship, workspace
+
+__all__ = ["ship"]
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])  # the characters that part words: \x20 and \x09-\x0D
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    path = f"{folder}/{PACKAGE.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, f"{PACKAGE.name}/{p.relative_to(PACKAGE)}")
-    sc.addPyFile(path)
-    sc._millrace_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one if Spark runs in one
-    process (tests); on a cluster, an error, as a folder of one machine loses tables."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = getattr(sc, "_millrace_dir", None)
-        if not path:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            sc._millrace_dir = path = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
-            sc.setCheckpointDir(path)
-    return path.rstrip("/")
+def new_folder(spark: SparkSession, name: str) -> str:
+    return workspace(spark, name)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to clash with no other."""
+    known, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in known:
+            n = f"_{n}"
+        known.add(n.lower())
+        out.append(n)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The path is kept at ``_millrace_path`` so that :func:`dropped` can delete a table that nothing reads any more.
     """
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = workspace(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
@@ -73,9 +52,7 @@ def dropped(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "_millrace_path", None)
         if path:
-            jvm = t.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(t.sparkSession, path)
 
 
 def crc_bucket(col: Column, n: int) -> Column:

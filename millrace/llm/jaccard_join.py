@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, dropped, hash63, ship, within_share, written
+from .common import BLANKS, dropped, fresh, hash63, ship, within_share, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -365,7 +365,8 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Texts without words (null, empty, blank) have no shingles and link with nothing; their component is their own key. Null
     keys are no candidates for the smallest key: a component of null keys only is null. Rows equal in key and text are one
-    document and both returned. Other columns of docs are not read.
+    document and both returned. A similarity of exactly ``percent`` is a link. Texts of any length are compared whole; an empty
+    table gives an empty one. Other columns of docs are not read, so that names may clash.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
@@ -422,9 +423,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     Rows equal in key and text are one document, of which one row stays.
     """
     names = docs.columns
+    i, tk, h = fresh(names, "id", "tk", "h")
     found = join_documents(docs.select(key, text), key, text, **how)
-    kept = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("c")).agg(F.min(F.struct(F.col(key).isNull().alias("o"), F.col(key).alias("id"), F.col("tk"))).alias("d")).select(F.col("d.id").alias("__id"), F.col("d.tk").alias("__tk"))
-    marked = docs.withColumn("__h", F.xxhash64(text))
+    least = F.min(F.struct(F.col(key).isNull().alias("o"), F.col(key).alias("id"), F.col("tk"))).alias("d")
+    kept = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("c")).agg(least).select(F.col("d.id").alias(i), F.col("d.tk").alias(tk))
+    marked = docs.withColumn(h, F.xxhash64(text))
     words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    stay = marked.where(words).join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__tk"))).dropDuplicates(["__id", "__tk"])
+    stay = marked.where(words).join(kept.hint("merge"), F.col(key).eqNullSafe(F.col(i)) & (F.col(h) == F.col(tk))).dropDuplicates([i, tk])
     return stay.select(*names).unionByName(marked.where(~words).select(*names))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash63, hash_share, out_schema, ship, sigmoid, within_share
+from .common import fresh, hash63, hash_share, out_schema, ship, sigmoid, within_share
 
 DIMS = 4096
 ORDERS = (1, 2, 3, 4)
@@ -167,8 +167,8 @@ def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null")
     h, some = hash63(["k", "t"]), F.lit(False)
-    for r in rows.groupBy("l").count().collect():  # a row a language
-        some = F.when(F.col("l") == r["l"], within_share(h, hash_share(r["count"], per_language))).otherwise(some)
+    for r in rows.groupBy("l").agg(F.approx_count_distinct(h).alias("n")).collect():  # a row a language; texts are hashed, not moved
+        some = F.when(F.col("l") == r["l"], within_share(h, hash_share(r["n"], per_language))).otherwise(some)
     distinct = rows.where(some).withColumn("h", h).groupBy("l", "h").agg(F.min("t").alias("t"))
     chosen = distinct.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language).select("t", "l")
 
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text", keep: list[s
     ship(docs.sparkSession)
     new = {"lang_pred": "string", "score": "double"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__t"))
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(fresh(names, "t")[0]))
     k = len(names)
 
     def run(batches):

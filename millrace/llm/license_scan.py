@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import out_schema, ship
+from .common import fresh, out_schema, ship
 from .licence_texts import PHRASES, TEMPLATES
 
 ANCHORS = 12
@@ -189,7 +189,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: list[str] | None =
     ix = Index.build(templates, PHRASES if phrases is None else phrases, *document_frequencies(docs, vocabulary(templates), text))
     new = {"n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double", "places": "array<bigint>"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(fresh(names, "t")[0]))
     schema = out_schema(docs, names, new)
     k = len(names)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, out_schema, ship, sigmoid
+from .common import bounded_sample, fresh, out_schema, ship, sigmoid
 
 #: (value, thresholds): an indicator for each threshold that the value exceeds.
 SHAPE = (
@@ -263,7 +263,7 @@ def score_quality(docs: DataFrame, model: Crf, text: str = "text", keep: list[st
     ship(docs.sparkSession)
     new = {"score": "double"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__t"))
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(fresh(names, "t")[0]))
     k = len(names)
 
     def run(batches):

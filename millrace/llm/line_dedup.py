@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, fresh, written
 
 BLANK = r"[ \t\n\x0B\f\r]+"
 
@@ -186,10 +186,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     stay. Of texts of any length all lines are compared. Columns of docs named n_lines or n_removed are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs, key, text, min_words).select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone"))
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{text}`")).alias("__h"))
-    joined = marked.join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__tk")), "left")
+    i, tk, out, h = fresh(docs.columns, "id", "tk", "gone", "h")
+    gone = removed_lines(docs, key, text, min_words).select(F.col("id").alias(i), F.col("tk").alias(tk), F.col("gone").alias(out))
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{text}`")).alias(h))
+    joined = marked.join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col(i)) & (F.col(h) == F.col(tk)), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    cut = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
+    cut = F.when(F.col(out).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda x: F.get(lines, x)), "\n"))
+    return joined.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_removed"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FlatTable, grown, out_schema, released, ship, worker_cache
+from .common import FlatTable, fresh, grown, out_schema, released, ship, worker_cache
 
 LONGEST = 32  # characters of a unit, where it can be cut
 _UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
@@ -699,7 +699,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
     ids: the model's encoding of the whole text; decoded: whether ids give the text back; samples: up to k distinct
     segmentations as (ids, log_prob, inclusion), of all where the lattice has fewer. Ids are arrays, or with ``packed``
     little-endian binary of 2 bytes each (4 for large vocabularies). Null texts are empty and have one empty sample. Rows
-    equal in key and text get equal samples. ``chunk`` characters are treated together and about ``cached`` units kept by a worker,
+    equal in key and text get equal samples. Whole texts of any length are encoded; an empty table gives an empty one. ``chunk`` characters are treated together and about ``cached`` units kept by a worker,
     0.5 GB in all as they are; ``release``: a task gives the worker's memory back at its end. Neither has a bearing on the
     results. Columns of docs with the names of new ones are replaced. One pass, no shuffle.
     """
@@ -707,7 +707,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
     kind = "binary" if packed else "array<int>"
     new = {"ids": kind, "decoded": "boolean", "samples": f"array<struct<ids: {kind}, log_prob: double, inclusion: double>>"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{key}`").cast("string").alias("__k"), F.col(f"`{text}`").alias("__t"))
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *[c.alias(x) for c, x in zip((F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")), fresh(names, "k", "t"), strict=True)])
     n = len(names)
     arrow = pa.binary() if packed else pa.list_(pa.int32())
     struct = pa.struct([("ids", arrow), ("log_prob", pa.float64()), ("inclusion", pa.float64())])
@@ -753,4 +753,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "text", pack
                 back = lat.sp.decode([r or [] for r in rows], num_threads=1)
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names))), pa.array([None if r is None else b for r, b in zip(rows, back, strict=True)], pa.string())], names=[*names, text])
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids}`").alias("__ids")).mapInArrow(run, out_schema(df, names, {text: "string"}))
+    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids}`").alias(fresh(names, "ids")[0])).mapInArrow(run, out_schema(df, names, {text: "string"}))

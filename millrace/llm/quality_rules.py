@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, crc_bucket, dropped, out_schema, ship, written
+from .common import BLANKS, crc_bucket, dropped, fresh, out_schema, ship, written
 
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = BLANKS.decode()
@@ -303,7 +303,7 @@ def apply_rules(docs: DataFrame, cutoffs: Cutoffs, text: str = "text", stratum:
     ship(docs.sparkSession)
     new = [*COUNTS, "base_failed", "failed_rules", "kept"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__t"), F.col(f"`{stratum}`").alias("__s"))
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"`{c}`").alias(n) for c, n in zip((text, stratum), fresh(names, "t", "s"), strict=True)])
     schema = out_schema(docs, names, {c: "bigint" for c in COUNTS} | {"base_failed": "boolean", "failed_rules": "array<string>", "kept": "boolean"})
     k = len(names)
 

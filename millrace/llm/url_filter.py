@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules
-from .common import bounded_sample, hash63, hash_share, out_schema, ship, sigmoid, within_share
+from .common import bounded_sample, fresh, hash63, hash_share, out_schema, ship, sigmoid, within_share
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 FEATURES = (
@@ -208,7 +208,7 @@ def judge_urls(df: DataFrame, model: UrlModel, rules: list[tuple[str, str]] = ()
     ship(df.sparkSession)
     names = [c for c in (df.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict", "score")]
     table = Rules(list(rules))
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{url}`").alias("__url"))
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{url}`").alias(fresh(names, "t")[0]))
     schema = out_schema(df, names, {"host": "string", "path": "string", "rule": "string", "verdict": "string", "score": "double"})
 
     def run(batches):

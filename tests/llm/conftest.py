@@ -22,7 +22,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    extra = ["score", "kept", "n_words", "labels", "ids", "token", "k", "t", "n", "id", "tk", "host", "n_lines"]
+    extra = ["score", "kept", "n_words", "labels", "ids", "token", "k", "t", "n", "id", "tk", "host", "n_lines", "h", "s", "gone", "_t", "__t", "__k", "__h", "__id", "__tk", "__gone", "__text", "__url"]
     return df.select("*", *[F.lit("x").alias(c) for c in extra]).repartition(3)
 
 
