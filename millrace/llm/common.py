@@ -7,8 +7,10 @@ import ctypes
 import gc
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,10 +115,17 @@ def text_chunks(texts: list, most: int = 4 << 20):
 
 
 class FlatTable:
-    """Numbers distinct words and keeps a run of ids for each, end to end in one array."""
+    """Numbers distinct words and keeps a run of ids for each, end to end in one array.
+
+    The words that were most frequent in the first many are in a small dictionary of their own, which stays in the processor's
+    cache: most look-ups end there.
+    """
+
+    HOT, MANY = 1 << 15, 1 << 17
 
     def __init__(self, dtype):
         self.numbers: dict[str, int] = {}
+        self.hot: dict[str, int] = {}
         self.count = 0
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 16, dtype), 0
@@ -137,13 +146,33 @@ class FlatTable:
     def numbered(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
+    def found(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, -1 for unknown ones."""
+        if not self.hot:
+            return np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        kind = np.fromiter(map(self.hot.get, words, repeat(-1)), np.int64, len(words))
+        rest = np.flatnonzero(kind < 0)
+        kind[rest] = np.fromiter(map(self.numbers.get, map(words.__getitem__, rest.tolist()), repeat(-1)), np.int64, len(rest))
+        return kind
+
+    def warm(self, words: list[str], kind: np.ndarray) -> None:
+        """Note the most frequent of these words, which have these numbers."""
+        if self.hot or len(words) < self.MANY:
+            return
+        count, place = np.bincount(kind), np.zeros(self.count, np.int64)
+        place[kind] = np.arange(len(kind))
+        top = np.argsort(-count, kind="stable")[: self.HOT]
+        top = top[count[top] > 1].tolist()
+        self.hot = {words[i]: k for k, i in zip(top, place[top].tolist(), strict=True)}
+
     def joined(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words with these numbers, end to end, and where each word's begin (and one more)."""
         length = self.length[kind]
         first = np.zeros(len(kind) + 1, np.int64)
         np.cumsum(length, out=first[1:])
-        at = np.repeat(self.start[kind] - first[:-1], length)
-        at += np.arange(first[-1])
+        small = np.int32 if max(self.used, int(first[-1])) < 1 << 31 else np.int64
+        at = np.repeat((self.start[kind] - first[:-1]).astype(small), length)
+        at += np.arange(first[-1], dtype=small)
         return self.flat[at], first
 
 
@@ -161,12 +190,28 @@ def worker_cache(name: str) -> dict:
     return _CACHES.setdefault((os.getpid(), name), {})
 
 
+def tidy() -> None:
+    """Give memory that is free in this worker back to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """A function over batches that tidies up at the end of its task."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def released(name: str) -> None:
     """Empty a worker's dictionary and give its memory back to the system."""
     worker_cache(name).clear()
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-        ctypes.CDLL(None).malloc_trim(0)
+    tidy()
 
 
 _CACHES: dict = {}

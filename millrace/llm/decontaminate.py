@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, out_schema, ship, written
+from .common import dropped, out_schema, ship, tidied, written
 
 K1, B = 1.2, 0.75
 BLOCKS = 64  # of an index, at most
@@ -230,7 +230,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     out = None
     for ix in indexes(items, item_key, item_text, threshold, shard_chars):
-        one = source.mapInArrow(_searcher(ix, question, answer, items.schema[item_key].dataType), out_schema_pairs(docs, key, items, item_key))
+        one = source.mapInArrow(tidied(_searcher(ix, question, answer, items.schema[item_key].dataType)), out_schema_pairs(docs, key, items, item_key))
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("k", key)
 
@@ -266,7 +266,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     ship(docs.sparkSession)
     out, at = docs, docs.columns.index(text)
     for ix in indexes(items, item_key, item_text, threshold, shard_chars):
-        out = out.mapInArrow(_filter(ix, at, question, answer), docs.schema)
+        out = out.mapInArrow(tidied(_filter(ix, at, question, answer)), docs.schema)
     return out
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, dropped, fresh, hash63, ship, within_share, written
+from .common import BLANKS, dropped, fresh, hash63, ship, tidied, within_share, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -46,7 +46,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > len(_powers[0]):
         m = max(n, 1 << 16)
         both = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, x, np.uint64)])) for x in (_BASE, _INVERSE)]
-        if m > 1 << 22:  # of very long texts: not kept
+        if m > 1 << 18:  # of long texts: not kept
             return both[0][:n], both[1][:n]
         _powers[:] = both
     return _powers[0][:n], _powers[1][:n]
@@ -119,7 +119,7 @@ def frequent_shingles(docs: DataFrame, text: str, k: int, least: int = 2, most:
                 some = count >= least
                 yield pa.RecordBatch.from_arrays([_int(value[some]), pa.array(count[some].astype(np.int64))], names=["token", "c"])
 
-    counts = written(docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")), "frequent")
+    counts = written(docs.select(F.col(text).alias("t")).mapInArrow(tidied(run), "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")), "frequent")
     step = F.when(F.col("c") < 10_000, F.col("c")).otherwise((F.lit(10_000) + F.floor(1_000 * F.log2(F.col("c") / 10_000))).cast("long"))  # keeps the order of counts
     chosen, total = None, 0
     for r in counts.groupBy(step.alias("c")).count().orderBy(F.desc("c")).collect():  # 70,000 rows at most
@@ -186,13 +186,13 @@ def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequen
                 cold.append(min(m, p))
                 prefix.append(None if g in seen else first.view(np.int64))
                 seen.add(g)
-                if len(seen) > 1_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
             arrays = [pa.array(size, pa.int32()), _classes(gid), pa.array(grp, pa.int64()), pa.array(cold, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "tk", "n", "gid", "grp", "cold", "prefix"])
 
     source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("tk"), F.col(text).alias("t"))
-    return source.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, tk bigint, n int, gid {CLASS}, grp bigint, cold int, prefix array<bigint>")
+    return source.mapInArrow(tidied(run), f"id {docs.schema[key].dataType.simpleString()}, tk bigint, n int, gid {CLASS}, grp bigint, cold int, prefix array<bigint>")
 
 
 def _near(n1: str, n2: str, percent: int):
@@ -309,7 +309,7 @@ def _verify(pairs: DataFrame, places: DataFrame, source: DataFrame, k: int, perc
             rows = pa.array(found, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, f"a {CLASS}, b {CLASS}")
+    return dealt.mapInArrow(tidied(run), f"a {CLASS}, b {CLASS}")
 
 
 def mixed_pairs(rows: DataFrame, percent: int) -> DataFrame:

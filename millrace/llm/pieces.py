@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -513,12 +513,13 @@ class Chunk:
             words += known.lattice.units_of(normal)
             self.bounds.append(len(words))
             self.plain.append(normal.replace("▁", " ")[1:] == t)
-        self.kind = np.fromiter(map(known.ids.numbers.get, words, repeat(-1)), np.int64, len(words))
+        self.kind = known.ids.found(words)
         new = np.flatnonzero(self.kind < 0).tolist()
         if new:
             fresh = [words[i] for i in new]
             known.learn(list(dict.fromkeys(fresh)))
             self.kind[new] = known.ids.numbered(fresh)
+        known.ids.warm(words, self.kind)
         self.log = known.log[self.kind]
         self.spare = known.spare[self.kind]
         self.size = np.diff(self.bounds)
@@ -584,6 +585,7 @@ class Chunk:
         table.start = np.concatenate([main.start[: self.base], *(w.start + x for w, x in zip(self.drawn, shift.tolist(), strict=False))])
         table.length = np.concatenate([main.length[: self.base], *(w.length for w in self.drawn)])
         table.flat = np.concatenate([main.flat[: main.used], *(w.ids for w in self.drawn)])
+        table.used = len(table.flat)
         out, first = table.joined(np.concatenate([np.empty(0, np.int64), *numbers]))
         ends = first[np.cumsum([0, *map(len, numbers)])].tolist()
         return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]

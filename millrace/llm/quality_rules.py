@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, crc_bucket, dropped, fresh, out_schema, ship, written
+from .common import BLANKS, crc_bucket, dropped, fresh, out_schema, ship, tidied, written
 
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = BLANKS.decode()
@@ -254,7 +254,7 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
             v = pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, len(RULES)), pa.int32()), pa.array(values, pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), v], names=["k", "s", "v"])
 
-    known = source.mapInArrow(measure, out_schema(source, ["k", "s"], {"v": "array<double>"}))
+    known = source.mapInArrow(tidied(measure), out_schema(source, ["k", "s"], {"v": "array<double>"}))
     table = written(known.join(marks, "k").select("s", "v", "good", (crc_bucket(F.col("k"), 2) == 1).alias("held")), "quality-statistics")
 
     def arrays(batch):
@@ -320,4 +320,4 @@ def apply_rules(docs: DataFrame, cutoffs: Cutoffs, text: str = "text", stratum:
             arrays += [pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.list_(pa.string())), pa.array([not o[1] and not o[2] for o in out], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(k)), *arrays], names=[*names, *new])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)

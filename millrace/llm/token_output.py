@@ -16,7 +16,6 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -120,12 +119,13 @@ class WordEncoder:
                 bounds.append(None)
         if self.table is None or len(self.table.numbers) > self.cached:
             self.table = FlatTable(self.dtype)
-        kind = np.fromiter(map(self.table.numbers.get, words, repeat(-1)), np.int64, len(words))
+        kind = self.table.found(words)
         new = np.flatnonzero(kind < 0).tolist()
         if new:
             fresh = [words[i] for i in new]
             self._learn(set(fresh))
             kind[new] = self.table.numbered(fresh)
+        self.table.warm(words, kind)
         ids, first = self.table.joined(kind)
         return [ids[first[b[0]] : first[b[1]]].tobytes() if b else self._whole(t) if t else b"" for t, b in zip(texts, bounds, strict=True)]
 
