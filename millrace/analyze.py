@@ -103,6 +103,24 @@ def task_metrics(spark, group: str, most: int = 10_000) -> DataFrame:
     return spark.createDataFrame(rows, TASKS)
 
 
+def accumulated(engine: Engine, sql: str, **how) -> tuple[list, dict[str, int]]:
+    """The rows of a statement and its six accumulators, of committed task attempts only."""
+    from uuid import uuid4
+
+    from pyspark.sql import Observation
+
+    spark, group, passed = engine.spark, f"accumulated-{uuid4().hex}", Observation()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        rows = engine.sql(sql, passed=passed, **how).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    shuffled = F.when(F.col("operator") == "ShuffleMap", F.col("transferred_bytes"))
+    scanned = F.when(F.col("bytes_scanned") > 0, F.col("rows_scanned"))
+    t = task_metrics(spark, group).where("is_winner").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("rows_scanned", scanned), ("bytes_shuffled_total", shuffled), ("bytes_scanned", F.col("bytes_scanned")), ("cpu_time_micros", F.col("cpu_micros")))]).first()
+    return rows, {"rows_returned": len(rows), "rows_passed_filter": passed.get["rows"], **t.asDict()}
+
+
 def autopsy(tasks: DataFrame, elapsed_ms: float | None = None) -> DataFrame:
     """One row on a run from its task attempts (columns of TASKS): counts, the straggler ratio, seven costs, the bottleneck.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 import time
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import workspace
 from ..operators.joins import bucket_of
 
 
@@ -146,19 +149,34 @@ def observed_error(operation: str, estimate: float | None, exact: float | None)
     return gap / abs(exact) if operation == "approx_count_distinct" and exact else gap
 
 
+RUN = "operation string, value double, configured_error double, observed_error double, millis double, state_bytes bigint, rows bigint"
+
+
 @dataclass
 class Runs:
-    """A log of approximate runs, the newest first, 200 at most."""
+    """A log of approximate runs, the newest first, 200 at most; with ``path``, each run is a small file there, and a later process
+    goes on with the log."""
 
     rows: list[tuple] = field(default_factory=list)
+    spark: SparkSession | None = None
+    path: str | None = None
+
+    def __post_init__(self):
+        if self.path:
+            some = sorted(workspace.names(self.spark, self.path), reverse=True)[:200]
+            self.rows = [tuple(json.loads(workspace.get_bytes(self.spark, f"{self.path}/{n}"))) for n in some] + self.rows
 
-    def record(self, operation: str, run, exact: float | None = None, **p):
+    def record(self, operation: str, run, exact: float | None = None, state_bytes: int | None = None, rows: int | None = None, **p):
+        """state_bytes: of the merged state, where that is known; rows: that went into it."""
         began = time.perf_counter()
         value = run()
         number = value if isinstance(value, int | float) else None
-        self.rows.insert(0, (operation, None if number is None else float(number), configured_error(operation, **p), observed_error(operation, number, exact), (time.perf_counter() - began) * 1e3))
+        row = (operation, None if number is None else float(number), configured_error(operation, **p), observed_error(operation, number, exact), (time.perf_counter() - began) * 1e3, state_bytes, rows)
+        self.rows.insert(0, row)
         del self.rows[200:]
+        if self.path:
+            workspace.put_bytes(self.spark, f"{self.path}/{time.time_ns():020d}-{uuid.uuid4().hex}.json", json.dumps(row).encode())
         return value
 
     def table(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.rows, "operation string, value double, configured_error double, observed_error double, millis double")
+        return spark.createDataFrame(self.rows, RUN)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import exchanged
@@ -43,9 +43,10 @@ def predicate_sql(p: Predicate) -> str:
     return f"{quoted(p.name)} {p.op} {value}"
 
 
-def compiled(plan: Plan, tables: dict[str, DataFrame], strategy: str = "auto", zero_nulls: bool = False, combiner: bool = True, reduce: bool = False, split: bool = False) -> DataFrame:
+def compiled(plan: Plan, tables: dict[str, DataFrame], strategy: str = "auto", zero_nulls: bool = False, combiner: bool = True, reduce: bool = False, split: bool = False, passed: Observation | None = None) -> DataFrame:
     """zero_nulls: NULL sorts as 0 (or as the empty string). combiner: without it, rows move to their groups one by one, and nothing
-    is aggregated before. reduce, split: of a shuffled join's larger side, see :func:`joined`."""
+    is aggregated before. reduce, split: of a shuffled join's larger side, see :func:`joined`. passed: counts the rows that all
+    predicates hold for."""
     by_name = {k.lower(): v for k, v in tables.items()}
     left = by_name[plan.table.name.lower()].alias(plan.table.alias)
     if plan.join:
@@ -58,6 +59,8 @@ def compiled(plan: Plan, tables: dict[str, DataFrame], strategy: str = "auto", z
         df = left
     for p in plan.predicates:
         df = df.where(predicate(p, column(p.name)))
+    if passed is not None:
+        df = df.observe(passed, F.count(F.lit(1)).alias("rows"))
     outputs = [column(o.name).alias(o.alias) for o in plan.outputs]
     if plan.aggregates:
         if not combiner:

@@ -126,19 +126,19 @@ for _n, (_s, _d, _k) in JOINS.items():
     SQL[_n] = _twin(_s, _d)
 
 
-@query("gate_rejections", "SELECT * FROM (VALUES ('SELECT a FROM t WHERE a = 1 OR a = 2', 'rejected'), ('SELECT DISTINCT a FROM t', 'rejected'), ('SELECT a FROM t UNION SELECT a FROM t', 'rejected'), ('SELECT a FROM t LIMIT 0', 'rejected'), ('SELECT a FROM t LEFT JOIN u ON t.a = u.a', 'rejected'), ('SELECT a FROM t', 'accepted')) v(statement, verdict)")
-def _rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .plans.sqlgate import UnsupportedSQL
+_REFUSED = {
+    "or": "SELECT {0} FROM orders WHERE {0} = 1 OR {0} = 2", "distinct": "SELECT DISTINCT {0} FROM orders", "union": "SELECT {0} FROM orders UNION SELECT {0} FROM orders", "intersect": "SELECT {0} FROM orders INTERSECT SELECT {0} FROM orders",
+    "except": "SELECT {0} FROM orders EXCEPT SELECT {0} FROM orders", "limit 0": "SELECT {0} FROM orders LIMIT 0", "offset": "SELECT {0} FROM orders LIMIT 5 OFFSET 2", "outer join": "SELECT a.{0} AS x FROM orders a LEFT JOIN customer b ON a.o_custkey = b.c_custkey",
+    "having": "SELECT {0}, COUNT(*) AS n FROM orders GROUP BY {0} HAVING COUNT(*) > 1", "like": "SELECT {0} FROM orders WHERE {0} LIKE 'a'", "between": "SELECT {0} FROM orders WHERE {0} BETWEEN 1 AND 2", "in": "SELECT {0} FROM orders WHERE {0} IN (1, 2)",
+    "with": "WITH t AS (SELECT {0} FROM orders) SELECT {0} FROM t", "two keys": "SELECT {0} FROM orders ORDER BY {0}, o_custkey", "plain": "SELECT {0} FROM orders ORDER BY {0} LIMIT 5",
+}
 
-    def verdict(s: str) -> str:
-        try:
-            parse(s)
-        except UnsupportedSQL:
-            return "rejected"
-        return "accepted"
 
-    some = ["SELECT a FROM t WHERE a = 1 OR a = 2", "SELECT DISTINCT a FROM t", "SELECT a FROM t UNION SELECT a FROM t", "SELECT a FROM t LIMIT 0", "SELECT a FROM t LEFT JOIN u ON t.a = u.a", "SELECT a FROM t"]
-    return spark.createDataFrame([(s, verdict(s)) for s in some], "statement string, verdict string")
+@query("gate_rejections", f"SELECT column_name, form, form = 'plain' AS accepted FROM (DESCRIBE orders), (VALUES {', '.join(f'({k!r})' for k in _REFUSED)}) v(form)")
+def _rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms outside the subset, over every column of a table."""
+    e = engine(spark, sf_dir, "orders", "customer")
+    return spark.createDataFrame([(c, n, _accepts(e, x.format(c))) for c in e.tables["orders"].columns for n, x in _REFUSED.items()], "column_name string, form string, accepted boolean")
 
 
 @query("agg_count_nulls", "SELECT region, count(*) AS n, count(sales) AS n_sales, sum(sales) AS total FROM (VALUES ('east', 10.0::DOUBLE), ('east', NULL), ('west', 5.0), ('west', 7.0), (NULL, 1.0)) v(region, sales) GROUP BY region")
@@ -188,10 +188,11 @@ def _accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins -------------------------------------------------------------------------------------------------------------
 
 
-@query("join_strategy_table", "SELECT * FROM (VALUES (1000000, 500000, 'local'), (100000000, 10000000, 'broadcast'), (20000000, 10000000, 'hash_shuffle'), (400000000, 300000000, 'hash_shuffle'), (2097152, 0, 'local'), (48000000, 16777216, 'broadcast')) v(left_bytes, right_bytes, strategy)")
+@query("join_strategy_table", "SELECT c_custkey, n_nationkey, CASE WHEN a + b <= 2097152 THEN 'local' WHEN least(a, b) <= 16777216 AND least(a, b) <= 0.35 * greatest(a, b) THEN 'broadcast' ELSE 'hash_shuffle' END AS strategy FROM (SELECT c_custkey, n_nationkey, c_custkey * 100003 AS a, n_nationkey * 1000003 AS b FROM customer, nation)")
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = [(1_000_000, 500_000), (100_000_000, 10_000_000), (20_000_000, 10_000_000), (400_000_000, 300_000_000), (2_097_152, 0), (48_000_000, 16_777_216)]
-    return spark.createDataFrame([(a, b, str(joins.choose_strategy(a, b))) for a, b in some], "left_bytes int, right_bytes int, strategy string")
+    """The strategy for sides of many sizes."""
+    keys = [[r[0] for r in table(spark, sf_dir, t).select(c).collect()] for t, c in (("customer", "c_custkey"), ("nation", "n_nationkey"))]
+    return spark.createDataFrame([(c, n, str(joins.choose_strategy(c * 100_003, n * 1_000_003))) for c in keys[0] for n in keys[1]], "c_custkey bigint, n_nationkey bigint, strategy string")
 
 
 @query("join_bloom_reduced", "SELECT p_brand, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY p_brand")
@@ -332,9 +333,11 @@ def _row_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources -----------------------------------------------------------------------------------------------------------
 
 
-@query("ingest_types", "SELECT * FROM (VALUES ('a', 'number'), ('b', 'string'), ('c', 'number'), ('d', 'string')) v(column_name, kind)")
+@query("ingest_types", "SELECT column_name, CASE WHEN column_type IN ('VARCHAR', 'DATE') OR column_type LIKE 'TIMESTAMP%' THEN 'string' ELSE 'number' END AS kind FROM (DESCRIBE lineitem) UNION ALL SELECT 'blank', 'number' UNION ALL SELECT 'mixed', 'string'")
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([("1", "x", None, "2024-01-01"), (" 1e3 ", "2", "", "2024-01-02"), ("", "3", None, "2024-01-03")], "a string, b string, c string, d string")
+    """Types inferred from the text of a table's columns, of a blank column and of one in which a row is no number."""
+    line = table(spark, sf_dir, "lineitem").limit(100)
+    raw = line.select(*[F.col(c).cast("string").alias(c) for c in line.columns], F.lit(" ").alias("blank"), F.when(F.monotonically_increasing_id() == 3, "x").otherwise("1").alias("mixed"))
     return spark.createDataFrame(list(ingest.infer_types(raw).items()), "column_name string, kind string")
 
 
@@ -622,13 +625,16 @@ def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(max(s[0] for s in sums), len(sums) == 1)], "n_rows bigint, equal boolean")
 
 
-@query("approx_runs_log", "SELECT 'approx_count_distinct' AS operation, round(1.04 / 64, 6) AS configured_error, true AS observed_small")
+@query("approx_runs_log", "SELECT 'approx_count_distinct' AS operation, round(1.04 / 64, 6) AS configured_error, true AS observed_small, count(*) AS n_rows, true AS state_is_small FROM orders UNION ALL SELECT 'sample', NULL, NULL, count(*), NULL FROM orders")
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = sketches.Runs()
-    o = table(spark, sf_dir, "orders")
+    """Two runs, as a later process reads them from the log."""
+    path, o = workspace(spark, "runs"), table(spark, sf_dir, "orders")
+    log, n = sketches.Runs(spark=spark, path=path), o.count()
     exact = o.select("o_custkey").distinct().count()
-    log.record("approx_count_distinct", lambda: o.agg(sketches.approx_distinct("o_custkey").alias("d")).first()["d"], exact, precision=12)
-    return log.table(spark).select("operation", F.round("configured_error", 6).alias("configured_error"), (F.col("observed_error") <= 0.0325).alias("observed_small"))
+    size = o.agg(F.octet_length(sketches.distinct_sketch("o_custkey")).alias("b")).first()["b"]
+    log.record("sample", lambda: sketches.bottom_k(o.select("o_orderkey"), "o_orderkey", 10).collect(), rows=n)
+    log.record("approx_count_distinct", lambda: o.agg(sketches.approx_distinct("o_custkey").alias("d")).first()["d"], exact, state_bytes=size, rows=n, precision=12)
+    return sketches.Runs(spark=spark, path=path).table(spark).select("operation", F.round("configured_error", 6).alias("configured_error"), (F.col("observed_error") <= 0.0325).alias("observed_small"), F.col("rows").alias("n_rows"), (F.col("state_bytes") <= 16_524).alias("state_is_small"))
 
 
 @query("partition_explorer", f"WITH n AS (SELECT {_BUCKET.format('o_custkey', 8)} AS bucket, count(*) AS c FROM orders GROUP BY 1), a AS (SELECT range::INTEGER AS bucket, coalesce(c, 0) AS n_rows FROM range(8) LEFT JOIN n ON n.bucket = range) SELECT bucket, n_rows, round(n_rows / (SELECT sum(n_rows) FROM a), 4) AS share, n_rows > 1.5 * (SELECT avg(n_rows) FROM a) AS is_hot, round((SELECT stddev_pop(n_rows) / avg(n_rows) FROM a), 4) AS cv, round((SELECT max(n_rows) / avg(n_rows) FROM a), 4) AS skew_ratio FROM a")
@@ -757,10 +763,16 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count_distinct("user_id").alias("exact_distinct")).crossJoin(F.broadcast(gap))  # one row each
 
 
-@query("stream_statement", "SELECT 'revenue' AS name, 'clicks' AS topic, 'HOP' AS kind, 1000::BIGINT AS slide, 3000::BIGINT AS size, 2000::BIGINT AS lateness, 'user_id' AS distinct_column, 'amount' AS total_column")
+@query("stream_statement", "SELECT 'q' || n_nationkey AS name, n_name AS topic, CASE n_nationkey % 3 WHEN 0 THEN 'TUMBLE' WHEN 1 THEN 'HOP' ELSE 'SESSION' END AS kind, CASE WHEN n_nationkey % 3 = 1 THEN 1000 * (1 + n_regionkey) END AS slide, 60000 * (1 + n_nationkey) AS size, 1000 * n_regionkey AS lateness, 'user_id' AS distinct_column, 'amount' AS total_column FROM (SELECT n_nationkey, n_regionkey, replace(n_name, ' ', '_') AS n_name FROM nation)")
 def _statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = parse_statement("REGISTER QUERY revenue AS SELECT COUNT(DISTINCT user_id), SUM(amount) FROM clicks WINDOW HOP(ts, INTERVAL '1' SECOND, INTERVAL '3' SECOND) WATERMARK INTERVAL '2' SECOND")
-    return spark.createDataFrame([(c.name, c.topic, c.window, c.slide, c.size, c.lateness, c.distinct, c.total)], "name string, topic string, kind string, slide bigint, size bigint, lateness bigint, distinct_column string, total_column string")
+    """A REGISTER statement for each nation, parsed."""
+    out = []
+    for k, n, r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
+        kind = ("TUMBLE", "HOP", "SESSION")[k % 3]
+        slide = f"INTERVAL '{1 + r}' SECOND, " if kind == "HOP" else ""
+        c = parse_statement(f"REGISTER QUERY q{k} AS SELECT COUNT(DISTINCT user_id), SUM(amount) FROM {n.replace(' ', '_')} WINDOW {kind}(ts, {slide}INTERVAL '{1 + k}' MINUTE) WATERMARK INTERVAL '{r}' SECOND")
+        out.append((c.name, c.topic, c.window, c.slide, c.size, c.lateness, c.distinct, c.total))
+    return spark.createDataFrame(out, "name string, topic string, kind string, slide bigint, size bigint, lateness bigint, distinct_column string, total_column string")
 
 
 # --- lazy plans, lineage, runtime, analysis ----------------------------------------------------------------------------
@@ -846,30 +858,32 @@ def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksum.legacy_strings(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
 
 
-@query("feedback_ema", "SELECT * FROM (VALUES (1, 100.0::DOUBLE, 1.0::DOUBLE, 8), (2, 130.0, 1.3, 8), (3, 151.0, 1.51, 8)) v(run, rows_ema, straggler_ema, buckets)")
+@query("feedback_ema", "SELECT o_orderstatus, count(*) AS runs, round(list_reduce(list(o_totalprice::DOUBLE ORDER BY o_orderkey), lambda x, y: 0.7 * x + 0.3 * y), 4) AS rows_ema FROM orders WHERE o_custkey < 20 GROUP BY o_orderstatus")
 def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, key = control.Feedback(), control.fingerprint("SELECT  a FROM t", "d")
-    out = []
-    for i, (rows, ratio) in enumerate([(100.0, 1.0), (200.0, 2.0), (200.0, 2.0)], 1):
-        k = f.record(key, rows, ratio, hot=i > 1)
-        out.append((i, round(k["rows"], 4), round(k["straggler"], 4), k["buckets"]))
-    return spark.createDataFrame(out, "run int, rows_ema double, straggler_ema double, buckets int")
+    """The moving average of many runs of a few statements."""
+    f = control.Feedback()
+    for r in table(spark, sf_dir, "orders").where("o_custkey < 20").orderBy("o_orderkey").select("o_orderstatus", "o_totalprice").collect():
+        f.record(r["o_orderstatus"], float(r["o_totalprice"]), 1.0)
+    return rounded(spark.createDataFrame([(k, v["runs"], v["rows"]) for k, v in f.known.items()], "o_orderstatus string, runs bigint, rows_ema double"))
 
 
-@query("speculation_threshold", "SELECT * FROM (VALUES ('short', 250.0::DOUBLE), ('long', 1500.0)) v(name, threshold)")
+@query("speculation_threshold", "SELECT l_orderkey, greatest(250.0, ceil(1.5 * w[1 + least(len(w) - 1, floor(0.75 * len(w))::INTEGER)])) AS threshold FROM (SELECT l_orderkey, list_sort(list(20 * l_quantity::DOUBLE)) AS w FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey)")
 def _speculation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("short", control.speculation_threshold([10, 20, 30])), ("long", control.speculation_threshold([100, 200, 500, 1000]))], "name string, threshold double")
+    """The lines of an order as sibling tasks, with times by quantity."""
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.collect_list(20 * F.col("l_quantity").cast("double")).alias("w")).collect()
+    return spark.createDataFrame([(r["l_orderkey"], control.speculation_threshold(r["w"])) for r in rows], "l_orderkey bigint, threshold double")
 
 
-@query("admission_order", "SELECT * FROM (VALUES (0, 1), (1, 4), (2, 2), (3, 3)) v(ticket, place)")
+@query("admission_order", "SELECT ticket, (row_number() OVER (ORDER BY ticket <> 0, -priority, ticket))::BIGINT AS place FROM (SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS ticket, n_nationkey * 7 % 21 - 10 AS priority FROM nation)")
 def _admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each nation, with priorities: the first runs at once, the others by priority, then arrival."""
     a = control.Admission(slots=1)
-    for p in (0, -5, 5, 0):
-        a.submit(p)
+    for k in sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()):
+        a.submit(k * 7 % 21 - 10)
     order, now = [0], 0
     while (now := a.release(now)) is not None:
         order.append(now)
-    return spark.createDataFrame([(t, i + 1) for i, t in enumerate(order)], "ticket int, place int")
+    return spark.createDataFrame([(t, i + 1) for i, t in enumerate(order)], "ticket bigint, place bigint")
 
 
 @query("chaos_checksum", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
@@ -879,42 +893,59 @@ def _chaos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.injected(table(spark, sf_dir, "lineitem").select("l_returnflag")).groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-_TASKS = [("t1", 100.0, 10, 100, 10), ("t2", 1000.0, 20, 200, 20), ("t3", 100.0, 10, 100, 10)]
+def tasks(spark: SparkSession) -> DataFrame:
+    """Three task attempts, one of them slow."""
+    some = [("t1", 100.0, 10, 100, 10), ("t2", 1000.0, 20, 200, 20), ("t3", 100.0, 10, 100, 10)]
+    return spark.createDataFrame([(i, "w", "completed", 1, True, w, r, b, x, int(w * 500), 64, 0, "scan", r, r) for i, w, r, b, x in some], analyze.TASKS)
 
 
-def tasks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, "w", "completed", 1, True, w, r, b, x, int(w * 500), 64, 0, "scan", r, r) for i, w, r, b, x in _TASKS], analyze.TASKS)
+def _line_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a table as task attempts: operators by flag, failed ones by number, times and bytes by quantity and price."""
+    q, p = F.col("l_quantity").cast("double"), F.floor("l_extendedprice").cast("bigint")
+    status = F.when(F.col("l_linenumber") == 7, "failed").when(F.col("l_linenumber") == 6, "cancelled").otherwise("completed")
+    columns = [F.concat_ws("-", "l_orderkey", "l_linenumber"), F.lit("w"), status, (F.col("l_linenumber") % 2 + 1).cast("int"), status == "completed", q, F.col("l_linenumber").cast("bigint"), p, (p % 100).cast("bigint"), (q * 500).cast("bigint"), p, F.lit(0).cast("bigint"), F.col("l_returnflag"), F.lit(4).cast("bigint"), F.col("l_linenumber").cast("bigint")]
+    names = [c.split()[0] for c in analyze.TASKS.split(", ")]
+    return table(spark, sf_dir, "lineitem").select(*[c.alias(n) for c, n in zip(columns, names, strict=True)])
 
 
-_TASK_SQL = "(VALUES ('t1', 100.0, 10, 100, 10), ('t2', 1000.0, 20, 200, 20), ('t3', 100.0, 10, 100, 10)) v(id, w, r, b, x)"
+_TASK_SQL = "(SELECT CASE l_linenumber WHEN 7 THEN 'failed' WHEN 6 THEN 'cancelled' ELSE 'completed' END AS status, l_linenumber AS line, l_linenumber % 2 + 1 AS attempt, l_quantity::DOUBLE AS q, floor(l_extendedprice)::BIGINT AS p, l_returnflag AS operator FROM lineitem)"
 
 
-@query("autopsy_totals", f"SELECT count(*) AS attempts, sum(b)::BIGINT AS storage, sum(x)::BIGINT AS communication, (sum(w) * 0.5)::DOUBLE AS computation, max(w)::DOUBLE AS critical_ms, (max(w) / 100.0)::DOUBLE AS straggler_ratio FROM {_TASK_SQL}")
+@query("autopsy_totals", f"SELECT count(*) AS attempts, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (attempt > 1) AS retried, sum(p)::BIGINT AS storage, sum(p % 100)::BIGINT AS communication, round(sum((q * 500)::BIGINT) / 1000, 4) AS computation, max(q) FILTER (status = 'completed') AS critical_ms, max(p) AS memory, round(sum((q * 500)::BIGINT) FILTER (status = 'failed') / 1000, 4) AS recomputation, round(max(q) FILTER (status = 'completed') / median(q) FILTER (status = 'completed'), 4) AS straggler_ratio, round(avg(abs(line - 4) / 4), 4) AS cardinality_error FROM {_TASK_SQL}")
 def _autopsy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.autopsy(tasks(spark)).select("attempts", "storage", "communication", "computation", "critical_ms", "straggler_ratio")
+    return rounded(analyze.autopsy(_line_tasks(spark, sf_dir)).select("attempts", "failed", "retried", "storage", "communication", "computation", "critical_ms", "memory", "recomputation", "straggler_ratio", "cardinality_error"))
 
 
-@query("autopsy_bottleneck", "SELECT 'straggler' AS bottleneck, 0::BIGINT AS failed, 0.0::DOUBLE AS cardinality_error")
+@query("autopsy_bottleneck", f"SELECT operator, CASE WHEN max(q) FILTER (status = 'completed') >= 2 * median(q) FILTER (status = 'completed') THEN 'straggler' WHEN sum(p % 100) > 0.5 * sum(p) THEN 'network_shuffle' WHEN sum((q * 500)::BIGINT) / 1000 > 2 * max(q) FILTER (status = 'completed') THEN 'cpu_parallel' ELSE 'balanced' END AS bottleneck FROM {_TASK_SQL} GROUP BY operator")
 def _bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.autopsy(tasks(spark)).select("bottleneck", "failed", "cardinality_error")
+    """Of the attempts of each operator alone."""
+    t, out = _line_tasks(spark, sf_dir), None
+    for o in sorted(r["operator"] for r in t.select("operator").distinct().collect()):  # three flags
+        one = analyze.autopsy(t.where(F.col("operator") == o)).select(F.lit(o).alias("operator"), "bottleneck")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("autopsy_operators", f"SELECT 'scan' AS operator, count(*) AS attempts, sum(w)::DOUBLE AS wall_ms, sum(r)::BIGINT AS rows_scanned, sum(x)::BIGINT AS transferred_bytes FROM {_TASK_SQL}")
+@query("autopsy_operators", f"SELECT operator, count(*) AS attempts, round(sum(q), 4) AS wall_ms, sum(line)::BIGINT AS rows_scanned, sum(line)::BIGINT AS rows_produced, sum(p)::BIGINT AS bytes_scanned, sum(p % 100)::BIGINT AS transferred_bytes, sum((q * 500)::BIGINT)::BIGINT AS cpu_micros, 0::BIGINT AS spill_bytes, max(p) AS peak_memory_bytes, round(sum(line) * 1000 / sum(q), 4) AS rows_per_second, round(sum(p) * 1000 / sum(q), 4) AS bytes_per_second FROM {_TASK_SQL} GROUP BY operator")
 def _operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.operator_rollup(tasks(spark)).select("operator", "attempts", "wall_ms", "rows_scanned", "transferred_bytes")
+    return rounded(analyze.operator_rollup(_line_tasks(spark, sf_dir)))
 
 
-@query("what_if_projection", "SELECT * FROM (VALUES ('more workers', 575, 'medium'), ('combiner on', 700, 'low'), ('combiner off', 1350, 'low'), ('warm cache', 780, 'low'), ('other join', 900, 'low')) v(change, predicted_ms, confidence)")
+@query("what_if_projection", "SELECT workers, target, off, warm, round(greatest(1, 1000003.17::DOUBLE * (0.15 + 0.85 * workers / target) * CASE WHEN off THEN 1.35 ELSE 1 END * CASE WHEN warm THEN 0.78 ELSE 1 END))::BIGINT AS predicted_ms FROM (SELECT a.n_nationkey + 1 AS workers, b.n_nationkey + 1 AS target FROM nation a, nation b), (VALUES (true), (false)) x(off), (VALUES (true), (false)) y(warm)")
 def _what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = analyze.what_if
-    rows = [("more workers", w(1000, 2, 4, winners=4)), ("combiner on", w(1000, 2, 2, combiner=True, current_combiner=False)), ("combiner off", w(1000, 2, 2, combiner=False)), ("warm cache", w(1000, 2, 2, warm_cache=True)), ("other join", w(1000, 2, 2, strategy="broadcast"))]
-    return spark.createDataFrame([(n, r["predicted_ms"], r["confidence"]) for n, r in rows], "change string, predicted_ms int, confidence string")
+    """Projections from many numbers of workers to others, without the combiner or with a warm cache or both."""
+    keys = sorted(r[0] + 1 for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())
+    rows = [(a, b, off, warm, analyze.what_if(1_000_003.17, a, b, combiner=not off, warm_cache=warm)["predicted_ms"]) for a in keys for b in keys for off in (True, False) for warm in (True, False)]
+    return spark.createDataFrame(rows, "workers bigint, target bigint, off boolean, warm boolean, predicted_ms bigint")
 
 
-@query("pruned_bytes", "SELECT * FROM (VALUES ('>', 40, 120, 100), ('=', 5, 100, 120), ('<=', 100, 220, 0)) v(op, value, read_bytes, skipped_bytes)")
+@query("pruned_bytes", "WITH g AS (SELECT o_orderkey % 7 AS g, min(o_custkey) AS lo, max(o_custkey) AS hi, count(*) AS b FROM orders WHERE o_custkey % 5 < o_orderkey % 7 GROUP BY 1), v AS (SELECT n_nationkey * 6 AS v FROM nation), x AS (SELECT op, v, coalesce(sum(b) FILTER (CASE op WHEN '=' THEN v BETWEEN lo AND hi WHEN '<>' THEN NOT (lo = hi AND hi = v) WHEN '>' THEN hi > v WHEN '>=' THEN hi >= v WHEN '<' THEN lo < v ELSE lo <= v END), 0) AS r, sum(b) AS a FROM g, v, (VALUES ('='), ('<>'), ('>'), ('>='), ('<'), ('<=')) o(op) GROUP BY op, v) SELECT op, v AS value, r::BIGINT AS read_bytes, (a - r)::BIGINT AS skipped_bytes FROM x")
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = [{"min": 1, "max": 10, "bytes": 100}, {"min": 50, "max": 100, "bytes": 120}]
-    return spark.createDataFrame([(op, v, *ingest.pruned_bytes(groups, op, v)) for op, v in ((">", 40), ("=", 5), ("<=", 100))], "op string, value int, read_bytes int, skipped_bytes int")
+    """Groups of orders as row groups: which of them each predicate has to read."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 5 < o_orderkey % 7").groupBy(F.col("o_orderkey") % 7)
+    groups = [r.asDict() for r in o.agg(F.min("o_custkey").alias("min"), F.max("o_custkey").alias("max"), F.count("*").alias("bytes")).collect()]
+    values = sorted(r[0] * 6 for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())
+    return spark.createDataFrame([(op, v, *ingest.pruned_bytes(groups, op, v)) for op in ("=", "<>", ">", ">=", "<", "<=") for v in values], "op string, value bigint, read_bytes bigint, skipped_bytes bigint")
 
 
 @query("explain_cost_model", "SELECT 'aggregate' AS operation, true AS pushed, true AS planned")
@@ -1194,3 +1225,14 @@ def _feedback_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
         control.execute(e, _LAZY, control.Budget(), feedback=f)
     (k,) = f.known.values()
     return rounded(spark.createDataFrame([(k["runs"], k["rows"], 1 <= k["buckets"] <= 8)], "runs bigint, rows_ema double, buckets_in_range boolean"))
+
+
+@query("job_accumulators", "SELECT (SELECT count(*) FROM lineitem) AS rows_scanned, count(*) AS rows_passed_filter, count(DISTINCT l_returnflag) AS rows_returned, true AS others FROM lineitem WHERE l_quantity >= 25")
+def _job_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six accumulators of a statement, over lines written without statistics to skip by."""
+    path = workspace(spark, "lines")
+    table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity").write.option("parquet.block.row.count.limit", 100_000_000).parquet(path)
+    e = Engine(spark, {"lineitem": spark.read.parquet(path)})
+    _, a = analyze.accumulated(e, "SELECT l_returnflag, SUM(l_quantity) AS s FROM lineitem WHERE l_quantity >= 25 GROUP BY l_returnflag")
+    others = all(a[n] > 0 for n in ("bytes_shuffled_total", "bytes_scanned", "cpu_time_micros"))
+    return spark.createDataFrame([(a["rows_scanned"], a["rows_passed_filter"], a["rows_returned"], others)], "rows_scanned bigint, rows_passed_filter bigint, rows_returned bigint, others boolean")

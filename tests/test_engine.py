@@ -94,6 +94,51 @@ def test_strategies():
     assert choose_strategy(20 * m, 10 * m) == Strategy.HASH_SHUFFLE
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_is_combined_before_the_exchange(spark, sf):
+    """Without the combiner, rows move one by one: no aggregate stands below the exchange, of scans, joins and states."""
+    e = entry.own.engine(spark, sf, "orders", "customer", "lineitem")
+    one, two = "SELECT l_returnflag, SUM(l_quantity) AS s FROM lineitem GROUP BY l_returnflag", entry.own.JOIN_AGG
+    states = aggregates.exchanged(aggregates.uncombined_states(e.tables["lineitem"], ["l_returnflag"], "l_quantity"), ["l_returnflag"])
+    for df in (e.sql(one, combiner=False), e.sql(two, combiner=False), e.sql("SELECT SUM(l_quantity) AS s FROM lineitem", combiner=False), aggregates.final_reduce(states, ["l_returnflag"])):
+        above, below = plan_of(df).split("REPARTITION_BY_NUM", 1)
+        assert "HashAggregate" in above and "Aggregate" not in below
+    assert "Aggregate" in plan_of(e.sql(one)).split("Exchange", 1)[1]
+    assert rows_of(e.sql(one)) == rows_of(e.sql(one, combiner=False))
+
+
+def test_bloom_filter_stands_before_the_exchange(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet").where("p_size < 10")
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    some = joins.bloom_reduced(line, part, F.col("l_partkey"), F.col("p_partkey"))
+    whole = line.join(part, line["l_partkey"] == part["p_partkey"])
+    assert "Exchange" not in plan_of(some).split("Subquery", 1)[0]  # the probe side stays where it is
+    assert whole.count() <= some.count() <= 1.05 * whole.count() + 5 < line.count()
+    assert rows_of(some.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_partkey")) == rows_of(whole.select("l_orderkey", "p_partkey"))
+    null = spark.createDataFrame([(None,), ("1",), ("x",)], "k string")
+    assert [r.k for r in joins.bloom_reduced(null, null.where("k = '1'"), F.col("k"), F.col("k")).collect()] == ["1"]
+
+
+def test_sizes_are_checked():
+    big = 100 * joins.MIB
+    with pytest.warns(UserWarning, match="shuffle"):
+        assert joins.affordable(Strategy.BROADCAST, big, big) == Strategy.HASH_SHUFFLE
+    with pytest.warns(UserWarning, match="local"):
+        assert joins.affordable(Strategy.LOCAL, big, joins.MIB) == Strategy.BROADCAST
+    assert joins.affordable(Strategy.LOCAL, joins.MIB, joins.MIB) == Strategy.LOCAL
+
+
+def test_salts_follow_the_share(spark):
+    """A bucket with four fifths of the rows is dealt to about as many parts as it has mean buckets' rows; balanced keys to none."""
+    skewed = spark.range(10_000).select(F.when(F.col("id") % 5 < 4, 1).otherwise(F.col("id")).alias("k"))
+    (parts,) = joins.hot_salts(skewed, "k").values()
+    assert 48 <= parts <= 56
+    assert joins.hot_salts(spark.range(64_000).select(F.col("id").alias("k")), "k") == {} == joins.hot_salts(skewed.limit(0), "k")
+
+
 def test_strategy_plans_and_checksums(spark, sf):
     e = entry.own.engine(spark, sf, "orders", "customer")
     sums, want = set(), {"broadcast": "BroadcastHashJoin", "hash_shuffle": "ShuffledHashJoin", "local": "BroadcastHashJoin"}
@@ -127,6 +172,17 @@ def test_states(spark):
     assert [tuple(r) for r in empty] == [(0, None, None, None, None)]
 
 
+def test_legacy_states(spark):
+    rows = [("a", 2, {"x": 3.0, "__min__x": 1.0, "__max__x": 2.0}), ("a", 1, {"x": 5.0, "__min__x": 5.0, "__max__x": 5.0}), ("b", 4, {})]
+    got = {r.g: tuple(r)[1:] for r in aggregates.legacy_states(spark.createDataFrame(rows, "g string, count int, sums map<string,double>"), ["g"], ["x"]).collect()}
+    assert got == {"a": (3, 8.0, 8 / 3, 1.0, 5.0), "b": (4, None, None, None, None)}
+
+
+def test_canonical_values(spark):
+    df = spark.createDataFrame([(1, 1.0, "1.00", " 1 ", "x", None, 0.1 + 0.2, True, "")], "a int, b double, c string, d string, e string, f string, g double, h boolean, i string")
+    assert tuple(checksum.canonical(df).first()) == ("1", "1", "1", "1", "x", None, "0.3", "true", "")
+
+
 def test_checksum_tells_rows_apart(spark):
     c = lambda rows: checksum.semantic_checksum(spark.createDataFrame(rows, "a string, b int")).first()["checksum"]
     assert c([("x", 1), ("y", 2)]) == c([("y", 2), ("x", 1)])
