@@ -252,22 +252,12 @@ class Lattice:
         lead = self.sp.encode("\n")
         n = len(lead)
         ids = self.sp.encode([u[1:] if u[0] == "▁" else "\n" + u for u in some], num_threads=1)
-        odd = [len(u) >= LONGEST or u == "▁" or u.startswith("▁▁") for u in some]
-        for i, u in enumerate(some):
-            if u[0] != "▁":
-                odd[i] = odd[i] or ids[i][:n] != lead
-                ids[i] = ids[i][n:]
+        odd = [len(u) >= LONGEST or u[:2] in ("▁", "▁▁") for u in some]
+        for i in [i for i, u in enumerate(some) if u[0] != "▁"]:
+            odd[i] = odd[i] or ids[i][:n] != lead
+            ids[i] = ids[i][n:]
         return ids, odd
 
-    def sound(self, units: list[str], flat: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Whether the ids of each unit, end to end in flat, spell it."""
-        got, first = self.bytes_of.joined(flat.astype(np.int64))
-        want = "".join(units).encode()
-        if got.tobytes() == want and np.array_equal(first[np.cumsum(length)], np.cumsum([len(u.encode()) for u in units])):
-            return np.ones(len(units), bool)
-        ends = [0, *first[np.cumsum(length)].tolist()]
-        return np.array([got[a:b].tobytes() == u.encode() for u, a, b in zip(units, ends, ends[1:], strict=False)], bool)
-
     def walk(self, text: list[str], kinds: np.ndarray, seeds: np.ndarray, masks: np.ndarray, block: int = 20_000) -> Walks:
         """A segmentation of the unit text[k] for each k of kinds, drawn from all but that of its mask.
 
@@ -477,7 +467,7 @@ class Units:
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
         self.text: list[str] = []
-        self.whole, self.sound, self.log, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, object)
+        self.whole, self.log, self.mask = np.zeros(1 << 12, bool), np.zeros(1 << 12), np.zeros(1 << 12, object)
         self.spare = np.zeros(1 << 12)  # the probability of all other segmentations together; 0 where there is none
         self.ids, self.main = FlatTable(lattice.dtype), FlatTable(lattice.dtype)
 
@@ -485,12 +475,11 @@ class Units:
         if not units:
             return
         n = len(self.text)
-        self.whole, self.sound, self.log, self.mask, self.spare = (grown(x, n + len(units)) for x in (self.whole, self.sound, self.log, self.mask, self.spare))
+        self.whole, self.log, self.mask, self.spare = (grown(x, n + len(units)) for x in (self.whole, self.log, self.mask, self.spare))
         ids, whole = self.lattice.encode_units(units)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), self.lattice.dtype, int(length.sum()))
         self.ids.add(units, flat, np.cumsum(length) - length, length)
-        self.sound[n : n + len(units)] = self.lattice.sound(units, flat, length)
         self.whole[n : n + len(units)] = whole
         w, self.spare[n : n + len(units)] = self.lattice.main(units)
         self.main.add(units, w.ids, w.start, w.length, named=False)
@@ -695,7 +684,7 @@ def units(path: str, cached: int = 700_000) -> Units:
     return cache[path]
 
 
-def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 4_000_000, cached: int = 700_000, release: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, packed: bool = False, chunk: int = 5_000_000, cached: int = 700_000, release: bool = False) -> DataFrame:
     """The columns ``keep`` (all by default) with ids, decoded and samples for every document.
 
     ids: the model's encoding of the whole text; decoded: whether ids give the text back; samples: up to k distinct
