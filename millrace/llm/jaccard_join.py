@@ -389,7 +389,9 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     labels = components(edges)
 
     # lists and groups that are not one component yet: all pairs of groups across components, expanded to their classes
-    comp = written(members.join(labels, "gid", "left").select("grp", "gid", "n", F.coalesce("comp", "gid").alias("comp")), "comp")
+    dropped(lists)
+    comp = members.join(labels, "gid", "left").select("grp", "gid", "n", F.xxhash64(F.coalesce("comp", "gid")).alias("comp"))
+    comp = written(comp, "comp")  # 64 bits tell the components of a list apart
     parts = comp.select("grp", "comp").distinct()
     rows = groups.select("grp", "n", F.explode(F.arrays_zip("tokens", "js")).alias("e")).join(parts, "grp")
     rows = rows.select(F.col("e.tokens").alias("token"), "grp", "n", F.col("e.js").alias("j"), "comp")
@@ -409,7 +411,7 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         final = components(edges.unionByName(extra))
         dropped(labels, extra)
         labels = final
-    dropped(lists, groups, pairs, edges, cross, more, comp)
+    dropped(groups, pairs, edges, cross, more, comp)
 
     docs_ = table.select("id", "tk", "n", "gid").join(labels, "gid", "left").select("id", "tk", "n", "gid", F.coalesce("comp", "gid").alias("comp"))
     least_id = written(docs_.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id")), "least")  # so that the join can split large components
