@@ -57,6 +57,13 @@ def dropped(*tables: DataFrame | None) -> None:
             remove(t.sparkSession, path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver collect what is dead: Spark then deletes the shuffle files of plans that nothing refers to any more, which
+    would else stay on the executors' disks until the driver runs short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_bucket(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids: bucket of the empty string)."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

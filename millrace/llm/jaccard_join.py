@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, dropped, fresh, hash63, ship, tidied, within_share, written
+from .common import BLANKS, dropped, fresh, hash63, ship, swept, tidied, within_share, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -374,6 +374,7 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     table = written(prefixes(docs, key, text, k, percent, frequent), "prefixes")
     members = written(table.where("n > 0").select("grp", "gid", "n").distinct(), "members")
     lists = written(_lists(table), "lists")
+    swept(spark)
     groups = written(lists.groupBy("grp").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"), F.collect_list("j").alias("js")), "groups")
     near = lists.where("grp <> rep").where(_fits(percent, "n", "j", "rep_n", "rep_j")).groupBy("grp", "rep").agg(F.count("*").alias("c"))
     star = near.groupBy(F.col("grp").alias("y")).agg(F.max(F.struct("c", "rep")).alias("b")).select(F.col("b.rep").alias("x"), "y")
@@ -385,8 +386,10 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # a star: the first class of each group with the first class of its most central one, and the classes of a group with its first
     met = _counted(star, groups, percent).join(first.select(F.col("grp").alias("x"), "a"), "x").join(first.select(F.col("grp").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
     pairs = written(met.where("a <> b").unionByName(inside).distinct(), "pairs")
+    swept(spark)
     edges = written(_verify(pairs, places, source, k, percent), "links")
     labels = components(edges)
+    swept(spark)
 
     # lists and groups that are not one component yet: all pairs of groups across components, expanded to their classes
     dropped(lists)

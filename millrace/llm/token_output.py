@@ -173,6 +173,7 @@ class Reader:
     source: object
 
     def __post_init__(self):
+        self.unpack = zstandard.ZstdDecompressor()
         size = self.source.size()
         n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != SEEKABLE or not flags & CHECKSUMS:
@@ -195,13 +196,34 @@ class Reader:
         return self.source.read(n)
 
     def frame(self, i: int) -> bytes:
-        data = zstandard.ZstdDecompressor().decompress(self._at(int(self.offsets[i]), int(self.table[i, 0])), max_output_size=int(self.table[i, 1]) or 1)
+        return self._content(i, self._at(int(self.offsets[i]), int(self.table[i, 0])))
+
+    def _content(self, i: int, raw) -> bytes:
+        data = self.unpack.decompress(raw, max_output_size=int(self.table[i, 1]) or 1)
         if len(data) != self.table[i, 1] or xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != self.table[i, 2]:
             raise ValueError(f"checksum of frame {i} does not hold")
         return data
 
     def tokens(self, i: int) -> np.ndarray:
-        return np.frombuffer(self.frame(i), f"<u{self.width}").astype("<u4")
+        return self._tokens(self.frame(i))
+
+    def _tokens(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, f"<u{self.width}").astype("<u4")
+
+    def several(self, some: list[int]) -> list[np.ndarray]:
+        """The tokens of frames in ascending order; frames that follow each other are read at once."""
+        out, at = [], 0
+        while at < len(some):
+            end = at + 1
+            while end < len(some) and some[end] == some[end - 1] + 1:
+                end += 1
+            first = int(self.offsets[some[at]])
+            raw = memoryview(self._at(first, int(self.offsets[some[end - 1] + 1]) - first))
+            for i in some[at:end]:
+                low = int(self.offsets[i]) - first
+                out.append(self._tokens(self._content(i, raw[low : low + int(self.table[i, 0])])))
+            at = end
+        return out
 
 
 def _open(path: str):
@@ -355,7 +377,7 @@ def read_tokens(manifest: DataFrame, ids: list[int] | None = None, with_ids: boo
                     chosen = [i for i, k in enumerate(r.ids) if wanted is None or k in wanted]
                     for lo in range(0, len(chosen), 256):
                         some = chosen[lo : lo + 256]
-                        tokens = [r.tokens(i) for i in some]
+                        tokens = r.several(some)
                         arrays = [pa.array([r.ids[i] for i in some], pa.int64()), pa.array([int(starts[i]) for i in some], pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), pa.array([zlib.crc32(t.tobytes()) for t in tokens], pa.int64())]
                         if with_ids:
                             arrays.append(pa.array([t.tolist() for t in tokens], pa.list_(pa.int64())))
