@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids and one empty sample; repeated rows get equal rows. Executors have run other stages before, so
     workers hold less and give it back.
     """
-    small = {"chunk": 1_000_000, "cached": 150_000, "release": True}
+    small = {"chunk": 500_000, "cached": 60_000, "release": True}
     out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), k=2, keep=["doc_id", "lang", "source"], packed=True, **small)
     return out.select("doc_id", "lang", "source", (F.length("ids") / 2).cast("long").alias("n_ids"), "ids", "decoded", "samples")
 
