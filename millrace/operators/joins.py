@@ -32,6 +32,15 @@ def choose_strategy(left_bytes: int, right_bytes: int, local_limit: int = LOCAL_
     return Strategy.HASH_SHUFFLE
 
 
+def strategy_of(left_bytes: Column, right_bytes: Column, local_limit: int = LOCAL_LIMIT, broadcast_limit: int = BROADCAST_LIMIT, broadcast_ratio: float = 0.35) -> Column:
+    """:func:`choose_strategy` for columns of sizes, so that tables of sizes need not come to the driver."""
+    left, right = F.greatest(F.lit(0), left_bytes.cast("long")), F.greatest(F.lit(0), right_bytes.cast("long"))
+    small, large = F.least(left, right), F.greatest(left, right)
+    local = small <= F.lit(local_limit).cast("long") - large  # their sum can be over 64 bits
+    broadcast = (small <= F.lit(broadcast_limit)) & (small <= F.lit(float(broadcast_ratio)) * large)
+    return F.when(local, F.lit(str(Strategy.LOCAL))).when(broadcast, F.lit(str(Strategy.BROADCAST))).otherwise(F.lit(str(Strategy.HASH_SHUFFLE)))
+
+
 def size_of(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of df."""
     return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 62)

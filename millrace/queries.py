@@ -191,8 +191,8 @@ def _accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("join_strategy_table", "SELECT c_custkey, n_nationkey, CASE WHEN a + b <= 2097152 THEN 'local' WHEN least(a, b) <= 16777216 AND least(a, b) <= 0.35 * greatest(a, b) THEN 'broadcast' ELSE 'hash_shuffle' END AS strategy FROM (SELECT c_custkey, n_nationkey, c_custkey * 100003 AS a, n_nationkey * 1000003 AS b FROM customer, nation)")
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strategy for sides of many sizes."""
-    keys = [[r[0] for r in table(spark, sf_dir, t).select(c).collect()] for t, c in (("customer", "c_custkey"), ("nation", "n_nationkey"))]
-    return spark.createDataFrame([(c, n, str(joins.choose_strategy(c * 100_003, n * 1_000_003))) for c in keys[0] for n in keys[1]], "c_custkey bigint, n_nationkey bigint, strategy string")
+    pairs = table(spark, sf_dir, "customer").select("c_custkey").crossJoin(table(spark, sf_dir, "nation").select("n_nationkey"))
+    return pairs.select(F.col("c_custkey").cast("bigint"), F.col("n_nationkey").cast("bigint"), joins.strategy_of(F.col("c_custkey") * 100_003, F.col("n_nationkey") * 1_000_003).alias("strategy"))
 
 
 @query("join_bloom_reduced", "SELECT p_brand, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY p_brand")

@@ -98,6 +98,19 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_strategies_of_columns(spark):
+    m = joins.MIB
+    sizes = [-1, 0, 1, 7, 20, m, m + 1, 2 * m, 10 * m, 16 * m, 16 * m + 1, 20 * m, 100 * m, 1 << 62, (1 << 63) - 1]
+    pairs = spark.createDataFrame([(a, b) for a in sizes for b in sizes], "a bigint, b bigint")
+    got = pairs.select("a", "b", joins.strategy_of(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["s"] for r in got] == [str(choose_strategy(r["a"], r["b"])) for r in got]
+
+
+def test_strategy_table_stays_off_the_driver(spark, sf):
+    plan = plan_of(entry.queries()["join_strategy_table"](spark, sf))
+    assert "LocalTableScan" not in plan and "Scan ExistingRDD" not in plan and plan.count("FileScan parquet") == 2
+
+
 def test_nothing_is_combined_before_the_exchange(spark, sf):
     """Without the combiner, rows move one by one: no aggregate stands below the exchange, of scans, joins and states."""
     e = entry.own.engine(spark, sf, "orders", "customer", "lineitem")
