@@ -649,7 +649,8 @@ _ARRIVAL = "((event_id * 7919) % 1000003)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with t (milliseconds), and seq, a permuted order of arrival."""
+    """Events with t (milliseconds), and seq, a permuted order of arrival. Where there are more than 1,000,003 events, places are shared:
+    their events come in the order of event_id (``TIE``), one of the orders that the SQL leaves open."""
     zero = F.unix_micros(F.expr("cast(timestamp_ntz'1970-01-01 00:00:00' as timestamp)"))
     t = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - zero) / 1000).cast("bigint")
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", t.alias("t"), ((F.col("event_id") * 7919) % 1000003).alias("seq"))
@@ -661,6 +662,7 @@ HOP = StreamConfig("q", "events", "HOP", 6 * HOUR, slide=2 * HOUR, group_by="eve
 UNEVEN = StreamConfig("q", "events", "HOP", 5 * HOUR, slide=2 * HOUR)
 SESSION = StreamConfig("q", "events", "SESSION", 6 * HOUR, gap=6 * HOUR, group_by="user_id")
 LATE = 24 * HOUR
+TIE = "event_id"
 
 
 @query("stream_tumble", f"SELECT ({_T} // {6 * HOUR}) * {6 * HOUR} AS window_start, ({_T} // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR} AS window_end, event_type AS group_key, count(*) AS event_count, round(sum(coalesce(value, 0)), 4) AS total FROM events GROUP BY 1, 2, 3")
@@ -694,7 +696,7 @@ def _late_sql(allowed: int) -> str:
 
 @query("stream_late_audit", f"SELECT event_id, t FROM ({_late_sql(LATE)}) WHERE late")
 def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.lateness(events(spark, sf_dir), LATE).where("late").select("event_id", "t")
+    return windows.lateness(events(spark, sf_dir), LATE, tie=TIE).where("late").select("event_id", "t")
 
 
 @query("stream_accepted_late", f"SELECT count(*) AS n, count(*) FILTER (late) AS late, count(*) FILTER (accepted_late) AS accepted_late FROM ({_late_sql(LATE)})")

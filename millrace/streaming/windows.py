@@ -97,20 +97,21 @@ def windowed(events: DataFrame, c: StreamConfig, t: str = "t") -> DataFrame:
     return out.select(*names, *([F.hll_sketch_estimate("users").alias("distinct_users")] if c.distinct else []))
 
 
-def lateness(events: DataFrame, allowed: int, seq: str = "seq", t: str = "t", width: int = 100_000, before: int | None = None) -> DataFrame:
+def lateness(events: DataFrame, allowed: int, seq: str = "seq", t: str = "t", width: int = 100_000, before: int | None = None, tie: str | None = None) -> DataFrame:
     """events with watermark (before the event), late and accepted_late, by arrival order.
 
     An event is late where its time is at or before the greatest time of all earlier arrivals less ``allowed``, if that is
-    over 0; accepted-late where it isn't late but earlier than that greatest time. ``seq`` is the unique place of arrival,
-    and ``before`` the greatest time of earlier batches. The running maximum is taken within blocks of ``width`` places
-    and, over one row a block, between them, so no task holds all events.
+    over 0; accepted-late where it isn't late but earlier than that greatest time. ``seq`` is the place of arrival, ``before``
+    the greatest time of earlier batches, and ``tie`` a column by which events of one place follow each other; places have to be
+    unique without it, as the marks would depend on the order of rows. The running maximum is taken within blocks of
+    ``width`` places and, over one row a block, between them, so no task holds all events.
     """
     block = F.floor(F.col(seq) / F.lit(width)).cast("long")
     tagged = events.withColumn("__b", block)
     tops = tagged.groupBy("__b").agg(F.max(t).alias("__top"))
     start = F.lit(before).cast("long")
     earlier = tops.select("__b", F.max("__top").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__was"))  # a row a block
-    inner = F.max(t).over(Window.partitionBy("__b").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+    inner = F.max(t).over(Window.partitionBy("__b").orderBy(seq, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1))
     out = tagged.withColumn("__in", inner).join(earlier, "__b")
     top = F.greatest(F.col("__in"), F.col("__was"), start)
     mark = top - F.lit(allowed)

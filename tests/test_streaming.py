@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from millrace.streaming import windows as W
 from millrace.streaming.config import StreamConfig, StreamConfigError, parse_statement
 from millrace.streaming.standing import Registry, StandingQuery
@@ -71,6 +73,30 @@ def test_late_boundary(spark):
     assert [r.late for r in W.lateness(ev(spark, [(0, 0), (1, 0)]), 0).orderBy("seq").collect()] == [False, False]
 
 
+@pytest.fixture(scope="module")
+def shared_places(sf, tmp_path_factory):
+    """Events of which six arrive at each place, months apart, the last of them first in the file."""
+    folder = tmp_path_factory.mktemp("shared")
+    duckdb.execute(f"COPY (SELECT event_id + k * 1000003 AS event_id, ts + k * INTERVAL 30 DAY AS ts, user_id + k * 15 AS user_id, event_type, value, props FROM range(6) r(k), '{sf}/events.parquet' ORDER BY 1 DESC) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+TIED = [
+    "stream_late_audit",
+]
+
+
+@pytest.mark.parametrize("name", TIED)
+def test_events_of_one_place_come_by_id(spark, shared_places, name):
+    got = entry.queries()[name](spark, shared_places)
+    sql = entry.oracle_sql()[name].replace("OVER (ORDER BY seq ROWS", "OVER (ORDER BY seq, event_id ROWS")
+    assert sql != entry.oracle_sql()[name]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{shared_places}/events.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def fixture():
     """600 events over 12 seconds, one accepted late and one too late."""
     rows = [(i, (i // 50) * 1000 + (i % 50) * 10, f"u{i % 40}", 1.0 + i % 23, f"/p{i % 3}") for i in range(600)]
