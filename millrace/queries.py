@@ -701,12 +701,12 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_accepted_late", f"SELECT count(*) AS n, count(*) FILTER (late) AS late, count(*) FILTER (accepted_late) AS accepted_late FROM ({_late_sql(LATE)})")
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.lateness(events(spark, sf_dir), LATE, width=1_000).agg(F.count("*").alias("n"), F.count_if("late").alias("late"), F.count_if("accepted_late").alias("accepted_late"))
+    return windows.lateness(events(spark, sf_dir), LATE, width=1_000, tie=TIE).agg(F.count("*").alias("n"), F.count_if("late").alias("late"), F.count_if("accepted_late").alias("accepted_late"))
 
 
 @query("stream_lateness_zero", f"SELECT count(*) FILTER (late) AS late, count(*) FILTER (accepted_late) AS accepted_late FROM ({_late_sql(0)})")
 def _zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.lateness(events(spark, sf_dir), 0).agg(F.count_if("late").alias("late"), F.count_if("accepted_late").alias("accepted_late"))
+    return windows.lateness(events(spark, sf_dir), 0, tie=TIE).agg(F.count_if("late").alias("late"), F.count_if("accepted_late").alias("accepted_late"))
 
 
 @query("stream_finalized", f"SELECT (t // {6 * HOUR}) * {6 * HOUR} AS window_start, count(*) AS event_count, (t // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR} <= (SELECT max({_T}) FROM events) - {LATE} AS finalized FROM ({_late_sql(LATE)}) WHERE NOT late GROUP BY t // {6 * HOUR}")

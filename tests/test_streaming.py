@@ -83,6 +83,8 @@ def shared_places(sf, tmp_path_factory):
 
 TIED = [
     "stream_late_audit",
+    "stream_lateness_zero",
+    "stream_accepted_late",
 ]
 
 
