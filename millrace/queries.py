@@ -711,7 +711,7 @@ def _zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_finalized", f"SELECT (t // {6 * HOUR}) * {6 * HOUR} AS window_start, count(*) AS event_count, (t // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR} <= (SELECT max({_T}) FROM events) - {LATE} AS finalized FROM ({_late_sql(LATE)}) WHERE NOT late GROUP BY t // {6 * HOUR}")
 def _finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = windows.lateness(events(spark, sf_dir), LATE)
+    e = windows.lateness(events(spark, sf_dir), LATE, tie=TIE)
     top = e.agg(F.max("t").alias("top"))
     w = windows.windowed(e.where("NOT late"), StreamConfig("q", "events", "TUMBLE", 6 * HOUR))
     return w.crossJoin(F.broadcast(top)).select("window_start", "event_count", (F.col("window_end") <= F.col("top") - LATE).alias("finalized"))  # top: one row

@@ -85,6 +85,7 @@ TIED = [
     "stream_late_audit",
     "stream_lateness_zero",
     "stream_accepted_late",
+    "stream_finalized",
 ]
 
 
