@@ -728,7 +728,7 @@ def _stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replayed(spark: SparkSession, sf_dir: str, batches: int = 3, **how) -> StandingQuery:
     """A standing query over the events in as many micro-batches, by arrival."""
-    c = StreamConfig("replay", "events", "TUMBLE", 24 * HOUR, lateness=LATE, group_by="event_type", total="value", distinct="user_id", frequent="event_type", **how)
+    c = StreamConfig("replay", "events", "TUMBLE", 24 * HOUR, lateness=LATE, group_by="event_type", total="value", distinct="user_id", frequent="event_type", tie=TIE, **how)
     q = StandingQuery(spark, c, workspace(spark, "standing"))
     e = events(spark, sf_dir)
     for b in range(batches):

@@ -31,6 +31,7 @@ class StreamConfig:
     frequent: str | None = None
     precision: int = 14
     top_k: int = 10
+    tie: str | None = None  # the column that orders events of one place of arrival; places are unique without it
     exact: bool = False  # keep exact counts beside the sketches, for the errors observed
 
     def __post_init__(self):

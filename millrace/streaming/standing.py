@@ -48,7 +48,8 @@ def _merged() -> list:
 
 @dataclass
 class StandingQuery:
-    """A registered query over events (seq, t, columns); ``t`` are milliseconds and ``seq`` unique places of arrival."""
+    """A registered query over events (seq, t, columns); ``t`` are milliseconds and ``seq`` places of arrival, unique together with
+    the configuration's ``tie``, if it has one."""
 
     spark: SparkSession
     config: StreamConfig
@@ -84,7 +85,7 @@ class StandingQuery:
         if batch <= last:
             return
         c = self.config
-        marked = W.lateness(events, c.lateness, before=top).persist()
+        marked = W.lateness(events, c.lateness, before=top, tie=c.tie).persist()
         try:
             kept = marked.where(~F.col("late"))
             key = F.coalesce(F.col(c.group_by).cast("string"), F.lit("")) if c.group_by else F.lit("")

@@ -86,6 +86,7 @@ TIED = [
     "stream_lateness_zero",
     "stream_accepted_late",
     "stream_finalized",
+    "stream_epoch_snapshot",
 ]
 
 
