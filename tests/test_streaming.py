@@ -87,6 +87,7 @@ TIED = [
     "stream_accepted_late",
     "stream_finalized",
     "stream_epoch_snapshot",
+    "stream_heavy_hitters",
 ]
 
 
