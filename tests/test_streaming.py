@@ -88,6 +88,7 @@ TIED = [
     "stream_finalized",
     "stream_epoch_snapshot",
     "stream_heavy_hitters",
+    "stream_materialize",
 ]
 
 
