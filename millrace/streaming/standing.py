@@ -26,7 +26,6 @@ STATE = f"window_start bigint, window_end bigint, group_key string, event_count
 SHADOW = "window_start bigint, window_end bigint, group_key string, kind string, value string, n bigint"
 KEYS = ["window_start", "window_end", "group_key"]
 MAX_ITEMS = 10_000
-MOST_EXACT = 50_000  # distinct values of a window up to which exact errors are told
 
 
 def _states(c: StreamConfig) -> list:
@@ -166,11 +165,11 @@ class StandingQuery:
 
     def evaluation(self) -> DataFrame:
         """(window_start, window_end, group_key, exact_distinct, distinct_users, distinct_observed_error, frequency_observed_error) where
-        exact counts are kept and a window has 50,000 distinct values at most: the error of the distinct estimate, relative,
-        and the largest one of an item's count, as a share of the events."""
+        exact counts are kept: the error of the distinct estimate, relative, and the largest one of an item's count, as a share
+        of the events."""
         batch, _ = self.committed()
         shadow = self._read("shadow", batch, SHADOW)
-        exact = shadow.where("kind = 'distinct'").groupBy(*KEYS).agg(F.count("*").alias("exact_distinct")).where(F.col("exact_distinct") <= MOST_EXACT)
+        exact = shadow.where("kind = 'distinct'").groupBy(*KEYS).agg(F.count("*").alias("exact_distinct"))
         out = self._windows().select(*KEYS, "event_count", F.hll_sketch_estimate("users").alias("distinct_users"))
         items = self._windows().select(*KEYS, F.explode(top_of("items", self.config.top_k)).alias("e")).select(*KEYS, F.col("e.item").alias("value"), F.col("e.count").alias("n2"))
         gaps = items.join(shadow.where("kind = 'frequent'"), [*KEYS, "value"], "left").groupBy(*KEYS).agg(F.max(F.abs(F.col("n2") - F.coalesce("n", F.lit(0)))).alias("gap"))

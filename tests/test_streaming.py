@@ -89,6 +89,7 @@ TIED = [
     "stream_epoch_snapshot",
     "stream_heavy_hitters",
     "stream_materialize",
+    "stream_observed_error",
 ]
 
 
@@ -137,6 +138,13 @@ def test_standing_query(spark, cuts):
     assert q.materialize(workspace(spark, "m")).count() == 12
 
 
+def test_errors_are_told_for_any_number_of_values(spark):
+    q = StandingQuery(spark, StreamConfig("many", "t", "TUMBLE", 1000, distinct="user_id", frequent="url", exact=True), workspace(spark, "q"))
+    q.process(spark.range(50_001).select(F.col("id").alias("seq"), F.lit(0).cast("long").alias("t"), F.col("id").cast("string").alias("user_id"), F.lit("/").alias("url")), 0)
+    r = q.evaluation().first()
+    assert r.exact_distinct == 50_001 and r.distinct_observed_error < 0.03 and r.frequency_observed_error == 0
+
+
 def test_cut_off_batch_is_done_anew(spark):
     q = StandingQuery(spark, CONFIG, workspace(spark, "q"))
     rows = fixture()
