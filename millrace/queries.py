@@ -978,7 +978,7 @@ _SESSIONS = f"WITH e AS {_ACCEPTED}, m AS (SELECT *, max(t + {6 * HOUR}) OVER (P
 @query("stream_session_merge", f"{_SESSIONS} SELECT min(t) AS window_start, max(t) + {6 * HOUR} AS window_end, coalesce(user_id::VARCHAR, '') AS group_key, count(*) AS event_count FROM s GROUP BY user_id, k")
 def _session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that grow and meet over four micro-batches are those of all accepted events together."""
-    c = StreamConfig("sessions", "events", "SESSION", 6 * HOUR, gap=6 * HOUR, lateness=LATE, group_by="user_id")
+    c = StreamConfig("sessions", "events", "SESSION", 6 * HOUR, gap=6 * HOUR, lateness=LATE, group_by="user_id", tie=TIE)
     q = StandingQuery(spark, c, workspace(spark, "standing"))
     for b, part in enumerate(_arrivals(spark, sf_dir, 4)):
         q.process(part, b)

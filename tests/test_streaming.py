@@ -90,6 +90,7 @@ TIED = [
     "stream_heavy_hitters",
     "stream_materialize",
     "stream_observed_error",
+    "stream_session_merge",
 ]
 
 
