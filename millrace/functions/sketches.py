@@ -64,8 +64,10 @@ def percentile_of(state: Column, q: float) -> Column:
     return F.kll_sketch_get_quantile_double(state, F.lit(q))
 
 
-def top_sketch(column: str, max_items: int = 10_000) -> Column:
-    """A frequent-items state: merge with :func:`top_merged`, read with :func:`top_of`."""
+def top_sketch(column: str, max_items: int = 10_000, sql_nulls: bool = False) -> Column:
+    """A frequent-items state: merge with :func:`top_merged`, read with :func:`top_of`. Empty values count as null, unless ``sql_nulls``."""
+    if sql_nulls:
+        return F.expr(f"approx_top_k_accumulate(cast(`{column}` AS string), {max_items})")
     return F.expr(f"approx_top_k_accumulate(CASE WHEN cast(`{column}` AS string) <> '' THEN cast(`{column}` AS string) END, {max_items})")
 
 

@@ -727,12 +727,12 @@ def _stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, sf_dir: str, batches: int = 3, **how) -> StandingQuery:
-    """A standing query over the events in as many micro-batches, by arrival."""
-    c = StreamConfig("replay", "events", "TUMBLE", 24 * HOUR, lateness=LATE, group_by="event_type", total="value", distinct="user_id", frequent="event_type", tie=TIE, **how)
+    """A standing query over the events in as many micro-batches, by arrival; places below 0 (of negative ids) are in the first."""
+    c = StreamConfig("replay", "events", "TUMBLE", 24 * HOUR, lateness=LATE, group_by="event_type", total="value", distinct="user_id", frequent="event_type", tie=TIE, sql_nulls=True, **how)
     q = StandingQuery(spark, c, workspace(spark, "standing"))
     e = events(spark, sf_dir)
     for b in range(batches):
-        q.process(e.where(F.floor(F.col("seq") * batches / 1000003) == b), b)
+        q.process(e.where(F.greatest(F.lit(0), F.floor(F.col("seq") * batches / 1000003)) == b), b)
     return q
 
 

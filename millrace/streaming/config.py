@@ -32,6 +32,7 @@ class StreamConfig:
     precision: int = 14
     top_k: int = 10
     tie: str | None = None  # the column that orders events of one place of arrival; places are unique without it
+    sql_nulls: bool = False  # missing and empty groups and items stay apart and are counted, as in SQL; else both are the empty group
     exact: bool = False  # keep exact counts beside the sketches, for the errors observed
 
     def __post_init__(self):

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def _states(c: StreamConfig) -> list:
         F.count("*").alias("event_count"),
         F.sum(F.coalesce(total, F.lit(0.0))).alias("total"),
         F.hll_sketch_agg(F.when(v != "", v), c.precision).alias("users"),
-        top_sketch("__item", MAX_ITEMS).alias("items"),
+        top_sketch("__item", MAX_ITEMS, c.sql_nulls).alias("items"),
     ]
 
 
@@ -45,6 +47,12 @@ def _merged() -> list:
     return [F.sum("event_count").alias("event_count"), F.sum("total").alias("total"), F.hll_union_agg("users").alias("users"), top_merged("items", MAX_ITEMS).alias("items")]
 
 
+def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on keys, where a missing key equals itself."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(named, reduce(and_, [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
+
+
 @dataclass
 class StandingQuery:
     """A registered query over events (seq, t, columns); ``t`` are milliseconds and ``seq`` places of arrival, unique together with
@@ -87,7 +95,8 @@ class StandingQuery:
         marked = W.lateness(events, c.lateness, before=top, tie=c.tie).persist()
         try:
             kept = marked.where(~F.col("late"))
-            key = F.coalesce(F.col(c.group_by).cast("string"), F.lit("")) if c.group_by else F.lit("")
+            key = F.col(c.group_by).cast("string") if c.group_by else F.lit("")
+            key = key if c.sql_nulls else F.coalesce(key, F.lit(""))
             item = F.col(c.frequent).cast("string") if c.frequent else F.lit(None).cast("string")
             spans = W.assigned(kept.withColumns({"group_key": key, "__item": item}), c)
             n = marked.agg(F.count("*").alias("events"), F.count_if(~F.col("late")).alias("accepted"), F.count_if("accepted_late").alias("accepted_late"), F.count_if("late").alias("late"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.greatest(F.max("t"), F.lit(top)).alias("top"))
@@ -135,7 +144,10 @@ class StandingQuery:
         kinds = [value("distinct", c.distinct)] * bool(c.distinct) + [value("frequent", c.frequent)] * bool(c.frequent)
         if not kinds or c.window == "SESSION":
             return
-        each = spans.select(*KEYS, F.explode(F.array(*kinds)).alias("v")).where("v.value <> ''").groupBy(*KEYS, "v.kind", "v.value").agg(F.count("*").alias("n"))
+        counted = F.col("v.value") != ""
+        if c.sql_nulls:
+            counted = (F.col("v.kind") == "frequent") | counted
+        each = spans.select(*KEYS, F.explode(F.array(*kinds)).alias("v")).where(counted).groupBy(*KEYS, "v.kind", "v.value").agg(F.count("*").alias("n"))
         old = self._read("shadow", last, SHADOW)
         old.unionByName(each).groupBy(*KEYS, "kind", "value").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.root}/shadow/{batch}")
 
@@ -172,8 +184,8 @@ class StandingQuery:
         exact = shadow.where("kind = 'distinct'").groupBy(*KEYS).agg(F.count("*").alias("exact_distinct"))
         out = self._windows().select(*KEYS, "event_count", F.hll_sketch_estimate("users").alias("distinct_users"))
         items = self._windows().select(*KEYS, F.explode(top_of("items", self.config.top_k)).alias("e")).select(*KEYS, F.col("e.item").alias("value"), F.col("e.count").alias("n2"))
-        gaps = items.join(shadow.where("kind = 'frequent'"), [*KEYS, "value"], "left").groupBy(*KEYS).agg(F.max(F.abs(F.col("n2") - F.coalesce("n", F.lit(0)))).alias("gap"))
-        both = out.join(exact, KEYS, "left").join(gaps, KEYS, "left")
+        gaps = _left(items, shadow.where("kind = 'frequent'"), [*KEYS, "value"]).groupBy(*KEYS).agg(F.max(F.abs(F.col("n2") - F.coalesce("n", F.lit(0)))).alias("gap"))
+        both = _left(_left(out, exact, KEYS), gaps, KEYS)
         relative = F.when(F.col("exact_distinct") > 0, F.abs(F.col("distinct_users") - F.col("exact_distinct")) / F.col("exact_distinct"))
         return both.select(*KEYS, "exact_distinct", "distinct_users", relative.alias("distinct_observed_error"), (F.col("gap") / F.col("event_count")).alias("frequency_observed_error"))
 

@@ -105,6 +105,33 @@ def test_events_of_one_place_come_by_id(spark, shared_places, name):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+@pytest.fixture(scope="module")
+def untyped(sf, tmp_path_factory):
+    """Events of which a seventh have no type, and a seventh an empty one."""
+    folder = tmp_path_factory.mktemp("untyped")
+    duckdb.execute(f"COPY (SELECT * REPLACE (CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END AS event_type) FROM '{sf}/events.parquet') TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+def equals_sql(spark, name, folder):
+    got = entry.queries()[name](spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["stream_heavy_hitters", "stream_epoch_snapshot", "stream_observed_error", "stream_windows_closed", "stream_batch_ledger"])
+def test_missing_and_empty_types_are_groups(spark, untyped, name):
+    equals_sql(spark, name, untyped)
+
+
+@pytest.mark.parametrize("name", ["stream_heavy_hitters"])
+def test_negative_places_are_not_lost(spark, sf, tmp_path, name):
+    duckdb.execute(f"COPY (SELECT * REPLACE (event_id - 500 AS event_id) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet'")
+    equals_sql(spark, name, tmp_path)
+
+
 def fixture():
     """600 events over 12 seconds, one accepted late and one too late."""
     rows = [(i, (i // 50) * 1000 + (i % 50) * 10, f"u{i % 40}", 1.0 + i % 23, f"/p{i % 3}") for i in range(600)]
