@@ -193,7 +193,7 @@ class StandingQuery:
         """The snapshot as an immutable dataset, times as ISO text."""
         iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
         top = self.top_items().groupBy("window_start", "group_key").agg(F.max_by("item", F.struct("n", "item")).alias("top_item"))
-        s = self.snapshot().join(top, ["window_start", "group_key"], "left")
+        s = _left(self.snapshot(), top, ["window_start", "group_key"])
         s.select(iso("window_start").alias("window_start"), iso("window_end").alias("window_end"), "group_key", "event_count", "status", "distinct_users", "distinct_error", F.col("total").alias("revenue"), "top_item").write.parquet(path)
         return self.spark.read.parquet(path)
 

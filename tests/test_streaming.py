@@ -121,17 +121,23 @@ def equals_sql(spark, name, folder):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", ["stream_heavy_hitters", "stream_epoch_snapshot", "stream_observed_error", "stream_windows_closed", "stream_batch_ledger"])
+@pytest.mark.parametrize("name", ["stream_heavy_hitters", "stream_materialize", "stream_epoch_snapshot", "stream_observed_error", "stream_windows_closed", "stream_batch_ledger"])
 def test_missing_and_empty_types_are_groups(spark, untyped, name):
     equals_sql(spark, name, untyped)
 
 
-@pytest.mark.parametrize("name", ["stream_heavy_hitters"])
+@pytest.mark.parametrize("name", ["stream_heavy_hitters", "stream_materialize"])
 def test_negative_places_are_not_lost(spark, sf, tmp_path, name):
     duckdb.execute(f"COPY (SELECT * REPLACE (event_id - 500 AS event_id) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet'")
     equals_sql(spark, name, tmp_path)
 
 
+@pytest.mark.parametrize("name", ["stream_materialize"])
+def test_windows_of_missing_times(spark, sf, tmp_path, name):
+    duckdb.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 11 > 0 THEN ts END AS ts) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet'")
+    equals_sql(spark, name, tmp_path)
+
+
 def fixture():
     """600 events over 12 seconds, one accepted late and one too late."""
     rows = [(i, (i // 50) * 1000 + (i % 50) * 10, f"u{i % 40}", 1.0 + i % 23, f"/p{i % 3}") for i in range(600)]
