@@ -14,13 +14,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import workspace
 from ..functions.sketches import top_merged, top_of, top_sketch
 from . import windows as W
-from .config import StreamConfig, parse_statement
+from .config import DAY, StreamConfig, parse_statement
 
 LEDGER = "batch_id bigint, events bigint, accepted bigint, accepted_late bigint, late bigint, first_seq bigint, last_seq bigint, top bigint, watermark bigint, offsets string, open_windows bigint, closed_windows bigint"
 TOP = "struct<sketch: binary, maxItemsTracked: int, itemDataType: string, itemDataTypeDDL: string>"
@@ -53,6 +53,14 @@ def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, reduce(and_, [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
 
 
+def _iso(column: str) -> Column:
+    """Milliseconds as ISO-8601 text in UTC, in sessions of any time zone."""
+    t = F.col(column)
+    day = F.date_from_unix_date(F.floor(t / DAY).cast("int")).cast("string")
+    part = lambda unit, n: F.floor(F.pmod(t, F.lit(unit * n)) / unit).cast("int")
+    return F.when(t.isNotNull(), F.format_string("%sT%02d:%02d:%02d.%03dZ", day, part(3_600_000, 24), part(60_000, 60), part(1_000, 60), part(1, 1_000)))
+
+
 @dataclass
 class StandingQuery:
     """A registered query over events (seq, t, columns); ``t`` are milliseconds and ``seq`` places of arrival, unique together with
@@ -191,10 +199,9 @@ class StandingQuery:
 
     def materialize(self, path: str) -> DataFrame:
         """The snapshot as an immutable dataset, times as ISO text."""
-        iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
         top = self.top_items().groupBy("window_start", "group_key").agg(F.max_by("item", F.struct("n", "item")).alias("top_item"))
         s = _left(self.snapshot(), top, ["window_start", "group_key"])
-        s.select(iso("window_start").alias("window_start"), iso("window_end").alias("window_end"), "group_key", "event_count", "status", "distinct_users", "distinct_error", F.col("total").alias("revenue"), "top_item").write.parquet(path)
+        s.select(_iso("window_start").alias("window_start"), _iso("window_end").alias("window_end"), "group_key", "event_count", "status", "distinct_users", "distinct_error", F.col("total").alias("revenue"), "top_item").write.parquet(path)
         return self.spark.read.parquet(path)
 
     # life ----------------------------------------------------------------------------------------------------------

@@ -138,6 +138,22 @@ def test_windows_of_missing_times(spark, sf, tmp_path, name):
     equals_sql(spark, name, tmp_path)
 
 
+@pytest.mark.parametrize("name", ["stream_materialize"])
+def test_times_are_utc_in_any_session(spark, sf, name):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        equals_sql(spark, name, sf)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_materialized_times(spark):
+    q = StandingQuery(spark, StreamConfig("many", "t", "TUMBLE", 1234), workspace(spark, "q"))
+    q.process(ev(spark, [(0, -5), (1, 1_709_251_199_999), (2, None)]), 0)
+    got = {(r.window_start, r.window_end) for r in q.materialize(workspace(spark, "m")).collect()}
+    assert got == {("1969-12-31T23:59:58.766Z", "1970-01-01T00:00:00.000Z"), ("2024-02-29T23:59:59.888Z", "2024-03-01T00:00:01.122Z"), (None, None)}
+
+
 def fixture():
     """600 events over 12 seconds, one accepted late and one too late."""
     rows = [(i, (i // 50) * 1000 + (i % 50) * 10, f"u{i % 40}", 1.0 + i % 23, f"/p{i % 3}") for i in range(600)]
